@@ -120,7 +120,7 @@ def validate_file(name: ColumnOrName, size: ColumnOrName, mime: ColumnOrName) ->
               F.concat(F.lit("File type '"), detected, F.lit("' not supported. Supported types: "
                        + ", ".join(allowed))))
         .when(~agrees,
-              F.concat(F.lit("File extension '"), F.ltrim(F.lit("."), extension),
+              F.concat(F.lit("File extension '"), F.ltrim(extension, F.lit(".")),
                        F.lit("' does not match detected content type '"), detected, F.lit("'")))
     )
     return F.struct(
@@ -142,7 +142,7 @@ def or_unknown(value: ColumnOrName) -> Column:
 
 def filename_from_url(url: ColumnOrName) -> Column:
     """Last path segment without the query, ``unknown`` when there is none."""
-    path = F.rtrim(F.lit("/"), F.substring_index(_c(url), "?", 1))
+    path = F.rtrim(F.substring_index(_c(url), "?", 1), F.lit("/"))
     return F.coalesce(F.nullif(F.substring_index(path, "/", -1), F.lit("")), F.lit("unknown"))
 
 

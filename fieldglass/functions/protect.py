@@ -94,14 +94,15 @@ def redact_payload(event: ColumnOrName, event_type: ColumnOrName, rules: str = "
     turns into the status ERROR.
     """
     members = F.try_variant_get(F.try_parse_json(_c(event)), "$", "map<string,variant>")
+
+    def clear(names: tuple[str, ...]) -> Column:
+        empty = F.parse_json(F.lit("{}"))
+        return F.transform_values(members, lambda k, v: F.when(k.isin(*names), empty).otherwise(v))
+
     out = None
     for kind, names in REDACTION_RULES[rules].items():
-        empty = F.parse_json(F.lit("{}"))
-        cleared = F.transform_values(
-            members, lambda k, v, n=names: F.when(k.isin(*n), empty).otherwise(v)
-        )
         hit = _c(event_type) == kind
-        out = F.when(hit, cleared) if out is None else out.when(hit, cleared)
+        out = F.when(hit, clear(names)) if out is None else out.when(hit, clear(names))
     return F.to_json(out.otherwise(members))
 
 

@@ -21,10 +21,6 @@ _OBSERVED = (
     " observation string, output string, processing_time_ms double, failed boolean"
 )
 _PROPERTIES = "array<struct<name:string,value:string,type:string>>"
-_EXTRACTED = (
-    f"success boolean, error string, execution_id string, {TIME_KEY} double,"
-    f" properties {_PROPERTIES}"
-)
 
 
 def evaluate_custom(pairs: DataFrame, metric: Callable[[dict, dict, str | None], tuple]) -> DataFrame:
@@ -78,14 +74,19 @@ def predict(
     own success, error and time. The result list and the model version are those a
     prediction would be stored with. ``n_partitions`` spreads slow extractors.
     """
-    schema = f"{key} {tasks.schema[key].dataType.simpleString()}, {_EXTRACTED}"
+    keyed_by_execution = key == "execution_id"
+    own = "" if keyed_by_execution else "execution_id string, "
+    schema = (
+        f"{key} {tasks.schema[key].dataType.simpleString()}, success boolean, error string, {own}"
+        f"{TIME_KEY} double, properties {_PROPERTIES}"
+    )
 
     def run(batches):
         import time
 
         import pandas as pd
 
-        names = [key, "success", "error", "execution_id", "total_processing_time_ms", "properties"]
+        names = [key, "success", "error", "run", "total_processing_time_ms", "properties"]
         for batch in batches:
             rows = []
             for row in batch.to_dict("records"):
@@ -106,7 +107,11 @@ def predict(
                     rows.append((row[key], True, None, found.get("execution_id"), float(spent), properties))
                 except Exception as exc:  # noqa: BLE001 - user code may raise anything
                     rows.append((row[key], False, str(exc), None, None, None))
-            yield pd.DataFrame(rows, columns=names)
+            done = pd.DataFrame(rows, columns=names)
+            yield (
+                done.drop(columns="run") if keyed_by_execution
+                else done.rename(columns={"run": "execution_id"})
+            )
 
     spread = tasks if n_partitions is None else tasks.repartition(n_partitions)
     done = spread.mapInPandas(run, schema)

@@ -78,12 +78,8 @@ def verdict_batch(path: str, per_minute: int = K.LIMIT_PER_MINUTE, per_day: int
                 carried.unionByName(now)
                 .groupBy(key, "size", "start").agg(F.sum("n").alias("n"))
             )
-        newest = now.agg(F.max("start").alias("newest"))
-        fresh = now.crossJoin(F.broadcast(newest)).filter(
-            F.col("start") >= F.col("newest") - F.expr(f"INTERVAL {keep_days} DAYS")
-        )
-        fresh.drop("newest").write.mode("overwrite").parquet(
-            f"{path}/counters/batch_id={batch_id}"
-        )
+        newest = now.agg(F.max("start").alias("newest")).scalar()
+        fresh = now.filter(F.col("start") >= newest - F.expr(f"INTERVAL {keep_days} DAYS"))
+        fresh.write.mode("overwrite").parquet(f"{path}/counters/batch_id={batch_id}")
 
     return write
