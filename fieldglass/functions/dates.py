@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import BAD_DATE_MESSAGE, WS
+from .binding import let, on_both
 from .numbers import ColumnOrName, _c
 
 _DAY = r"(?:0?[1-9]|[12]\d|3[01]| [1-9])"
@@ -25,26 +26,31 @@ def normalize_string_date(value: ColumnOrName) -> Column:
     Day-first and year-first spellings with one repeated separator exclude each
     other; only eight bare digits are ambiguous and there day-first is tried first.
     """
-    s = strip(value)
-    plain = F.translate(s, "-. ", "//")
-    return F.coalesce(
-        F.when(
-            s.rlike(rf"^{_DAY}([/.\-]){_MONTH}\1{_YEAR}$"),
-            F.try_to_date(plain, "d/M/yyyy"),
-        ),
-        F.when(
-            s.rlike(rf"^{_YEAR}([/.\-]){_MONTH}\1{_DAY}$"),
-            F.try_to_date(plain, "yyyy/M/d"),
-        ),
-        F.when(s.rlike(rf"^\d{{4}}{_YEAR}$"), F.try_to_date(s, "ddMMyyyy")),
-        F.when(s.rlike(rf"^{_YEAR}\d{{4}}$"), F.try_to_date(s, "yyyyMMdd")),
-    )
+
+    def read(s: Column) -> Column:
+        plain = F.translate(s, "-. ", "//")
+        return F.coalesce(
+            F.when(
+                s.rlike(rf"^{_DAY}([/.\-]){_MONTH}\1{_YEAR}$"),
+                F.try_to_date(plain, "d/M/yyyy"),
+            ),
+            F.when(
+                s.rlike(rf"^{_YEAR}([/.\-]){_MONTH}\1{_DAY}$"),
+                F.try_to_date(plain, "yyyy/M/d"),
+            ),
+            F.when(s.rlike(rf"^\d{{4}}{_YEAR}$"), F.try_to_date(s, "ddMMyyyy")),
+            F.when(s.rlike(rf"^{_YEAR}\d{{4}}$"), F.try_to_date(s, "yyyyMMdd")),
+        )
+
+    return let(strip(value), read)
 
 
 def compare_string_date(expected: ColumnOrName, predicted: ColumnOrName) -> Column:
     """1.0 when both sides are dates and equal; a missing date never matches."""
-    same = normalize_string_date(expected) == normalize_string_date(predicted)
-    return F.when(F.coalesce(same, F.lit(False)), 1.0).otherwise(0.0)
+    return on_both(
+        _c(expected), _c(predicted), normalize_string_date,
+        lambda a, b: F.when(a == b, 1.0).otherwise(0.0),
+    )
 
 
 def parse_flexible_date(value: ColumnOrName) -> Column:
@@ -54,30 +60,37 @@ def parse_flexible_date(value: ColumnOrName) -> Column:
     the words null/none give no date and no error; anything else unreadable gives an
     error text.
     """
-    s = strip(value)
     ymd = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
     dmy = r"^(\d{1,2})([/.\-])(\d{1,2})\2(\d{4})$"
-    iso = s.rlike(ymd)
 
-    def part(iso_group: int, day_first_group: int) -> Column:
-        picked = F.when(iso, F.regexp_extract(s, ymd, iso_group)).otherwise(
-            F.regexp_extract(s, dmy, day_first_group)
+    def parts(s: Column) -> Column:
+        def part(iso_group: int, day_first_group: int) -> Column:
+            picked = F.when(s.rlike(ymd), F.regexp_extract(s, ymd, iso_group)).otherwise(
+                F.regexp_extract(s, dmy, day_first_group)
+            )
+            return picked.try_cast("int")
+
+        return F.struct(
+            s.alias("s"), part(1, 4).alias("y"), part(2, 3).alias("m"), part(3, 1).alias("d")
         )
-        return picked.try_cast("int")
 
-    year, month, day = part(1, 4), part(2, 3), part(3, 1)
-    usable = year.between(1, 9999) & month.between(1, 12) & (day >= 1)
-    first = F.when(
-        usable, F.try_to_date(F.format_string("%04d-%02d-01", year, month), "yyyy-MM-dd")
-    )
-    last_day = F.dayofmonth(F.last_day(first))
-    date = F.date_add(first, F.least(day, last_day) - 1)
-    absent = s.isNull() | F.lower(s).isin("null", "none", "")
-    return F.struct(
-        date.alias("value"),
-        F.coalesce(day > last_day, F.lit(False)).alias("clamped"),
-        F.when(~absent & date.isNull(), F.concat(F.lit(BAD_DATE_MESSAGE), s)).alias("error"),
-    )
+    def month_start(p: Column) -> Column:
+        usable = p["y"].between(1, 9999) & p["m"].between(1, 12) & (p["d"] >= 1)
+        first = F.make_date(p["y"], p["m"], F.lit(1))
+        return F.struct(p["s"].alias("s"), p["d"].alias("d"), F.when(usable, first).alias("first"))
+
+    def clamp(p: Column) -> Column:
+        last_day = F.dayofmonth(F.last_day(p["first"]))
+        date = F.date_add(p["first"], F.least(p["d"], last_day) - 1)
+        absent = p["s"].isNull() | F.lower(p["s"]).isin("null", "none", "")
+        return F.struct(
+            date.alias("value"),
+            F.coalesce(p["d"] > last_day, F.lit(False)).alias("clamped"),
+            F.when(~absent & p["first"].isNull(), F.concat(F.lit(BAD_DATE_MESSAGE), p["s"]))
+            .alias("error"),
+        )
+
+    return let(let(let(strip(value), parts), month_start), clamp)
 
 
 def elapsed_ms(start: ColumnOrName, end: ColumnOrName) -> Column:

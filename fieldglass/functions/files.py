@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .binding import let
 from .numbers import ColumnOrName, _c
 from .text import sanitize_metadata
 
@@ -22,13 +23,9 @@ def extract_storage_url(url: ColumnOrName) -> Column:
     """
     text = _c(url)
     parameter = F.url_decode(F.regexp_extract(text, r"\?(?:[^#]*&)?fileuri=([^&#]+)", 1))
-    whole = _base64_text(text)
-    return (
-        F.when(text.startswith("s3://"), text)
-        .when(parameter != "", _base64_text(parameter))
-        .when(whole.startswith("s3://"), whole)
-        .otherwise(text)
-    )
+    from_parameter = let(parameter, lambda p: F.when(p != "", _base64_text(p)))
+    decoded = let(_base64_text(text), lambda t: F.when(t.startswith("s3://"), t))
+    return F.coalesce(F.when(text.startswith("s3://"), text), from_parameter, decoded, text)
 
 
 def parse_storage_url(url: ColumnOrName) -> Column:
@@ -104,13 +101,21 @@ def sniff_mime(content: ColumnOrName) -> Column:
 
 def validate_file(name: ColumnOrName, size: ColumnOrName, mime: ColumnOrName) -> Column:
     """struct(is_valid, error, mime): rules in order, the first broken one is reported."""
-    extension = file_extension(F.coalesce(_c(name), F.lit("")))
-    detected = _c(mime)
+    known = F.struct(
+        file_extension(F.coalesce(_c(name), F.lit(""))).alias("extension"),
+        _c(size).alias("size"),
+        _c(mime).alias("mime"),
+    )
+    return let(let(known, _first_broken_rule), _validation)
+
+
+def _first_broken_rule(known: Column) -> Column:
+    extension, detected = known["extension"], known["mime"]
     allowed = list(K.MIME_EXTENSIONS)
     expected = mime_for_extension(extension)
     agrees = (detected == expected) | ((detected == "image/jpg") & (expected == "image/jpeg"))
     error = (
-        F.when(_c(size) > K.MAX_FILE_BYTES,
+        F.when(known["size"] > K.MAX_FILE_BYTES,
                F.lit(f"File size exceeds maximum limit of {K.MAX_FILE_BYTES / 2**20}MB"))
         .when(~F.array_contains(allowed_extensions(), extension),
               F.lit("File extension not supported. Supported formats: PDF, JPG, PNG"))
@@ -123,10 +128,14 @@ def validate_file(name: ColumnOrName, size: ColumnOrName, mime: ColumnOrName) ->
               F.concat(F.lit("File extension '"), F.ltrim(extension, F.lit(".")),
                        F.lit("' does not match detected content type '"), detected, F.lit("'")))
     )
+    return F.struct(error.alias("error"), detected.alias("mime"))
+
+
+def _validation(found: Column) -> Column:
     return F.struct(
-        error.isNull().alias("is_valid"),
-        error.alias("error"),
-        F.when(error.isNull(), detected).alias("mime"),
+        found["error"].isNull().alias("is_valid"),
+        found["error"].alias("error"),
+        F.when(found["error"].isNull(), found["mime"]).alias("mime"),
     )
 
 

@@ -116,9 +116,12 @@ SCORERS = {
 
 def score(metric: Column, expected: ColumnOrName, predicted: ColumnOrName) -> Column:
     """Score of one field under the metric named by a column; unknown names give null."""
-    chosen = None
+    names: dict = {}
     for name, scorer in SCORERS.items():
-        hit = metric == name
+        names.setdefault(scorer, []).append(name)
+    chosen = None
+    for scorer, called in names.items():
+        hit = metric.isin(*called)
         value = scorer(expected, predicted)
         chosen = F.when(hit, value) if chosen is None else chosen.when(hit, value)
     return chosen

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import PERSON_TITLES, WS
+from .binding import let, on_both
 from .dates import strip
 from .numbers import ColumnOrName, _c
 
@@ -104,14 +105,17 @@ def _split_hangul(text: Column) -> Column:
 def fold_accents(value: ColumnOrName) -> Column:
     """Drop accents: canonical decomposition without the combining marks."""
     source, target, longer = _fold_table()
-    text = _c(value)
-    simple = F.translate(text, source, target)
     rare = _char_class("가-힣" + "".join(longer))
-    return (
-        F.when(~text.rlike(_NON_ASCII), text)
-        .when(text.rlike(rare), _split_hangul(_expand(simple, longer)))
-        .otherwise(simple)
-    )
+
+    def fold(text: Column) -> Column:
+        simple = F.translate(text, source, target)
+        return (
+            F.when(~text.rlike(_NON_ASCII), text)
+            .when(text.rlike(rare), _split_hangul(_expand(simple, longer)))
+            .otherwise(simple)
+        )
+
+    return let(_c(value), fold)
 
 
 def _lower_folded(value: ColumnOrName) -> Column:
@@ -120,6 +124,10 @@ def _lower_folded(value: ColumnOrName) -> Column:
     return fold_accents(text)
 
 
+def _or_empty(value: ColumnOrName) -> Column:
+    return F.coalesce(_c(value).cast("string"), F.lit(""))
+
+
 def normalize_for_distance(value: ColumnOrName) -> Column:
     """Lower case, no accents, no blanks (space, tab, CR, LF) and none of ``. - _ '``."""
     return F.translate(_lower_folded(value), " \t\n\r.-_'", "")
@@ -136,34 +144,29 @@ def _similarity(a: Column, b: Column) -> Column:
 
 def levenshtein_distance(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Edit distance of the normalised texts; a missing text counts as empty."""
-    empty = F.lit("")
-    return F.levenshtein(
-        normalize_for_distance(F.coalesce(_c(a), empty)),
-        normalize_for_distance(F.coalesce(_c(b), empty)),
-    )
+    return on_both(_or_empty(a), _or_empty(b), normalize_for_distance, F.levenshtein)
 
 
 def levenshtein_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
     """1 - distance / longer length, in [0, 1]."""
-    return _similarity(normalize_for_distance(a), normalize_for_distance(b))
+    return on_both(_c(a), _c(b), normalize_for_distance, _similarity)
 
 
 def compare_levenshtein(expected: ColumnOrName, predicted: ColumnOrName) -> Column:
-    empty = F.lit("")
-    return levenshtein_similarity(
-        F.coalesce(_c(expected), empty), F.coalesce(_c(predicted), empty)
-    )
+    return levenshtein_similarity(_or_empty(expected), _or_empty(predicted))
 
 
 def token_set(value: ColumnOrName) -> Column:
     """Sorted distinct tokens; blanks and ``. - _ ' /`` separate them."""
-    text = _lower_folded(F.coalesce(_c(value).cast("string"), F.lit("")))
+    text = _lower_folded(_or_empty(value))
     spaced = F.regexp_replace(text, rf"[.\-_'/{WS}]+", " ")
     return F.array_sort(F.array_distinct(F.array_remove(F.split(spaced, " "), "")))
 
 
 def compare_token_set(expected: ColumnOrName, predicted: ColumnOrName) -> Column:
-    return F.when(token_set(expected) == token_set(predicted), 1.0).otherwise(0.0)
+    return on_both(
+        _c(expected), _c(predicted), token_set, lambda a, b: F.when(a == b, 1.0).otherwise(0.0)
+    )
 
 
 def normalize_person_name(value: ColumnOrName) -> Column:
@@ -190,13 +193,16 @@ def truncate_preview(value: ColumnOrName, limit: int) -> Column:
 def to_ascii(value: ColumnOrName) -> Column:
     """ASCII rendering for header-safe values: decompose, drop the rest, trim."""
     source, target, longer = _ascii_table()
-    text = _c(value).cast("string")
-    simple = F.translate(text, source, target)
-    ascii_only = (
-        F.when(~text.rlike(_NON_ASCII), text)
-        .when(text.rlike(_char_class("".join(longer))), _expand(simple, longer))
-        .otherwise(simple)
-    )
+
+    def plain(text: Column) -> Column:
+        simple = F.translate(text, source, target)
+        return (
+            F.when(~text.rlike(_NON_ASCII), text)
+            .when(text.rlike(_char_class("".join(longer))), _expand(simple, longer))
+            .otherwise(simple)
+        )
+
+    ascii_only = let(_c(value).cast("string"), plain)
     return strip(F.regexp_replace(ascii_only, _NON_ASCII, ""))
 
 
@@ -204,7 +210,7 @@ def sanitize_metadata_key(key: ColumnOrName) -> Column:
     """Header-safe key: lower case, blanks to ``-``, only ``a-z 0-9 . _ -``."""
     text = F.regexp_replace(F.lower(to_ascii(key)), r"\s+", "-")
     text = F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9._\-]", ""), "-+", "-")
-    return F.when(text == "", F.lit("meta")).otherwise(text)
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit("meta"))
 
 
 def sanitize_metadata_value(value: ColumnOrName) -> Column:
@@ -231,15 +237,15 @@ def sanitize_metadata(metadata: ColumnOrName) -> Column:
 
 def last_wins_map(entries: Column) -> Column:
     """Array of (key, value) structs to a map where a repeated key keeps its last value."""
-    newest_first = F.reverse(entries)
-    return F.map_from_entries(
-        F.transform(
-            F.array_distinct(F.transform(entries, lambda e: e["key"])),
-            lambda k: F.struct(
-                k.alias("key"),
-                F.element_at(newest_first, F.array_position(
-                    F.transform(newest_first, lambda e: e["key"]), k
-                ).cast("int"))["value"].alias("value"),
-            ),
+
+    def build(found: Column) -> Column:
+        return F.map_from_entries(
+            F.filter(
+                found,
+                lambda e, i: ~F.array_contains(
+                    F.slice(F.transform(found, lambda x: x["key"]), i + 2, F.size(found)), e["key"]
+                ),
+            )
         )
-    )
+
+    return let(entries, build)

@@ -61,7 +61,7 @@ def await_with_timeout(events: DataFrame, timeout_s: int = K.WAIT_DEFAULT_SECOND
             self.results = handle.getListState("results", kept)
             self.handle = handle
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             for batch in rows:
                 for r in batch.itertuples(index=False):
                     if r.event_type == started:
@@ -73,8 +73,8 @@ def await_with_timeout(events: DataFrame, timeout_s: int = K.WAIT_DEFAULT_SECOND
                         self.handle.registerTimer((int(r.us) + wait_us) // 1000 + 1)
             return iter(())
 
-        def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-            now_us = expired.getExpiryTimeInMs() * 1000
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
             waiting = [tuple(o) for o in self.open.get()] if self.open.exists() else []
             results = sorted(
                 (tuple(r) for r in self.results.get()), key=lambda r: (r[1], r[0])
@@ -136,7 +136,7 @@ def reclaim_stream(deliveries: DataFrame, idle_ms: int = K.IDLE_MS,
             self.state = handle.getValueState("pending", T.StructType(fields))
             self.handle = handle
 
-        def handleInputRows(self, key, rows, timers):
+        def handleInputRows(self, key, rows, timerValues):
             current = self.state.get() if self.state.exists() else None
             retries, data, due, acked = current if current else (0, None, -1, False)
             for batch in rows:
@@ -155,7 +155,7 @@ def reclaim_stream(deliveries: DataFrame, idle_ms: int = K.IDLE_MS,
             self.state.update((retries, data, due, acked))
             return iter(())
 
-        def handleExpiredTimer(self, key, timers, expired):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             retries, data, _, acked = self.state.get()
             self.state.clear()
             if not acked:

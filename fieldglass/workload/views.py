@@ -12,8 +12,6 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import map_to_results
-
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -139,6 +137,54 @@ FROM events""",
 }
 
 
+def _label_tasks_sql() -> str:
+    """Spark SQL of the nested tasks; their values are those of ``label_pairs``."""
+    balance = "CAST(c_acctbal AS STRING)"
+
+    def result(field: str, text: str, readonly: str = "false") -> str:
+        return (f"named_struct('value', named_struct('text', array({text})), 'from_name', '{field}',"
+                f" 'to_name', 'pdf', 'type', 'textarea', 'readonly', {readonly})")
+
+    def present(*results: str) -> str:
+        return f"filter(array({', '.join(results)}), r -> r.value.text[0] IS NOT NULL)"
+
+    def prediction(version: str, mk: int) -> str:
+        n = f"(c_custkey + {mk})"
+
+        def unless_gone(text: str) -> str:
+            return f"CASE WHEN {n} % 7 <> 0 THEN {text} END"
+
+        name = f"CASE WHEN {n} % 3 = 0 THEN lower(c_name) ELSE replace(c_name, '0', 'O') END"
+        time = f"concat('{{\"total_processing_time_ms\":', CAST(c_custkey % 900 + {100 * mk} AS STRING), '}}')"
+        results = present(
+            result("nom", unless_gone(name)),
+            result("numero_document", unless_gone("concat(' ', CAST(c_custkey AS STRING), ' N')")),
+            result("nationalite", unless_gone(f"CASE WHEN {n} % 5 = 0 THEN 'OTHER' ELSE c_mktsegment END")),
+            result("lieu_naissance", unless_gone(balance)),
+            result("__metadata__", f"CASE WHEN c_custkey % 11 <> 0 THEN {time} END", "true"),
+        )
+        return (f"named_struct('id', c_custkey * 10 + {mk}, 'model_version', 'model-{version}',"
+                f" 'result', {results})")
+
+    def annotation(gold: str, who: str, *results: str) -> str:
+        return f"named_struct('ground_truth', {gold}, 'completed_by', {who}, 'result', {present(*results)})"
+
+    draft = annotation("false", "CAST(NULL AS STRING)", result("nom", "'draft'"))
+    gold = annotation(
+        "true", "CASE WHEN c_custkey % 2 = 0 THEN concat('user-', CAST(c_custkey % 5 AS STRING)) END",
+        result("nom", "c_name"), result("numero_document", "CAST(c_custkey AS STRING)"),
+        result("nationalite", "c_mktsegment"), result("lieu_naissance", balance),
+    )
+    both = f"array({prediction('a', 1)}, {prediction('b', 2)})"
+    return f"""
+SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS project,
+  named_struct('pdf', concat('s3://bucket/doc-', CAST(c_custkey AS STRING), '.pdf'), 'document_type',
+    CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 23 = 0 THEN 'autre' ELSE 'cni' END) AS data,
+  filter(array({draft}, {gold}), (a, i) -> c_custkey % 13 <> 0 AND (i = 1 OR c_custkey % 3 = 0)) AS annotations,
+  filter({both}, p -> c_custkey % 17 <> 0) AS predictions
+FROM customer"""
+
+
 class Inputs:
     """Tables and views of one data folder, as DataFrames by attribute."""
 
@@ -164,55 +210,7 @@ class Inputs:
     @property
     def label_tasks(self) -> DataFrame:
         """Nested labelling tasks, one per customer, built inside the row."""
-        c = self.table("customer")
-        key, name = F.col("c_custkey"), F.col("c_name")
-        balance = F.col("c_acctbal").cast("string")
-        truth = F.create_map(
-            F.lit("nom"), name, F.lit("numero_document"), key.cast("string"),
-            F.lit("nationalite"), F.col("c_mktsegment"), F.lit("lieu_naissance"), balance,
-        )
-
-        def prediction(version: str, mk: int) -> Column:
-            n = key + mk
-            gone = n % 7 == 0
-            values = {
-                "nom": F.when(n % 3 == 0, F.lower(name)).otherwise(
-                    F.replace(name, F.lit("0"), F.lit("O"))),
-                "numero_document": F.concat(F.lit(" "), key.cast("string"), F.lit(" N")),
-                "nationalite": F.when(n % 5 == 0, "OTHER").otherwise(F.col("c_mktsegment")),
-                "lieu_naissance": balance,
-            }
-            fields = F.create_map(
-                *[x for f, v in values.items() for x in (F.lit(f), F.when(~gone, v))]
-            )
-            time = (key % 900 + 100 * mk).cast("bigint")
-            metadata = F.when(key % 11 != 0, F.to_json(F.struct(time.alias("total_processing_time_ms"))))
-            return F.struct(
-                (key * 10 + mk).alias("id"),
-                F.lit(f"model-{version}").alias("model_version"),
-                map_to_results(fields, metadata).alias("result"),
-            )
-
-        who = F.when(key % 2 == 0, F.concat(F.lit("user-"), (key % 5).cast("string")))
-        draft = F.struct(F.lit(False).alias("ground_truth"), F.lit(None).cast("string").alias("completed_by"),
-                         map_to_results(F.create_map(F.lit("nom"), F.lit("draft"))).alias("result"))
-        gold = F.struct(F.lit(True).alias("ground_truth"), who.alias("completed_by"),
-                        map_to_results(truth).alias("result"))
-        empty_annotations = F.filter(F.array(gold), lambda a: F.lit(False))
-        both = F.array(prediction("a", 1), prediction("b", 2))
-        return c.select(
-            key.alias("id"),
-            F.col("c_nationkey").cast("bigint").alias("project"),
-            F.struct(
-                F.concat(F.lit("s3://bucket/doc-"), key.cast("string"), F.lit(".pdf")).alias("pdf"),
-                F.when(key % 19 == 0, F.lit(None)).when(key % 23 == 0, "autre").otherwise("cni")
-                .alias("document_type"),
-            ).alias("data"),
-            F.when(key % 13 == 0, empty_annotations)
-            .when(key % 3 == 0, F.array(draft, gold)).otherwise(F.array(gold)).alias("annotations"),
-            F.when(key % 17 == 0, F.filter(both, lambda p: F.lit(False))).otherwise(both)
-            .alias("predictions"),
-        )
+        return self.spark.sql(self._spark_sql(_label_tasks_sql()))
 
     @property
     def workflows(self) -> DataFrame:
