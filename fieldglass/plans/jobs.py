@@ -104,17 +104,14 @@ def retention(spark: SparkSession, path: str, now: Column, days: int = K.RETENTI
               rules: str = "payload") -> str:
     """Redact due events of the stored log and write back the days they belong to.
 
-    Days without a due event are neither rewritten nor, being pruned by partition,
-    read. The new version of the due days goes to scratch first, so the log is never
+    Days after the cutoff are not read, days without a due event are not rewritten.
+    The new version of the due days goes to scratch first, so the log is never
     read and overwritten in the same job. Returns the scratch folder.
     """
-    log = scan_event_store(spark, path)
     cutoff = now - F.expr(f"INTERVAL {days} DAYS")
-    stored = spark.read.parquet(path).select(*log.columns, "event_date")
-    due_days = (
-        events.pending_before(stored, cutoff).select("event_date").distinct()
-    )
-    touched = stored.join(due_days, "event_date", "left_semi").drop("event_date")
+    old_days = scan_event_store(spark, path).filter(F.col("event_date") <= cutoff.cast("date"))
+    due_days = events.pending_before(old_days, cutoff).select("event_date").distinct()
+    touched = old_days.join(due_days, "event_date", "left_semi").drop("event_date")
     staging = scratch_dir(spark, "retention")
     events.redact_events(touched, cutoff, rules).write.parquet(staging)
     rewrite_days(spark.read.parquet(staging), path)

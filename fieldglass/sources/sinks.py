@@ -103,15 +103,17 @@ def failed_events(df: DataFrame) -> DataFrame:
 def append_events(events: DataFrame, path: str) -> None:
     """Append to the log, partitioned by day so that retention and scans prune.
 
-    Rows are first spread over (day, slice of the execution), which keeps the number
-    of files per day bounded without sending a whole day to one task.
+    Rows are first spread over (day, slice of the row), which keeps the number of
+    files per day bounded without sending a whole day or a busy execution to one task.
     """
+    _by_day(events).write.mode("append").partitionBy("event_date").parquet(path)
+
+
+def _by_day(events: DataFrame, slices: int = 64) -> DataFrame:
     dated = events.withColumn("event_date", F.to_date("created_at"))
-    slices = F.pmod(F.xxhash64("execution_id", "id"), F.lit(64))
-    (
-        dated.repartition("event_date", slices)
-        .sortWithinPartitions("event_date", "execution_id", "created_at")
-        .write.mode("append").partitionBy("event_date").parquet(path)
+    piece = F.pmod(F.xxhash64("execution_id", "id"), F.lit(slices))
+    return dated.repartition("event_date", piece).sortWithinPartitions(
+        "event_date", "execution_id", "created_at"
     )
 
 
@@ -122,8 +124,7 @@ def rewrite_days(events: DataFrame, path: str) -> None:
     ``events`` must not be read from the same path lazily; see ``plans.jobs.retention``.
     """
     (
-        events.withColumn("event_date", F.to_date("created_at"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        _by_day(events).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("event_date").parquet(path)
     )
 
