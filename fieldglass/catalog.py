@@ -98,8 +98,27 @@ def field_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
 
+CHECKS_SCHEMA = "document_type string, checks array<struct<field:string,pos:int,metric:string>>"
+
+
+def default_checks(spark: SparkSession) -> DataFrame:
+    """The fixed catalog, one row per document type with its (field, metric) checks."""
+    rows = [
+        (
+            doc_type,
+            [
+                (name, pos, metric)
+                for name, _, metrics in fields
+                for pos, metric in enumerate(metrics or (DEFAULT_METRIC,))
+            ],
+        )
+        for doc_type, fields in FIELDS.items()
+    ]
+    return spark.createDataFrame(rows, CHECKS_SCHEMA)
+
+
 def checks_by_type(catalog: DataFrame) -> DataFrame:
-    """Catalog folded to one row per document type with an array of (field, metric)."""
+    """A catalog table folded to one row per document type with an array of checks."""
     return (
         catalog.select(
             "document_type", "field", F.posexplode("metrics").alias("pos", "metric")

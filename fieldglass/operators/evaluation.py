@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import checks_by_type, field_catalog
+from ..catalog import checks_by_type, default_checks
 from ..constants import SKIP_SCORE
 from ..functions import labels, metrics, text
 
@@ -59,9 +59,8 @@ def align_fields(pairs: DataFrame, catalog: DataFrame | None = None) -> DataFram
     Driven by the catalog: a missing value is null, undeclared fields are ignored.
     ``checks`` is null when the document type has no declared fields.
     """
-    if catalog is None:
-        catalog = field_catalog(pairs.sparkSession)
-    by_type = checks_by_type(catalog).withColumnRenamed("document_type", "catalog_type")
+    checks = default_checks(pairs.sparkSession) if catalog is None else checks_by_type(catalog)
+    by_type = checks.withColumnRenamed("document_type", "catalog_type")
     joined = pairs.join(
         F.broadcast(by_type), F.lower(pairs["document_type"]) == by_type["catalog_type"], "left"
     )

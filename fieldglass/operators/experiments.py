@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.protect import observation_without_values
 from .events import page
+from .slices import join_children
 
 
 def filter_experiments(experiments: DataFrame, project_id=None, metric_name=None) -> DataFrame:
@@ -89,8 +90,7 @@ def experiment_with_observations(experiments: DataFrame, observations: DataFrame
 
     Children stay rows instead of one nested list, so a huge experiment is many rows.
     """
-    child = observations.withColumnRenamed("experiment_id", "__eid")
-    return experiments.join(child, experiments["id"] == child["__eid"], "left").drop("__eid")
+    return join_children(experiments, observations, "id", "experiment_id")
 
 
 def export_experiments(experiments: DataFrame, observations: DataFrame,

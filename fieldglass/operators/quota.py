@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from .. import constants as K
-from .slices import attach_summary
+from .slices import AT, attach_summary, group_of, place
 
 
 def request_ordinals(requests: DataFrame, key: str = "api_key") -> DataFrame:
@@ -16,34 +17,38 @@ def request_ordinals(requests: DataFrame, key: str = "api_key") -> DataFrame:
     totals place the second inside its minute and day. The busiest key costs one
     second of its traffic per task, plus 86 400 small rows per day.
     """
-    timed = requests.withColumns(
-        {
-            "second": F.date_trunc("second", "ts"),
-            "minute_start": F.date_trunc("minute", "ts"),
-            "day_start": F.date_trunc("day", "ts"),
-        }
+    timed = place(
+        requests.withColumns(
+            {"minute_start": F.date_trunc("minute", "ts"), "day_start": F.date_trunc("day", "ts")}
+        ),
+        [key],
+        F.date_trunc("second", "ts"),
     )
-    per_second = timed.groupBy(key, "second").agg(
+    per_second = timed.groupBy(AT).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("minute_start").alias("m"),
         F.min("day_start").alias("d"),
     )
-    before = [Window.unboundedPreceding, -1]
-    in_minute = Window.partitionBy(key, "d", "m").orderBy("second").rowsBetween(*before)
-    in_day = Window.partitionBy(key, "d").orderBy("second").rowsBetween(*before)
+
+    def earlier(*within: str) -> WindowSpec:
+        return (
+            Window.partitionBy(*group_of([key]), *within)
+            .orderBy(f"{AT}.slice")
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+
     offsets = per_second.withColumns(
         {
-            "before_minute": F.coalesce(F.sum("n").over(in_minute), F.lit(0)),
-            "before_day": F.coalesce(F.sum("n").over(in_day), F.lit(0)),
+            "before_minute": F.coalesce(F.sum("n").over(earlier("d", "m")), F.lit(0)),
+            "before_day": F.coalesce(F.sum("n").over(earlier("d")), F.lit(0)),
         }
     )
-    rn = F.row_number().over(Window.partitionBy(key, "second").orderBy("ts", "id"))
     return (
-        attach_summary(timed, offsets, [key, "second"], ["before_minute", "before_day"])
-        .withColumn("rn", rn)
+        attach_summary(timed, offsets, ["before_minute", "before_day"])
+        .withColumn("rn", F.row_number().over(Window.partitionBy(AT).orderBy("ts", "id")))
         .withColumn("minute_count", F.col("before_minute") + F.col("rn"))
         .withColumn("day_count", F.col("before_day") + F.col("rn"))
-        .drop("before_minute", "before_day", "rn", "second")
+        .drop("before_minute", "before_day", "rn", AT)
     )
 
 

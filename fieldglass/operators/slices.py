@@ -5,6 +5,11 @@ all rows, and a plain window over it runs in a single task. These operators cut
 each group into consecutive slices of its own order (a second, an hour, a block of
 ids), work inside the slices, and connect the slices through a small per-slice
 summary. The result is the same as that of the plain window.
+
+Group keys and slice travel as one struct, ``__at``. Structs with null members
+compare as equal, so null keys form a group like any other, and because the
+aggregate, the join and the window all hash the same column, the rows are shuffled
+once.
 """
 
 from __future__ import annotations
@@ -12,22 +17,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SLICE, _COUNT = "__slice", "__count"
+AT = "__at"
 
 
-def _null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[f"__r_{n}"])
-    return cond
+def place(df: DataFrame, keys: list[str], slice_by: Column) -> DataFrame:
+    """Adds the struct of group keys and slice."""
+    return df.withColumn(AT, F.struct(*[F.col(k).alias(k) for k in keys], slice_by.alias("slice")))
 
 
-def attach_summary(
-    rows: DataFrame, summary: DataFrame, keys: list[str], values: list[str], how: str = "left"
-) -> DataFrame:
-    """Join per-slice values to the rows of the slice; null keys match null keys."""
-    right = summary.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *values)
-    return rows.join(right, _null_safe(rows, right, keys), how).drop(*[f"__r_{k}" for k in keys])
+def group_of(keys: list[str]) -> list[Column]:
+    return [F.col(f"{AT}.{k}") for k in keys]
+
+
+def attach_summary(rows: DataFrame, summary: DataFrame, values: list[str], how: str = "left") -> DataFrame:
+    """Join per-slice values to the rows of their slice."""
+    return rows.join(summary.select(AT, *values), AT, how)
 
 
 def ordinal_in_group(
@@ -39,23 +43,22 @@ def ordinal_in_group(
 ) -> DataFrame:
     """``row_number`` over (keys order by order), computed slice by slice.
 
-    ``slice_by`` must not decrease along ``order`` inside a group. Shuffles the rows
-    once, on (keys, slice); the per-slice counts are aggregated map-side first.
+    ``slice_by`` must not decrease along ``order`` inside a group. The per-slice
+    counts are aggregated map-side first; only they are seen per group.
     """
-    sliced = df.withColumn(_SLICE, slice_by)
-    by_slice = [*keys, _SLICE]
-    counts = sliced.groupBy(*by_slice).agg(F.count(F.lit(1)).alias(_COUNT))
+    placed = place(df, keys, slice_by)
+    counts = placed.groupBy(AT).agg(F.count(F.lit(1)).alias("n"))
     earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(_SLICE)
+        Window.partitionBy(*group_of(keys))
+        .orderBy(f"{AT}.slice")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = counts.withColumn("__before", F.coalesce(F.sum(_COUNT).over(earlier), F.lit(0)))
-    local = Window.partitionBy(*by_slice).orderBy(*order)
+    offsets = counts.withColumn("__before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    local = Window.partitionBy(AT).orderBy(*order)
     return (
-        attach_summary(sliced, offsets, by_slice, ["__before"])
+        attach_summary(placed, offsets, ["__before"])
         .withColumn(name, F.col("__before") + F.row_number().over(local))
-        .drop("__before", _SLICE)
+        .drop("__before", AT)
     )
 
 
@@ -71,22 +74,18 @@ def lag_in_group(
 
     Adds ``name`` and the flag ``has_previous``, which tells a null value from no row.
     """
-    sliced = df.withColumn(_SLICE, slice_by)
-    by_slice = [*keys, _SLICE]
-    last = sliced.groupBy(*by_slice).agg(
-        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__last")
-    )
-    carried = last.withColumn(
-        "__carry", F.lag("__last").over(Window.partitionBy(*keys).orderBy(_SLICE))
-    )
-    local = Window.partitionBy(*by_slice).orderBy(*order)
-    joined = attach_summary(sliced, carried, by_slice, ["__carry"])
-    prev = F.coalesce(F.lag(F.struct(F.col(value).alias("v"))).over(local), F.col("__carry"))
+    placed = place(df, keys, slice_by)
+    boxed = F.struct(F.col(value).alias("v"))
+    last = placed.groupBy(AT).agg(F.max_by(boxed, F.struct(*order)).alias("__last"))
+    by_slice = Window.partitionBy(*group_of(keys)).orderBy(f"{AT}.slice")
+    carried = last.withColumn("__carry", F.lag("__last").over(by_slice))
+    local = Window.partitionBy(AT).orderBy(*order)
     return (
-        joined.withColumn("__prev", prev)
+        attach_summary(placed, carried, ["__carry"])
+        .withColumn("__prev", F.coalesce(F.lag(boxed).over(local), F.col("__carry")))
         .withColumn(name, F.col("__prev")["v"])
         .withColumn("has_previous", F.col("__prev").isNotNull())
-        .drop("__prev", "__carry", _SLICE)
+        .drop("__prev", "__carry", AT)
     )
 
 
@@ -121,16 +120,16 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     cut into narrow bands by a monotone function; the bands that hold the middle
     ranks are found from band counts, and only those bands are ordered.
     """
-    hist = (
+    hist = place(
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__band", F.floor(F.signum("__v") * F.log1p(F.abs("__v")) * 256))
+        .agg(F.count(F.lit(1)).alias("__n")),
+        keys,
+        F.floor(F.signum("__v") * F.log1p(F.abs("__v")) * 256),
     )
-    in_band = [*keys, "__band"]
-    bands = hist.groupBy(*in_band).agg(F.sum("__n").alias("__bn"))
-    ordered = Window.partitionBy(*keys).orderBy("__band")
-    whole = Window.partitionBy(*keys)
+    bands = hist.groupBy(AT).agg(F.sum("__n").alias("__bn"))
+    ordered = Window.partitionBy(*group_of(keys)).orderBy(f"{AT}.slice")
+    whole = Window.partitionBy(*group_of(keys))
     wanted = (
         bands.withColumn("__upto", F.sum("__bn").over(ordered))
         .withColumn("__total", F.sum("__bn").over(whole))
@@ -139,10 +138,9 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
         .withColumn("__hi", F.floor(F.col("__total") / 2) + 1)
         .filter((F.col("__before") < F.col("__hi")) & (F.col("__upto") >= F.col("__lo")))
     )
-    inside = attach_summary(hist, wanted, in_band, ["__before", "__lo", "__hi"], "inner")
-    cumulated = Window.partitionBy(*in_band).orderBy("__v")
-    upto = F.col("__before") + F.sum("__n").over(cumulated)
-    ranked = inside.withColumn("__upto", upto).withColumn("__from", upto - F.col("__n"))
+    inside = attach_summary(hist, wanted, ["__before", "__lo", "__hi"], "inner")
+    upto = F.col("__before") + F.sum("__n").over(Window.partitionBy(AT).orderBy("__v"))
+    ranked = inside.withColumn("__upto", upto).withColumn("__from", F.col("__upto") - F.col("__n"))
 
     def holds(rank: str) -> Column:
         return (F.col("__from") < F.col(rank)) & (F.col("__upto") >= F.col(rank))
@@ -150,3 +148,17 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     low = F.max(F.when(holds("__lo"), F.col("__v")))
     high = F.max(F.when(holds("__hi"), F.col("__v")))
     return ranked.groupBy(*keys).agg(((low + high) / 2).alias(name))
+
+
+def join_children(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str) -> DataFrame:
+    """Left outer join of parents with many children each.
+
+    The plan of an outer join cannot split a busy key on its null-supplying side,
+    that of an inner join can. So matching rows come from an inner join, and parents
+    without children are added from an anti join against the distinct child keys.
+    """
+    keyed = children.withColumnRenamed(child_key, "__child")
+    matched = parents.join(keyed, parents[parent_key] == keyed["__child"]).drop("__child")
+    seen = keyed.select("__child").distinct()
+    alone = parents.join(seen, parents[parent_key] == seen["__child"], "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)

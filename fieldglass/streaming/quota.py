@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.quota import request_ordinals, verdict
-from ..operators.slices import attach_summary
+from ..operators.slices import AT, attach_summary, place
 
 
 def quota_windows(requests: DataFrame, size: str, key: str = "api_key",
@@ -58,16 +58,17 @@ def verdict_batch(path: str, per_minute: int = K.LIMIT_PER_MINUTE, per_day: int
         if batch_id > 0:
             carried = spark.read.parquet(f"{path}/counters/batch_id={batch_id - 1}")
             for size in ("minute", "day"):
-                before = carried.filter(F.col("size") == size).select(
-                    key, F.col("start").alias(f"{size}_start"), F.col("n").alias("carry")
-                )
+                before = place(carried.filter(F.col("size") == size), [key], F.col("start"))
                 numbered = (
-                    attach_summary(numbered, before, [key, f"{size}_start"], ["carry"])
+                    attach_summary(
+                        place(numbered, [key], F.col(f"{size}_start")),
+                        before.withColumnRenamed("n", "carry"), ["carry"],
+                    )
                     .withColumn(
                         f"{size}_count",
                         F.col(f"{size}_count") + F.coalesce("carry", F.lit(0)),
                     )
-                    .drop("carry")
+                    .drop("carry", AT)
                 )
         verdict(numbered, per_minute, per_day).write.mode("overwrite").parquet(
             f"{path}/verdicts/batch_id={batch_id}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
@@ -117,5 +117,5 @@ def stream_trim(v: Inputs) -> DataFrame:
     out = scratch_dir(v.spark, "trim")
     run_available(event_stream(v, "messages"), each=SR.trim_batch(out))
     versions = v.spark.read.parquet(out)
-    latest = versions.withColumn("newest", F.max("version").over(Window.partitionBy()))
-    return latest.filter(F.col("version") == F.col("newest")).select("msg_id")
+    newest = versions.agg(F.max("version")).scalar()
+    return versions.filter(F.col("version") == newest).select("msg_id")

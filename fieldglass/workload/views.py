@@ -137,6 +137,14 @@ FROM events""",
 }
 
 
+def _exploded(sql: str) -> str:
+    """The two constant lists of ``label_pairs`` as explodes of the row instead of joins."""
+    rows = "\nFROM customer c LATERAL VIEW inline(array(named_struct('mv', 'a', 'mk', 1)," \
+        " named_struct('mv', 'b', 'mk', 2))) m AS mv, mk LATERAL VIEW" \
+        " explode(array('nom', 'numero_document', 'nationalite', 'lieu_naissance')) f AS field"
+    return sql[: sql.rindex("\nFROM customer")] + rows
+
+
 def _label_tasks_sql() -> str:
     """Spark SQL of the nested tasks; their values are those of ``label_pairs``."""
     balance = "CAST(c_acctbal AS STRING)"
@@ -197,6 +205,8 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
+        if name == "label_pairs":
+            return self.spark.sql(self._spark_sql(_exploded(VIEWS[name])))
         if name in VIEWS:
             return self.spark.sql(self._spark_sql(VIEWS[name]))
         raise AttributeError(name)
