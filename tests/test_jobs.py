@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 import fieldglass.metrics as builtin
 from fieldglass import constants as K
+from fieldglass import schemas as S_
 from fieldglass.catalog import field_catalog
 from fieldglass.operators import custom as C
 from fieldglass.operators import evaluation as E
 from fieldglass.operators import files as O
+from fieldglass.operators.slices import join_children
 from fieldglass.operators.registry import MetricRegistry, discover, prepare_inputs, registry
 from fieldglass.plans import jobs
 from fieldglass.sources import sinks as S
@@ -164,3 +166,36 @@ def test_prompt_history_folders(spark):
     df = spark.createDataFrame([("a/b", "p"), (None, "q")], "document_type string, prompt string")
     S.write_prompt_history(df, root)
     assert sorted(x for x in os.listdir(root) if "=" in x) == ["document_type_key=a_b", "document_type_key=unknown"]
+
+
+def test_tenancy_and_run_tables_read_back(spark):
+    root = folder()
+    for scan, schema in ((T.scan_organizations, S_.ORGANIZATIONS), (T.scan_api_keys, S_.API_KEYS),
+                         (T.scan_webhooks, S_.WEBHOOKS), (T.scan_experiments, S_.EXPERIMENTS),
+                         (T.scan_observations, S_.OBSERVATIONS)):
+        path = f"{root}/{scan.__name__}"
+        spark.createDataFrame([], schema).write.parquet(path)
+        assert scan(spark, path).columns == spark.createDataFrame([], schema).columns
+
+
+def test_own_catalog(spark):
+    catalog = spark.createDataFrame([("cni", "nom", "string", ["equality", "levenshtein_distance"])],
+                                    "document_type string, field string, declared_type string, metrics array<string>")
+    pairs = E.pair_predictions(Inputs(spark, DATA).label_tasks)
+    got = E.field_scores(pairs, catalog).select("field", "metric").distinct().collect()
+    assert sorted(map(tuple, got)) == [("nom", "equality"), ("nom", "levenshtein_distance")]
+
+
+def test_join_children_keeps_parents_without_children(spark):
+    parents = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, name string")
+    children = spark.createDataFrame([(1, "x"), (1, "y"), (9, "z"), (None, "n")], "pid int, v string")
+    got = sorted(map(tuple, join_children(parents, children, "id", "pid").collect()))
+    assert got == [(1, "a", "x"), (1, "a", "y"), (2, "b", None), (3, "c", None)]
+
+
+def test_split_truth_and_predictions(spark):
+    pairs = E.pair_predictions(Inputs(spark, DATA).label_tasks)
+    truths = pairs.select("task_id", "truth").dropDuplicates(["task_id"])
+    joined = E.join_split_tables(pairs.drop("truth"), truths).select(*pairs.columns)
+    score = lambda df: sorted((r.prediction_id, r.score) for r in E.observations(df).collect())
+    assert score(joined) == score(pairs)
