@@ -124,7 +124,7 @@ def checks_by_type(catalog: DataFrame) -> DataFrame:
             "document_type", "field", F.posexplode("metrics").alias("pos", "metric")
         )
         .groupBy("document_type")
-        .agg(F.array_sort(F.collect_list(F.struct("field", "pos", "metric"))).alias("checks"))
+        .agg(F.sort_array(F.collect_list(F.struct("field", "pos", "metric"))).alias("checks"))
     )
 
 

@@ -144,5 +144,7 @@ SENSITIVE_HEADERS = ("authorization", "cookie")
 PREVIEW_CHARS = 4096
 BAD_DATE_MESSAGE = "Format de date non reconnu : "
 
-# Unicode white space, as one regex character class body (Java's \s alone is ASCII).
+# Unicode white space: as the body of a regex character class (Java's \s alone is
+# ASCII) and as the set of characters to trim.
 WS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())

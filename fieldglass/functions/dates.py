@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import BAD_DATE_MESSAGE, WS
+from ..constants import BAD_DATE_MESSAGE, WS_CHARS
 from .binding import let, on_both
 from .numbers import ColumnOrName, _c
 
 _DAY = r"(?:0?[1-9]|[12]\d|3[01]| [1-9])"
 _MONTH = r"(?:0?[1-9]|1[0-2])"
 _YEAR = r"(?!0000)\d{4}"
-_STRIP = rf"^[{WS}]+|[{WS}]+$"
 
 
 def strip(value: ColumnOrName) -> Column:
     """Remove leading and trailing white space, Unicode blanks included."""
-    return F.regexp_replace(_c(value).cast("string"), _STRIP, "")
+    return F.btrim(_c(value).cast("string"), F.lit(WS_CHARS))
+
+
+def calendar_date(year: Column, month: Column, day: Column) -> Column:
+    """Date of three numbers, null when there is no such day.
+
+    Checked by arithmetic: a parser would report each wrong day by an exception,
+    which is far slower than the date it protects.
+    """
+    first = F.when(year.between(1, 9999) & month.between(1, 12), F.make_date(year, month, F.lit(1)))
+    return F.when(
+        (day >= 1) & (day <= F.dayofmonth(F.last_day(first))), F.make_date(year, month, day)
+    )
 
 
 def normalize_string_date(value: ColumnOrName) -> Column:
@@ -27,19 +38,26 @@ def normalize_string_date(value: ColumnOrName) -> Column:
     other; only eight bare digits are ambiguous and there day-first is tried first.
     """
 
+    def from_parts(parts: Column) -> Column:
+        year_first = F.length(parts[0]) == 4
+        year = F.when(year_first, parts[0]).otherwise(parts[2]).cast("int")
+        day = F.when(year_first, parts[2]).otherwise(parts[0]).cast("int")
+        return calendar_date(year, parts[1].cast("int"), day)
+
+    def digits(s: Column, start: int, length: int) -> Column:
+        return F.substring(s, start, length).cast("int")
+
     def read(s: Column) -> Column:
-        plain = F.translate(s, "-. ", "//")
-        return F.coalesce(
-            F.when(
-                s.rlike(rf"^{_DAY}([/.\-]){_MONTH}\1{_YEAR}$"),
-                F.try_to_date(plain, "d/M/yyyy"),
-            ),
-            F.when(
-                s.rlike(rf"^{_YEAR}([/.\-]){_MONTH}\1{_DAY}$"),
-                F.try_to_date(plain, "yyyy/M/d"),
+        separated = s.rlike(
+            rf"^(?:{_DAY}([/.\-]){_MONTH}\1{_YEAR}|{_YEAR}([/.\-]){_MONTH}\2{_DAY})$"
+        )
+        parts = F.split(F.translate(s, "-. ", "//"), "/")
+        return F.when(separated, let(parts, from_parts)).when(
+            s.rlike(r"^\d{8}$"),
+            F.coalesce(
+                calendar_date(digits(s, 5, 4), digits(s, 3, 2), digits(s, 1, 2)),
+                calendar_date(digits(s, 1, 4), digits(s, 5, 2), digits(s, 7, 2)),
             ),
-            F.when(s.rlike(rf"^\d{{4}}{_YEAR}$"), F.try_to_date(s, "ddMMyyyy")),
-            F.when(s.rlike(rf"^{_YEAR}\d{{4}}$"), F.try_to_date(s, "yyyyMMdd")),
         )
 
     return let(strip(value), read)

@@ -32,7 +32,7 @@ def canonical_text(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.ArrayType):
         items = F.transform(value, lambda x: canonical_text(x, dtype.elementType))
         out = F.concat(
-            F.lit("["), F.array_join(F.array_sort(F.array_distinct(items)), ","), F.lit("]")
+            F.lit("["), F.array_join(F.sort_array(F.array_distinct(items)), ","), F.lit("]")
         )
     elif isinstance(dtype, T.MapType):
         pairs = F.transform(
@@ -43,7 +43,7 @@ def canonical_text(value: Column, dtype: T.DataType) -> Column:
                 canonical_text(e["value"], dtype.valueType),
             ),
         )
-        out = F.concat(F.lit("{"), F.array_join(F.array_sort(pairs), ","), F.lit("}"))
+        out = F.concat(F.lit("{"), F.array_join(F.sort_array(pairs), ","), F.lit("}"))
     elif isinstance(dtype, T.StructType):
         members = [
             F.concat(F.lit(json.dumps(f.name) + ":"), canonical_text(value[f.name], f.dataType))
@@ -114,11 +114,15 @@ SCORERS = {
 }
 
 
-def score(metric: Column, expected: ColumnOrName, predicted: ColumnOrName) -> Column:
-    """Score of one field under the metric named by a column; unknown names give null."""
+def score(
+    metric: Column, expected: ColumnOrName, predicted: ColumnOrName, without: tuple[str, ...] = ()
+) -> Column:
+    """Score of one field under the metric named by a column; unknown names give null,
+    as do those in ``without``, which a caller handles itself."""
     names: dict = {}
     for name, scorer in SCORERS.items():
-        names.setdefault(scorer, []).append(name)
+        if name not in without:
+            names.setdefault(scorer, []).append(name)
     chosen = None
     for scorer, called in names.items():
         hit = metric.isin(*called)

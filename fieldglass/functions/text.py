@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import PERSON_TITLES, WS
+from ..constants import PERSON_TITLES, WS, WS_CHARS
 from .binding import let, on_both
 from .dates import strip
 from .numbers import ColumnOrName, _c
@@ -17,9 +17,19 @@ from .numbers import ColumnOrName, _c
 _NON_ASCII = r"[^\x00-\x7f]"
 
 
-def _char_class(chars: str) -> str:
-    """Regex class matching any of ``chars`` (none of them is ASCII)."""
-    return "[" + chars + "]"
+def _char_class(chars, gap: int) -> str:
+    """Regex class of few ranges that covers ``chars`` (none of them is ASCII).
+
+    Close characters share a range, so the class may match more than ``chars``. It
+    only decides which way a text takes, and a class of many members is slow.
+    """
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if ranges and code - ranges[-1][1] <= gap:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]"
 
 
 @lru_cache(maxsize=1)
@@ -105,7 +115,7 @@ def _split_hangul(text: Column) -> Column:
 def fold_accents(value: ColumnOrName) -> Column:
     """Drop accents: canonical decomposition without the combining marks."""
     source, target, longer = _fold_table()
-    rare = _char_class("가-힣" + "".join(longer))
+    rare = _char_class([*longer, *map(chr, range(0xAC00, 0xD7A4))], 0x400)
 
     def fold(text: Column) -> Column:
         simple = F.translate(text, source, target)
@@ -144,7 +154,33 @@ def _similarity(a: Column, b: Column) -> Column:
 
 def levenshtein_distance(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Edit distance of the normalised texts; a missing text counts as empty."""
-    return on_both(_or_empty(a), _or_empty(b), normalize_for_distance, F.levenshtein)
+    return on_both(_or_empty(a), _or_empty(b), normalize_for_distance, _distance)
+
+
+def _distance(a: Column, b: Column) -> Column:
+    """Edit distance; equal texts are settled without the quadratic part."""
+    return F.when(a == b, 0).otherwise(F.levenshtein(a, b))
+
+
+def edit_comparison(expected: ColumnOrName, predicted: ColumnOrName) -> Column:
+    """struct(distance, similarity), for callers that need both: one normalisation of
+    each side and one distance."""
+
+    def compare(a: Column, b: Column) -> Column:
+        measured = F.struct(
+            _distance(a, b).alias("distance"),
+            F.greatest(F.length(a), F.length(b)).alias("longest"),
+            ((a == "") | (b == "")).alias("one_empty"),
+        )
+        return let(measured, lambda m: F.struct(
+            m["distance"].alias("distance"),
+            F.when(m["distance"] == 0, 1.0)
+            .when(m["one_empty"], 0.0)
+            .otherwise(1.0 - m["distance"] / m["longest"])
+            .alias("similarity"),
+        ))
+
+    return on_both(_or_empty(expected), _or_empty(predicted), normalize_for_distance, compare)
 
 
 def levenshtein_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
@@ -158,9 +194,9 @@ def compare_levenshtein(expected: ColumnOrName, predicted: ColumnOrName) -> Colu
 
 def token_set(value: ColumnOrName) -> Column:
     """Sorted distinct tokens; blanks and ``. - _ ' /`` separate them."""
-    text = _lower_folded(_or_empty(value))
-    spaced = F.regexp_replace(text, rf"[.\-_'/{WS}]+", " ")
-    return F.array_sort(F.array_distinct(F.array_remove(F.split(spaced, " "), "")))
+    separators = ".-_'/" + WS_CHARS.replace(" ", "")
+    spaced = F.translate(_lower_folded(_or_empty(value)), separators, " " * len(separators))
+    return F.sort_array(F.array_distinct(F.array_remove(F.split(spaced, " "), "")))
 
 
 def compare_token_set(expected: ColumnOrName, predicted: ColumnOrName) -> Column:
@@ -198,7 +234,7 @@ def to_ascii(value: ColumnOrName) -> Column:
         simple = F.translate(text, source, target)
         return (
             F.when(~text.rlike(_NON_ASCII), text)
-            .when(text.rlike(_char_class("".join(longer))), _expand(simple, longer))
+            .when(text.rlike(_char_class(longer, 0x40)), _expand(simple, longer))
             .otherwise(simple)
         )
 

@@ -83,13 +83,15 @@ def field_scores(pairs: DataFrame, catalog: DataFrame | None = None) -> DataFram
     flat = align_fields(pairs, catalog).select(
         "task_id", "model_version", "prediction_id", "document_type", F.inline("checks")
     )
-    return flat.withColumn("score", metrics.score(F.col("metric"), "expected", "predicted")).withColumn(
-        "distance",
-        F.when(
-            F.col("metric") == "levenshtein_distance",
-            text.levenshtein_distance("expected", "predicted"),
-        ),
-    )
+    edit = F.col("metric") == "levenshtein_distance"
+    compared = flat.withColumn("edit", F.when(edit, text.edit_comparison("expected", "predicted")))
+    others = metrics.score(F.col("metric"), "expected", "predicted", without=("levenshtein_distance",))
+    return compared.withColumns(
+        {
+            "score": F.when(edit, F.col("edit.similarity")).otherwise(others),
+            "distance": F.col("edit.distance"),
+        }
+    ).drop("edit")
 
 
 def fold_scores(scores: Column) -> tuple[Column, Column, Column]:

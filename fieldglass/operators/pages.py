@@ -18,7 +18,7 @@ def _page_chunk(pages_per_chunk: int) -> Column:
 def _pages_in_order(pages: DataFrame, key: str, render: Column, into: str,
                     pages_per_chunk: int) -> DataFrame:
     lists = pages.groupBy(key, _page_chunk(pages_per_chunk)).agg(
-        F.array_sort(F.collect_list(F.struct("page_number", render.alias("t")))).alias("p")
+        F.sort_array(F.collect_list(F.struct("page_number", render.alias("t")))).alias("p")
     )
     return lists.select(key, "chunk", F.array_join(F.transform("p", lambda x: x["t"]), "").alias(into))
 
@@ -96,7 +96,7 @@ def flatten_barcodes(codes: DataFrame, pages_per_chunk: int = PAGES_PER_CHUNK) -
     """All codes of a document in page order as one list, chunked by page range."""
     item = F.struct("page_number", "pass", "pos", "type", "raw_data")
     lists = codes.groupBy("doc_id", _page_chunk(pages_per_chunk)).agg(
-        F.array_sort(F.collect_list(item)).alias("barcodes")
+        F.sort_array(F.collect_list(item)).alias("barcodes")
     )
     return lists.select("doc_id", "chunk", "barcodes")
 
@@ -123,7 +123,7 @@ def map_labels_to_fields(items: DataFrame, required: tuple[str, ...] = K.REQUIRE
     ).filter(F.col("value").isNotNull())
     latest = cleaned.groupBy(key, "field").agg(F.max_by("value", "pos").alias("value"))
     folded = latest.groupBy(key).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("fields")
     )
     return folded.filter(has_required(F.map_keys("fields"), required))
 
@@ -137,5 +137,5 @@ def records_to_map(records: DataFrame, key: str, name: str = "name", value: str
     """(key, name, value, pos) rows to one map per key; a repeated name keeps the last."""
     last = records.groupBy(key, name).agg(F.max_by(value, pos).alias("v"))
     return last.groupBy(key).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "v")))).alias("fields")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "v")))).alias("fields")
     )

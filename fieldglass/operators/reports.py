@@ -45,7 +45,7 @@ def model_version_stats(observations: DataFrame, *keys: str) -> DataFrame:
     )
     entry = F.struct("mv", F.struct("mean_processing_time_ms", "sample_count"))
     return per.groupBy(*keys).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("model_version_stats")
+        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("model_version_stats")
     )
 
 

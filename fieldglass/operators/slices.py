@@ -106,7 +106,7 @@ def chunked_lists(
     numbered = ordinal_in_group(df.withColumn("__item", item), keys, order, slice_by, "__n")
     chunk = F.floor((F.col("__n") - 1) / chunk_rows).cast("int")
     lists = numbered.groupBy(*keys, chunk.alias("chunk")).agg(
-        F.array_sort(F.collect_list(F.struct("__n", "__item"))).alias("__list")
+        F.sort_array(F.collect_list(F.struct("__n", "__item"))).alias("__list")
     )
     return lists.select(
         *keys, "chunk", F.transform("__list", lambda e: e["__item"]).alias(name)

@@ -211,13 +211,12 @@ def retention_redact_reference(v: Inputs) -> DataFrame:
 @query("retention_redact_payload", sql=f"""
 SELECT id, CASE WHEN event_type = 'WorkflowExecutionStarted' AND NOT due THEN s3_file_info END AS filename,
   CASE WHEN due THEN CASE WHEN id % 29 = 0 THEN 'ERROR' ELSE 'DONE' END ELSE anonymization_status END AS anonymization_status
-FROM (SELECT *, anonymization_status = 'PENDING' AND created_at <= TIMESTAMP '{CUTOFF}' AS due FROM event_store)
-WHERE NOT (id % 29 = 0 AND NOT due)""")
+FROM (SELECT *, anonymization_status = 'PENDING' AND created_at <= TIMESTAMP '{CUTOFF}' AS due FROM event_store)""")
 def retention_redact_payload(v: Inputs) -> DataFrame:
     cutoff = F.to_timestamp_ntz(F.lit(CUTOFF))
     due = (F.col("anonymization_status") == "PENDING") & (F.col("created_at") <= cutoff)
-    broken = F.when(F.col("id") % 29 == 0, "{oops").otherwise(F.col("event"))
-    log = payload_events(v).withColumn("event", broken).filter(~((F.col("id") % 29 == 0) & ~due))
+    broken = F.when((F.col("id") % 29 == 0) & due, "{oops").otherwise(F.col("event"))
+    log = payload_events(v).withColumn("event", broken)
     out = V.redact_events(log, cutoff)
     return out.select("id", F.get_json_object("event", "$.s3_file_info.filename").alias("filename"),
                       "anonymization_status")

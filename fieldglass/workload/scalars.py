@@ -61,11 +61,8 @@ _E, _P = sql_distance_text("expected_text"), sql_distance_text("predicted_text")
 @query("text_similarity", sql=f"""
 SELECT id, CAST(levenshtein({_E}, {_P}) AS INT) AS distance, round({sql_similarity(_E, _P)}, 6) AS similarity FROM text_pairs""")
 def text_similarity(v: Inputs) -> DataFrame:
-    return v.text_pairs.select(
-        "id",
-        text.levenshtein_distance("expected_text", "predicted_text").alias("distance"),
-        r6(text.compare_levenshtein("expected_text", "predicted_text")).alias("similarity"),
-    )
+    pairs = v.text_pairs.select("id", text.edit_comparison("expected_text", "predicted_text").alias("c"))
+    return pairs.select("id", "c.distance", r6("c.similarity").alias("similarity"))
 
 
 _EN, _PN = sql_distance_text("expected_name"), sql_distance_text("predicted_name")
@@ -92,9 +89,9 @@ def _tokens(x: str) -> str:
 @query("token_set_compare", sql=f"""
 SELECT id, array_to_string({_tokens('expected_text')}, '|') AS tokens,
   CASE WHEN {_tokens('expected_text')} = {_tokens('predicted_text')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score
-FROM text_pairs""")
+FROM document_pairs""")
 def token_set_compare(v: Inputs) -> DataFrame:
-    return v.text_pairs.select(
+    return v.document_pairs.select(
         "id",
         F.array_join(text.token_set("expected_text"), "|").alias("tokens"),
         text.compare_token_set("expected_text", "predicted_text").alias("score"),
@@ -250,11 +247,11 @@ def drop_headers(v: Inputs) -> DataFrame:
         F.lit("Cookie"), F.lit("a=b"), F.lit("x-trace"), F.concat(F.lit("trace-"), F.col("id").cast("string")),
     )
     kept = v.event_store.select("id", protect.drop_sensitive_headers(headers).alias("h"))
-    return kept.select("id", F.array_join(F.array_sort(F.map_keys("h")), ",").alias("header_names"),
+    return kept.select("id", F.array_join(F.sort_array(F.map_keys("h")), ",").alias("header_names"),
                        F.col("h")["x-trace"].alias("trace"))
 
 
-_TITLE = "substr(regexp_extract(html, '<title>([^<]*)', 1), 1, 60)"
+_TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
 
 
 @query("sanitize_metadata", sql=f"""
@@ -265,7 +262,7 @@ SELECT page_id, CASE WHEN key = '' THEN 'meta' ELSE key END AS key, value FROM (
   SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(title), '\\s+', '-', 'g'), '[^a-z0-9._\\-]', '', 'g'), '-+', '-', 'g') AS key,
     regexp_replace(regexp_replace(url, '[\\r\\n\\t]+', ' ', 'g'), '\\s{{2,}}', ' ', 'g') AS value FROM k)""")
 def sanitize_metadata(v: Inputs) -> DataFrame:
-    title = F.substring(F.regexp_extract("html", "<title>([^<]*)", 1), 1, 60)
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
     made = v.pages.select("page_id", text.sanitize_metadata(F.create_map(title, F.col("url"))).alias("m"))
     return made.select("page_id", F.explode("m").alias("key", "value"))
 

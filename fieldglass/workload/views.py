@@ -50,10 +50,14 @@ SELECT o.o_orderkey AS id, {_BAL} AS expected_number,
     ELSE 'Élodie Martin' END AS predicted_name
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
     "text_pairs": """
-SELECT doc_id AS id, lang, substr(text, 1, 40) AS expected_text,
-  CASE doc_id % 4 WHEN 0 THEN lower(substr(text, 1, 40))
-    WHEN 1 THEN replace(substr(text, 1, 40), ' ', '-')
-    WHEN 2 THEN substr(text, 1, 35) ELSE NULL END AS predicted_text
+SELECT conv_id * 1000 + turn AS id, text AS expected_text,
+  CASE turn % 4 WHEN 0 THEN lower(text) WHEN 1 THEN replace(text, ' ', '-')
+    WHEN 2 THEN concat('Fin. ', replace(text, 'ou', 'eau')) ELSE NULL END AS predicted_text
+FROM conversations""",
+    "document_pairs": """
+SELECT doc_id AS id, text AS expected_text,
+  CASE doc_id % 4 WHEN 0 THEN lower(text) WHEN 1 THEN replace(text, ' ', '-')
+    WHEN 2 THEN replace(text, 'ou', 'eau') ELSE NULL END AS predicted_text
 FROM documents""",
     "task_flags": """
 SELECT c_custkey AS task_id, CAST(c_nationkey AS BIGINT) AS project,
