@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import TIME_KEY
+from ..constants import RETRYABLE_ERROR, TIME_KEY
 from ..functions.labels import create_task, map_to_results
 from ..functions.properties import truthy_properties
 from ..functions.text import last_wins_map
@@ -71,13 +71,17 @@ def predict(
 
     ``extract(row)`` returns a dict with ``properties`` (list of name/value/type) and
     optionally ``execution_id`` and ``total_processing_time_ms``. Each row gets its
-    own success, error and time. The result list and the model version are those a
-    prediction would be stored with. ``n_partitions`` spreads slow extractors.
+    own success, error and time; an exception class named like the retryable error
+    (or derived from it) is reported as that. The result list and the model version
+    are those a prediction would be stored with. ``n_partitions`` spreads slow
+    extractors.
     """
+    retryable = RETRYABLE_ERROR
     keyed_by_execution = key == "execution_id"
     own = "" if keyed_by_execution else "execution_id string, "
     schema = (
-        f"{key} {tasks.schema[key].dataType.simpleString()}, success boolean, error string, {own}"
+        f"{key} {tasks.schema[key].dataType.simpleString()}, success boolean, error string,"
+        f" error_type string, {own}"
         f"{TIME_KEY} double, properties {_PROPERTIES}"
     )
 
@@ -86,7 +90,7 @@ def predict(
 
         import pandas as pd
 
-        names = [key, "success", "error", "run", "total_processing_time_ms", "properties"]
+        names = [key, "success", "error", "error_type", "run", "total_processing_time_ms", "properties"]
         for batch in batches:
             rows = []
             for row in batch.to_dict("records"):
@@ -104,9 +108,11 @@ def predict(
                         }
                         for p in found.get("properties") or []
                     ]
-                    rows.append((row[key], True, None, found.get("execution_id"), float(spent), properties))
+                    rows.append((row[key], True, None, None, found.get("execution_id"), float(spent), properties))
                 except Exception as exc:  # noqa: BLE001 - user code may raise anything
-                    rows.append((row[key], False, str(exc), None, None, None))
+                    kinds = [c.__name__ for c in type(exc).__mro__]
+                    kind = retryable if retryable in kinds else kinds[0]
+                    rows.append((row[key], False, str(exc), kind, None, None, None))
             done = pd.DataFrame(rows, columns=names)
             yield (
                 done.drop(columns="run") if keyed_by_execution

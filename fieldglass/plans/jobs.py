@@ -88,8 +88,7 @@ def execution_pipeline(
     ran = custom.predict(
         ready.filter(F.col("blocked").isNull()).drop("blocked", "error"),
         run_steps, key="execution_id", n_partitions=n_partitions,
-    ).select("execution_id", "success", "error", F.lit(None).cast("string").alias("error_type"),
-             "result")
+    ).select("execution_id", "success", "error", "error_type", "result")
     refused = ready.filter(F.col("blocked").isNotNull()).select(
         "execution_id",
         F.lit(False).alias("success"),

@@ -12,11 +12,12 @@ from ..operators.reports import model_version_stats
 
 
 def build_events(df: DataFrame, event_type: str, members: dict[str, Column],
-                 defaults: dict[str, Column] | None = None) -> DataFrame:
+                 defaults: dict[str, Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Event rows with a JSON payload from the columns of ``df``.
 
     ``members`` are payload members; ``defaults`` fill the ones that are null.
-    Identity columns, version and time are part of every payload.
+    Identity columns, version and time are part of every payload. Columns named in
+    ``keep`` stay beside the event.
     """
     defaults = defaults or {}
     filled = {
@@ -43,6 +44,7 @@ def build_events(df: DataFrame, event_type: str, members: dict[str, Column],
         F.lit(event_type).alias("event_type"),
         payload.alias("event"),
         F.lit("PENDING").alias("anonymization_status"),
+        *keep,
     )
 
 
@@ -81,23 +83,23 @@ def step_events(df: DataFrame) -> DataFrame:
     }, {"step_result": F.lit("{}")})
 
 
-def completed_events(df: DataFrame) -> DataFrame:
+def completed_events(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return build_events(df, K.COMPLETED, {
         "final_result": F.col("final_result"),
         "total_processing_time_ms": F.col("total_processing_time_ms"),
         "output_summary": _given(df, "output_summary", "string"),
         "steps_completed": F.col("steps_completed"),
         "workflow_metadata": _given(df, "workflow_metadata", "array<string>"),
-    }, {"output_summary": F.lit("{}")})
+    }, {"output_summary": F.lit("{}")}, keep)
 
 
-def failed_events(df: DataFrame) -> DataFrame:
+def failed_events(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return build_events(df, K.FAILED, {
         "error_type": F.col("error_type"),
         "error_message": F.col("error_message"),
         "failed_step": _given(df, "failed_step", "string"),
         "retry_count": _given(df, "retry_count", "int"),
-    }, {"retry_count": F.lit(0)})
+    }, {"retry_count": F.lit(0)}, keep)
 
 
 def append_events(events: DataFrame, path: str) -> None:

@@ -16,15 +16,27 @@ def run_available(
     mode: str = "append",
     each: Callable[[DataFrame, int], None] | None = None,
     checkpoint: str | None = None,
+    partitions: int | None = None,
 ) -> StreamingQuery:
-    """Process everything available, to parquet at ``path`` or to ``each(batch, id)``."""
+    """Process everything available, to parquet at ``path`` or to ``each(batch, id)``.
+
+    ``partitions`` is the number of state partitions of a new query. It is fixed for
+    the life of a checkpoint, so it is given here and not left to a session default.
+    """
     spark = stream.sparkSession
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    if partitions:
+        spark.conf.set(setting, partitions)
     writer = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint or scratch_dir(spark, "offsets"))
         .trigger(availableNow=True)
     )
-    query = writer.foreachBatch(each).start() if each else writer.format("parquet").start(path)
+    try:
+        query = writer.foreachBatch(each).start() if each else writer.format("parquet").start(path)
+    finally:
+        spark.conf.set(setting, before)
     query.awaitTermination()
     return query
 

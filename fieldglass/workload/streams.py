@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_dir
 from ..sources.streams import read_message_stream
+from ..streaming import pipeline as SP
 from ..streaming import quota as SQ
 from ..streaming import routing as SR
 from ..streaming import state as SS
@@ -16,6 +17,13 @@ from .registry import query
 from .tenants import FANOUT_SQL
 from .views import VIEWS, Inputs, at, sql_at
 
+
+
+def replay(v: Inputs, stream: DataFrame, **to) -> None:
+    """Run a stream to its end, with one state partition per core."""
+    run_available(stream, partitions=v.spark.sparkContext.defaultParallelism, **to)
+
+
 _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -29,7 +37,7 @@ def event_stream(v: Inputs, view: str) -> DataFrame:
 @query("stream_route", sql=messages.ROUTE_SQL)
 def stream_route(v: Inputs) -> DataFrame:
     out = scratch_dir(v.spark, "routes")
-    run_available(event_stream(v, "messages"), each=SR.route_batch(out, "consumer-1", ("k",)))
+    replay(v, event_stream(v, "messages"), each=SR.route_batch(out, "consumer-1", ("k",)))
     return v.spark.read.parquet(out).select("msg_id", "retries", "route", "reason", "next_retries")
 
 
@@ -39,7 +47,7 @@ FROM requests GROUP BY api_key, date_trunc('minute', ts)""")
 def stream_quota(v: Inputs) -> DataFrame:
     out = scratch_dir(v.spark, "windows")
     windows = SQ.quota_windows(event_stream(v, "requests"), "1 minute")
-    run_available(windows, mode="update", each=batch_writer(out))
+    replay(v, windows, mode="update", each=batch_writer(out))
     # Update mode writes a window again when it grows, so the largest count is its state.
     return v.spark.read.parquet(out).groupBy("api_key", at("window_start").alias("window_start")).agg(
         F.max("requests").alias("requests"))
@@ -48,7 +56,7 @@ def stream_quota(v: Inputs) -> DataFrame:
 @query("stream_quota_verdicts", sql=event_log.QUOTA_SQL)
 def stream_quota_verdicts(v: Inputs) -> DataFrame:
     out = scratch_dir(v.spark, "verdicts")
-    run_available(event_stream(v, "requests"), each=SQ.verdict_batch(out, 1, 20, keep_days=60))
+    replay(v, event_stream(v, "requests"), each=SQ.verdict_batch(out, 1, 20, keep_days=60))
     return event_log.shape_verdicts(v.spark.read.parquet(f"{out}/verdicts"))
 
 
@@ -59,7 +67,7 @@ FROM event_store GROUP BY 1""")
 def stream_status(v: Inputs) -> DataFrame:
     out = scratch_dir(v.spark, "status")
     states = SS.execution_state(event_stream(v, "event_store"))
-    run_available(states, mode="update", each=batch_writer(out))
+    replay(v, states, mode="update", each=batch_writer(out))
     newest = F.max_by(F.struct("event_id", "updated_at", "status", "events"), F.col("events"))
     return (
         v.spark.read.parquet(out).groupBy("execution_id").agg(newest.alias("s"))
@@ -79,7 +87,7 @@ def stream_await(v: Inputs) -> DataFrame:
     SS.use_rocksdb(v.spark)
     out = scratch_dir(v.spark, "await")
     closed = SS.await_with_timeout(event_stream(v, "event_store"), _WAIT, _WAIT)
-    run_available(closed, path=out)
+    replay(v, closed, path=out)
     return v.spark.read.parquet(out).select("execution_id", "start_id", "result_id", "status")
 
 
@@ -90,7 +98,7 @@ def stream_notify(v: Inputs) -> DataFrame:
     results = ended.select("id", "execution_id", "organization_id", "error_type",
                            (F.col("retry_count") >= 2).alias("is_last_retry"))
     out = scratch_dir(v.spark, "notify")
-    run_available(SR.notify_finished(results, v.webhooks), path=out)
+    replay(v, SR.notify_finished(results, v.webhooks), path=out)
     return v.spark.read.parquet(out).select("id", "execution_id", "webhook_id", "url")
 
 
@@ -108,14 +116,75 @@ def stream_reclaim(v: Inputs) -> DataFrame:
         "retries", "data",
     )
     out = scratch_dir(v.spark, "reclaim")
-    run_available(SS.reclaim_stream(deliveries), path=out)
+    replay(v, SS.reclaim_stream(deliveries), path=out)
     return v.spark.read.parquet(out).select("msg_id", "route", "reason", "next_retries")
 
 
 @query("stream_trim", sql="SELECT msg_id FROM messages ORDER BY delivered_at DESC, msg_id DESC LIMIT 1000")
 def stream_trim(v: Inputs) -> DataFrame:
     out = scratch_dir(v.spark, "trim")
-    run_available(event_stream(v, "messages"), each=SR.trim_batch(out))
+    replay(v, event_stream(v, "messages"), each=SR.trim_batch(out))
     versions = v.spark.read.parquet(out)
     newest = versions.agg(F.max("version")).scalar()
     return versions.filter(F.col("version") == newest).select("msg_id")
+
+
+def pipeline_messages(v: Inputs) -> DataFrame:
+    """Every event as a message that asks to run its execution; some are unreadable."""
+    e = event_stream(v, "event_store")
+    request = F.to_json(F.struct(F.col("execution_id").alias("workflow_execution_id")))
+    return e.select(
+        F.col("id").alias("msg_id"),
+        F.when(F.col("id") % 17 == 0, "{bad").otherwise(request).alias("data"),
+        F.col("retry_count").alias("retries"),
+    )
+
+
+def step_runner():
+    class RetryableException(Exception):
+        pass
+
+    def run(row: dict) -> dict:
+        if row["id"] % 5 == 0:
+            raise RetryableException("later")
+        if row["id"] % 5 == 1:
+            raise ValueError("broken")
+        return {"total_processing_time_ms": 5.0, "properties": [{"name": "steps", "value": len(row["steps"])}]}
+
+    return run
+
+
+_PIPELINE = f"""
+WITH todo AS ({event_log._resumable_sql('DESC')}),
+m AS (SELECT e.id AS msg_id, e.retry_count AS retries, e.organization_id, t.id AS start_id, w.id AS workflow_id,
+  CASE WHEN e.id % 17 = 0 THEN 'bad' WHEN t.id IS NULL THEN 'NoEventAttachedToExecutionException'
+    WHEN w.id IS NULL THEN 'WorkflowNotFoundException' WHEN t.id % 5 = 0 THEN 'RetryableException'
+    WHEN t.id % 5 = 1 THEN 'ValueError' ELSE 'none' END AS what
+  FROM event_store e LEFT JOIN todo t ON t.execution_id = e.execution_id
+  LEFT JOIN event_store s ON s.id = t.id LEFT JOIN workflow_rows w ON w.id = s.workflow_id),
+r AS (SELECT *, CASE WHEN what = 'bad' THEN 'dlq' WHEN what = 'none' THEN 'ack'
+    WHEN what = 'RetryableException' AND retries < 2 THEN 'requeue' ELSE 'dlq' END AS route,
+  CASE WHEN what = 'bad' THEN 'decode_error' WHEN what = 'none' THEN NULL WHEN what = 'RetryableException' AND retries < 2 THEN NULL
+    WHEN what = 'RetryableException' THEN 'max_retries_exceeded' ELSE 'not_retryable_error' END AS reason FROM m)
+"""
+
+
+@query("stream_pipeline", sql=_PIPELINE + """
+SELECT r.msg_id, r.route, r.reason,
+  CASE WHEN r.what = 'none' THEN 'WorkflowExecutionCompleted' WHEN r.workflow_id IS NOT NULL AND r.what <> 'bad' THEN 'WorkflowExecutionFailed' END AS emitted,
+  CASE WHEN r.what = 'bad' OR r.start_id IS NULL OR r.route = 'requeue' THEN 0 ELSE
+    (SELECT count(*) FROM webhooks h WHERE h.organization_id = r.organization_id) END AS notifications
+FROM r""")
+def stream_pipeline(v: Inputs) -> DataFrame:
+    out = scratch_dir(v.spark, "pipeline")
+    run = SP.pipeline_batch(out, lambda: v.event_store, v.workflows, v.webhooks, step_runner(), "worker-1")
+    replay(v, pipeline_messages(v), each=run)
+    read = v.spark.read.parquet
+    emitted = read(f"{out}/events").select(F.col("msg_id").alias("m1"), F.col("event_type").alias("emitted"))
+    sent = read(f"{out}/notifications").groupBy(F.col("msg_id").alias("m2")).agg(F.count(F.lit(1)).alias("n"))
+    routes = read(f"{out}/routes")
+    return (
+        routes.join(emitted, routes["msg_id"] == emitted["m1"], "left")
+        .join(sent, routes["msg_id"] == sent["m2"], "left")
+        .select("msg_id", "route", "reason", "emitted", F.coalesce("n", F.lit(0)).alias("notifications"))
+    )
