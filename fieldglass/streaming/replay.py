@@ -17,17 +17,21 @@ def run_available(
     each: Callable[[DataFrame, int], None] | None = None,
     checkpoint: str | None = None,
     partitions: int | None = None,
+    settings: dict[str, str] | None = None,
 ) -> StreamingQuery:
     """Process everything available, to parquet at ``path`` or to ``each(batch, id)``.
 
     ``partitions`` is the number of state partitions of a new query. It is fixed for
     the life of a checkpoint, so it is given here and not left to a session default.
+    A query keeps the ``settings`` it was started with; the session gets its own back.
     """
     spark = stream.sparkSession
-    setting = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(setting)
+    chosen = dict(settings or {})
     if partitions:
-        spark.conf.set(setting, partitions)
+        chosen["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {name: spark.conf.get(name, None) for name in chosen}
+    for name, value in chosen.items():
+        spark.conf.set(name, value)
     writer = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint or scratch_dir(spark, "offsets"))
@@ -36,7 +40,8 @@ def run_available(
     try:
         query = writer.foreachBatch(each).start() if each else writer.format("parquet").start(path)
     finally:
-        spark.conf.set(setting, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     query.awaitTermination()
     return query
 

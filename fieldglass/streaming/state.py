@@ -13,12 +13,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from .. import constants as K
 from ..operators.events import status_of
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark) -> None:
-    """State in RocksDB: it spills to disk and is what timers need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+# Start the two timer-driven streams with this setting: state in RocksDB spills to
+# disk and is what timers need.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+}
 
 
 def execution_state(events: DataFrame) -> DataFrame:

@@ -84,10 +84,9 @@ w AS (SELECT max(created_at) AS newest FROM event_store)
 SELECT a.execution_id, a.start_id, a.result_id, a.status FROM a JOIN event_store e ON e.id = a.start_id
 JOIN w ON e.created_at + INTERVAL {_WAIT} SECOND < date_trunc('millisecond', w.newest)""")
 def stream_await(v: Inputs) -> DataFrame:
-    SS.use_rocksdb(v.spark)
     out = scratch_dir(v.spark, "await")
     closed = SS.await_with_timeout(event_stream(v, "event_store"), _WAIT, _WAIT)
-    replay(v, closed, path=out)
+    replay(v, closed, path=out, settings=SS.ROCKSDB)
     return v.spark.read.parquet(out).select("execution_id", "start_id", "result_id", "status")
 
 
@@ -108,7 +107,6 @@ SELECT CAST(msg_id AS VARCHAR) AS msg_id, CASE WHEN retries + 1 > 3 THEN 'dlq' E
   CASE WHEN retries + 1 > 3 THEN 'max_retries_exceeded' END AS reason, CASE WHEN retries + 1 <= 3 THEN retries + 1 END AS next_retries
 FROM messages JOIN w ON epoch_ms(delivered_at) + 300001 < epoch_ms(w.newest) WHERE outcome <> 'success'""")
 def stream_reclaim(v: Inputs) -> DataFrame:
-    SS.use_rocksdb(v.spark)
     seen = event_stream(v, "messages")
     deliveries = seen.select(
         "msg_id", F.col("delivered_at").alias("at"),
@@ -116,7 +114,7 @@ def stream_reclaim(v: Inputs) -> DataFrame:
         "retries", "data",
     )
     out = scratch_dir(v.spark, "reclaim")
-    replay(v, SS.reclaim_stream(deliveries), path=out)
+    replay(v, SS.reclaim_stream(deliveries), path=out, settings=SS.ROCKSDB)
     return v.spark.read.parquet(out).select("msg_id", "route", "reason", "next_retries")
 
 

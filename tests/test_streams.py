@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldglass import constants as K
 from fieldglass.sources.streams import read_message_stream
+from fieldglass.streaming import pipeline as SP
 from fieldglass.streaming import quota as SQ
 from fieldglass.streaming import routing as SR
 from fieldglass.streaming import state as SS
@@ -100,7 +101,6 @@ def test_decode_split_and_new_files_only(spark, requests):
 
 
 def test_await_brute_force(spark):
-    SS.use_rocksdb(spark)
     rng = random.Random(5)
     rows = sorted(
         ((i, f"x{rng.randrange(4)}", t(rng.randrange(20000) / 10), rng.choice([K.STARTED, K.COMPLETED, K.FAILED]))
@@ -108,7 +108,7 @@ def test_await_brute_force(spark):
     schema = "id int, execution_id string, created_at timestamp, event_type string"
     out = folder()
     stream = read_message_stream(spark, files(spark, rows, schema), schema, "parquet", slots=1)
-    run_available(SS.await_with_timeout(stream, 20), path=out)
+    run_available(SS.await_with_timeout(stream, 20), path=out, settings=SS.ROCKSDB)
     got = {r.start_id: r.result_id for r in spark.read.parquet(out).collect()}
     end = max(r[2] for r in rows)
     want = {}
@@ -121,14 +121,13 @@ def test_await_brute_force(spark):
 
 
 def test_reclaim_acknowledged_in_a_later_batch(spark):
-    SS.use_rocksdb(spark)
     schema = "msg_id int, at timestamp, kind string, retries int, data string"
     rows = [(1, t(0), "delivered", 0, "a"), (2, t(0), "delivered", 0, "b"), (3, t(1), "delivered", 3, "c"),
             (2, t(100), "acked", 0, None), (4, t(120), "delivered", 0, "d"), (4, t(200), "delivered", 1, "d"),
             (9, t(450), "delivered", 0, "z"), (9, t(451), "acked", 0, None)]
     out = folder()
     stream = read_message_stream(spark, files(spark, rows, schema), schema, "parquet", slots=1)
-    run_available(SS.reclaim_stream(stream), path=out)
+    run_available(SS.reclaim_stream(stream), path=out, settings=SS.ROCKSDB)
     got = {r.msg_id: (r.route, r.next_retries) for r in spark.read.parquet(out).collect()}
     assert got == {"1": ("requeue", 1), "3": ("dlq", None)}
 
@@ -141,3 +140,38 @@ def test_status_over_batches(spark):
     run_available(SS.execution_state(stream), mode="update", each=batch_writer(out))
     got = spark.read.parquet(out).groupBy("execution_id").agg(F.max_by("status", "updated_at").alias("s"))
     assert {tuple(r) for r in got.collect()} == {("a", "SUCCESS"), ("b", "FAILED")}
+
+
+def test_pipeline_repeats_a_batch_without_doubling(spark):
+    cols = ("id int, execution_id string, workflow_id string, organization_id int, created_at timestamp,"
+            " event_type string, error_type string")
+    log = spark.createDataFrame([(i, f"x{i}", "w" if i < 4 else "gone", 1, t(i), K.STARTED, None) for i in range(5)], cols)
+    catalog = spark.createDataFrame([("w", ["download_file", "odd"])], "id string, steps array<string>")
+    hooks = spark.createDataFrame([(7, 1, "u"), (8, 1, "v"), (9, 2, "w")], "id int, organization_id int, url string")
+    rows = [(i, f'{{"workflow_execution_id":"x{i}"}}', 2 if i == 2 else 0) for i in range(6)] + [(9, "{bad", 0)]
+    batch = spark.createDataFrame(rows, "msg_id int, data string, retries int")
+
+    class RetryableException(Exception):
+        pass
+
+    def run(row):
+        assert list(row["steps"]) == ["download_file"]
+        if row["id"] in (1, 2):
+            raise RetryableException("later")
+        if row["id"] == 3:
+            raise ValueError("broken")
+        return {"properties": []}
+
+    out = folder()
+    write = SP.pipeline_batch(out, lambda: log, catalog, hooks, run, "worker-1")
+    for _ in range(2):
+        write(batch, 0)
+    routes = {r.msg_id: (r.route, r.reason, r.next_retries) for r in spark.read.parquet(f"{out}/routes").collect()}
+    assert routes == {
+        0: ("ack", None, None), 1: ("requeue", None, 1), 2: ("dlq", "max_retries_exceeded", None),
+        3: ("dlq", "not_retryable_error", None), 4: ("dlq", "not_retryable_error", None),
+        5: ("dlq", "not_retryable_error", None), 9: ("dlq", "decode_error", None)}
+    events = {r.msg_id: r.event_type for r in spark.read.parquet(f"{out}/events").collect()}
+    assert events == {0: K.COMPLETED, 1: K.FAILED, 2: K.FAILED, 3: K.FAILED}
+    told = sorted((r.msg_id, r.webhook_id) for r in spark.read.parquet(f"{out}/notifications").collect())
+    assert told == [(i, h) for i in (0, 2, 3, 4) for h in (7, 8)]
