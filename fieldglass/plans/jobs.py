@@ -12,7 +12,7 @@ from ..operators import custom, evaluation, events, experiments, quota, reports,
 from ..operators.registry import registry
 from ..session import scratch_dir
 from ..sources.sinks import rewrite_days, save_experiment
-from ..sources.tables import scan_event_store
+from ..sources.tables import scan_event_store, scan_experiments, scan_observations
 
 
 def evaluate_project(
@@ -47,10 +47,10 @@ def experiment_history(
     """Save a run (when given) and list the stored experiments, newest first."""
     if observations is not None:
         save_experiment(observations, path, **run)
-    stored = spark.read.parquet(f"{path}/experiments").withColumn(
-        "label_project_id", F.col("label_studio_project_id")
+    return experiments.experiment_list(
+        scan_experiments(spark, f"{path}/experiments"),
+        scan_observations(spark, f"{path}/observations"),
     )
-    return experiments.experiment_list(stored, spark.read.parquet(f"{path}/observations"))
 
 
 def execution_status(log: DataFrame, catalog: DataFrame, organization=None,

@@ -48,7 +48,7 @@ LABEL_TASK = (
 )
 
 EXPERIMENTS = (
-    "id string, label_studio_project_id bigint, metric_name string, created_at timestamp,"
+    "id string, label_project_id bigint, metric_name string, created_at timestamp,"
     " total_tasks int, processed_count int, average_score double, model_version_stats string,"
     " status string, notes string"
 )

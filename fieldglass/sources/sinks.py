@@ -158,7 +158,7 @@ def save_experiment(
     spark = observations.sparkSession
     base = spark.range(1).select(
         F.lit(experiment_id).alias("id"),
-        F.lit(project_id).cast("bigint").alias("label_studio_project_id"),
+        F.lit(project_id).cast("bigint").alias("label_project_id"),
         F.lit(metric_name).alias("metric_name"),
         F.current_timestamp().alias("created_at"),
     )
@@ -166,7 +166,7 @@ def save_experiment(
         base.join(rollup, base["id"] == rollup["experiment_id"], "left").drop("experiment_id")
         .join(stats, base["id"] == stats["experiment_id"], "left")
         .select(
-            "id", "label_studio_project_id", "metric_name", "created_at",
+            "id", "label_project_id", "metric_name", "created_at",
             F.coalesce("total_tasks", F.lit(total_tasks)).cast("int").alias("total_tasks"),
             F.coalesce("processed_count", F.lit(0)).cast("int").alias("processed_count"),
             "average_score", "model_version_stats", F.lit("completed").alias("status"),
