@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import decontaminate, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,3 +94,44 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+DECONTAMINATE_SQL = r"""
+WITH low AS (
+  SELECT 'd' AS side, doc_id AS id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+  UNION ALL
+  SELECT 'b', item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+  FROM benchmark),
+strings AS (
+  SELECT DISTINCT id AS item_id, least(10, len(ws)) AS m,
+         array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS string
+  FROM low, range(1, 100000) AS r(i)
+  WHERE side = 'b' AND len(ws) > 0 AND i <= len(ws) - least(10, len(ws)) + 1),
+lengths AS (SELECT DISTINCT m FROM strings),
+spots AS (
+  SELECT id AS doc_id, m, unnest(range(1, len(ws) - m + 2)) AS i, ws FROM low, lengths
+  WHERE side = 'd' AND len(ws) >= m),
+hits AS (
+  SELECT doc_id, i, s.m, item_id FROM spots p JOIN strings s
+  ON s.m = p.m AND s.string = array_to_string(p.ws[i : i + p.m - 1], ' ')),
+words AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id, i, m FROM hits), range(10) AS r(j) WHERE j < m GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+         sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256
+  FROM hits GROUP BY doc_id)
+SELECT l.id AS doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM low l LEFT JOIN words w ON w.doc_id = l.id LEFT JOIN items t ON t.doc_id = l.id WHERE side = 'd'
+"""
+
+
+@query("op10_decontaminate", DECONTAMINATE_SQL)
+def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    items = table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.summary(decontaminate.mark(docs, items))
