@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules
+from . import decontaminate, mixing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +135,51 @@ def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     items = table(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate.summary(decontaminate.mark(docs, items))
+
+
+MIX_SQL = f"""
+WITH {WORDS_SQL},
+sized AS (
+  SELECT row_number() OVER () AS row, l.doc_id, d.source, len(ws) AS size,
+         ('0x' || substr(md5(l.doc_id::VARCHAR), 1, 15))::BIGINT AS place
+  FROM lists l JOIN documents d USING (doc_id)),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+  FROM sized GROUP BY source),
+leveled AS (
+  SELECT *, 3.0::DOUBLE * source_size AS room,
+         ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(3.0::DOUBLE * source_size) OVER b, 0))
+         / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level,
+         row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS ord
+  FROM sources
+  WINDOW b AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size, least(room, weight * (SELECT arg_min(level, ord) FROM leveled WHERE level * weight <= room)) AS target
+  FROM leveled),
+quotas AS (
+  SELECT *, ceil(source_size / 128)::BIGINT AS n, floor(target / greatest(source_size, 1))::BIGINT AS epochs FROM targets),
+extras AS (
+  SELECT *, least(round((target - epochs * source_size) / 128)::BIGINT, n) AS extra FROM quotas),
+streams AS (
+  SELECT s.*, x.source_size, target, n, epochs, extra,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY place % 4096, place, s.doc_id
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sized s JOIN extras x ON x.source IS NOT DISTINCT FROM s.source),
+pieces AS (
+  SELECT *, unnest(range(start // 128, CASE WHEN size > 0 THEN (start + size - 1) // 128 + 1 ELSE start // 128 END)) AS block
+  FROM streams),
+cuts AS (
+  SELECT row, (least((block + 1) * 128, start + size) - greatest(block * 128, start))
+              * (epochs + ((block * (2147483647 % n) + 12345) % n < extra)::BIGINT) AS words
+  FROM pieces),
+sums AS (SELECT row, sum(words)::BIGINT AS taken FROM cuts GROUP BY row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM streams LEFT JOIN sums USING (row)
+"""
+
+
+@query("op2_mix_sources", MIX_SQL)
+def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken")
