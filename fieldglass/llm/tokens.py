@@ -120,3 +120,22 @@ def lowered(column) -> list[bytes]:
 def join_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of two hashed parts in order."""
     return mix(a * _U(0xD6E8FEB86659FD93) + b)
+
+
+_word_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+_WORD_BASE = 0xD1342543DE82EF95
+
+
+def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each position on; one fewer than that many at the end are missing."""
+    n = len(hashes)
+    if n < size:
+        return np.empty(0, _U)
+    if len(_word_powers[0]) < n + 1:
+        for k, base in enumerate((_WORD_BASE, pow(_WORD_BASE, -1, 1 << 64))):
+            steps = np.full(n + 1, base, _U)
+            steps[0] = 1
+            _word_powers[k] = np.multiply.accumulate(steps)
+    sums = np.zeros(n + 1, _U)
+    np.cumsum(hashes * _word_powers[0][:n], out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * _word_powers[1][: n - size + 1])
