@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import chat, decontaminate, language_model, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -267,3 +267,8 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     network = quality_classifier.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     return quality_classifier.score(docs, network)
+
+
+@query("op8_language_model")
+def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents", "doc_id", "text"))
