@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_model, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import chat, decontaminate, language_model, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -272,3 +272,102 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_model")
 def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def crawl_of(pages: DataFrame) -> DataFrame:
+    """Every page as the WARC text of its capture and of a later not-modified answer.
+
+    The answers use other spellings of the URL, and a part of them lacks validators, carries
+    another entity tag or comes before the capture.
+    """
+    n, ten = F.col("page_id"), F.pmod(F.col("page_id"), F.lit(10))
+    fetched = F.lit(1_700_000_000) + F.pmod(n * 7919, F.lit(1_000_003))
+    again = fetched + F.when(ten == 7, -3600).otherwise(86400)
+    stamp = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    modified = F.concat(F.lit("Last-Modified: "), stamp(fetched - 86400))
+    tag = F.md5(F.col("html").cast("binary"))
+    url2 = (
+        F.when(n % 4 == 1, F.regexp_replace("url", "^https?:", "https:")).when(n % 4 == 2, F.concat("url", F.lit("#again")))
+        .when(n % 4 == 3, F.concat("url", F.when(F.col("url").contains("?"), "&utm_medium=mail").otherwise("?utm_medium=mail")))
+        .otherwise(F.col("url"))
+    )
+    line = lambda name, c: F.concat(F.lit(f"{name}: "), c.cast("string"))
+
+    def fields(kind: str, number, url, date):
+        return F.array(
+            F.lit(f"WARC-Type: {kind}"), F.concat(F.lit("WARC-Record-ID: <urn:page:"), number.cast("string"), F.lit(">")),
+            line("WARC-Target-URI", url), line("WARC-Date", stamp(date)),
+        )
+
+    capture = warc.record_text(
+        fields("response", n * 2, F.col("url"), fetched), F.lit("200 OK"),
+        F.array(
+            F.lit("Content-Type: text/html"), F.lit("Cache-Control: no-cache"), line("Date", stamp(fetched)), modified,
+            F.concat(F.lit('ETag: "'), tag, F.lit('"')), line("Content-Length", F.octet_length("html")),
+        ),
+        F.col("html"),
+    )
+    new_tag = (
+        F.when(ten == 3, F.lit('ETag: "other"')).when(ten == 5, F.concat(F.lit('ETag: W/"'), tag, F.lit('"')))
+        .when(~ten.isin(4, 6), F.concat(F.lit('ETag: "'), tag, F.lit('"')))
+    )
+    answer = warc.record_text(
+        fields("revisit", n * 2 + 1, url2, again), F.lit("304 Not Modified"),
+        F.array(line("Date", stamp(again)), line("Cache-Control", F.concat(F.lit("max-age="), n % 7)), F.lit("Content-Length: 0"),
+                new_tag, F.when(ten != 6, modified)),
+        F.lit(""),
+    )
+    return pages.select(F.explode(F.array(capture, answer)).alias("record"))
+
+
+WARC_SQL = r"""
+WITH base AS (
+  SELECT page_id AS n, page_id % 10 AS ten, url, coalesce(html, '') AS html, md5(html) AS tag,
+         1700000000 + (page_id * 7919) % 1000003 AS fetched
+  FROM pages),
+timed AS (SELECT *, fetched + CASE WHEN ten = 7 THEN -3600 ELSE 86400 END AS again FROM base),
+events AS (
+  SELECT n * 2 AS record_id, 'response' AS type, url, fetched, tag, ten, n, html, again FROM timed
+  UNION ALL
+  SELECT n * 2 + 1, 'revisit',
+         CASE n % 4 WHEN 1 THEN regexp_replace(url, '^https?:', 'https:') WHEN 2 THEN url || '#again'
+                    WHEN 3 THEN url || CASE WHEN contains(url, '?') THEN '&utm_medium=mail' ELSE '?utm_medium=mail' END
+                    ELSE url END, again, tag, ten, n, html, fetched
+  FROM timed),
+parts AS (
+  SELECT *, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$', ['host', 'path', 'query', 'rest']) AS u
+  FROM events),
+named AS (
+  SELECT *, regexp_replace(regexp_replace(lower(u.host), ':(80|443)$', ''), '^www[0-9]*\.', '')
+         || CASE WHEN regexp_replace(u.path, '/+$', '') = '' THEN '/' ELSE regexp_replace(u.path, '/+$', '') END
+         || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(substr(u.query, 2), '&'), lambda p:
+              p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid|ref|sessionid|phpsessid|jsessionid|sid)(=|$)'))), '&'), ''), '')
+         AS canonical_url
+  FROM parts),
+found AS (
+  SELECT *, last_value(CASE WHEN type = 'response' THEN {'id': record_id, 't': fetched, 'tag': tag, 'html': html} END IGNORE NULLS)
+              OVER (PARTITION BY canonical_url ORDER BY fetched, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
+  FROM named),
+judged AS (
+  SELECT *, CASE WHEN b IS NULL THEN 'no_response' WHEN ten = 6 THEN 'unverified'
+                 WHEN ten = 3 THEN 'mismatch'
+                 WHEN ten = 4 THEN CASE WHEN b.t = again THEN 'resolved' ELSE 'mismatch' END
+                 WHEN b.tag = tag THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM found WHERE type = 'revisit')
+SELECT record_id, canonical_url, outcome,
+       CASE WHEN outcome = 'resolved' THEN b.id END AS response_id,
+       CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=' || n % 7 || chr(10) || 'content-length: ' || strlen(b.html) || chr(10)
+         || 'content-type: text/html' || chr(10) || 'date: ' || strftime(make_timestamp(fetched * 1000000), '%Y-%m-%dT%H:%M:%SZ') || chr(10)
+         || 'etag: ' || CASE WHEN ten = 4 THEN '"' || b.tag || '"' WHEN ten = 5 THEN 'W/"' || tag || '"' ELSE '"' || tag || '"' END || chr(10)
+         || 'last-modified: ' || strftime(make_timestamp((again - 86400) * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS headers,
+       CASE WHEN outcome = 'resolved' THEN 'sha256:' || sha256(b.html) END AS payload_digest,
+       CASE WHEN outcome = 'resolved' THEN strlen(b.html) END AS payload_length
+FROM judged
+"""
+
+
+@query("op9_warc_revisits", WARC_SQL)
+def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = crawl_of(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    done = warc.resolve(warc.records(texts))
+    return done.withColumn("headers", warc.header_text(F.col("headers"))).drop("url", "fetched")
