@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .filters import shielded
 from .tokens import ALPHANUMERIC, chunks, join_hash, lowered, tokenize
 
 WINDOW = 10
@@ -198,3 +199,9 @@ def summary(marked: DataFrame) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.size(spans) > 0).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
+    """The documents without any occurrence, with all their columns."""
+    aside, back = shielded(docs, [f.name for f in RESULT])
+    return back(mark(aside, benchmark, window, text).filter(F.size("hit_spans") == 0))

@@ -35,13 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .filters import bitmap_of, hit, join_some, slot_of
 from .graph import components, kept_table
 from .tokens import Tokens, chunks, join_hash, lowered, mix, tokenize
 
 REGISTERS, BAND = 128, 4
 PERCENT = 80
-#: Bits of the filter that says which documents share a bucket; its size never changes.
-FILTER_BITS = 1 << 26
 #: Classes of a bucket that meet in one task.
 BLOCK = 256
 
@@ -147,17 +146,6 @@ def _signing(shingle: int, m: int, rows: int):
     return run
 
 
-def _filter_of(ids: DataFrame, column: str) -> np.ndarray:
-    """Bitmap of hashed ids, put together by Spark; at most FILTER_BITS / 8 bytes."""
-    slot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    rows = ids.select(F.floor(slot / 64).cast("int").alias("w"), (slot % 64).cast("int").alias("b")).groupBy("w").agg(
-        F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")
-    ).toPandas()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    words[rows["w"].to_numpy()] = rows["bits"].to_numpy()
-    return words
-
-
 def _sets_of(shingle: int, bitmap):
     """Sets of the documents whose slot is in the filter."""
 
@@ -166,8 +154,7 @@ def _sets_of(shingle: int, bitmap):
 
         for batch in batches:
             slots = batch.column(2).to_numpy()
-            wanted = (bitmap.value[slots // 64] >> (slots % 64)) & 1 == 1
-            batch = batch.filter(pa.array(wanted))
+            batch = batch.filter(pa.array(hit(bitmap.value, slots)))
             if not batch.num_rows:
                 continue
             texts = lowered(batch.column(1))
@@ -253,8 +240,8 @@ def group(
     pivots = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot <> last").drop("last")
     shared = kept_table(members.join(pivots, "key"), "buckets")
 
-    bitmap = spark.sparkContext.broadcast(_filter_of(shared.select("rep").distinct(), "rep"))
-    slotted = texts.filter("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    bitmap = spark.sparkContext.broadcast(bitmap_of(shared.select("rep").distinct(), "rep"))
+    slotted = texts.filter("doc_id is not null").withColumn("slot", slot_of("doc_id"))
     sets = kept_table(
         slotted.mapInArrow(_sets_of(shingle, bitmap), "doc_id bigint, items array<bigint>").join(
             shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"
@@ -311,3 +298,10 @@ def group(
         .withColumn("component_id", F.coalesce("component_id", "doc_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def without_copies(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, text: str = "text") -> DataFrame:
+    """The documents that ``group`` keeps, with all their columns; only copies meet a join."""
+    copies = kept_table(group(docs, shingle, percent, text=text).filter("not kept").select("doc_id").distinct(), "copies")
+    some, rest = join_some(docs, copies, "doc_id", lambda few: few.join(copies, "doc_id", "left_anti"))
+    return some.select(*docs.columns).unionByName(rest)

@@ -55,18 +55,18 @@ RULES = (
 BASE_LEAST_WORDS, BASE_REPEAT_PERCENT = 10, 20
 
 
-def compiled(rules: tuple[Rule, ...]) -> Column:
-    """The threshold table as one boolean expression over the measures."""
+def compiled(rules: tuple[Rule, ...], measures: Column) -> Column:
+    """The threshold table as one boolean expression over a struct of measures."""
 
     def holds(rule: Rule) -> Column:
-        value = F.col(rule.measure)
+        value = measures[rule.measure]
         parts = []
         if rule.least is not None:
             parts.append(value >= F.lit(float(rule.least)))
         if rule.most is not None:
             parts.append(value <= F.lit(float(rule.most)))
         inside = reduce(lambda a, b: a & b, parts, F.lit(True))
-        return inside if not rule.from_words else (F.col("n_words") < rule.from_words) | inside
+        return inside if not rule.from_words else (measures["n_words"] < rule.from_words) | inside
 
     return reduce(lambda a, b: a & b, map(holds, rules), F.lit(True))
 
@@ -115,36 +115,58 @@ def covered_by_repeats(tokens: Column, window: int = WINDOW) -> Column:
     )
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input with all measures the rules may use."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    staged = docs.withColumns({"__words": words(F.col(text)), "__lines": F.filter(F.split(whole, "\n"), lambda l: l.rlike("[^\\x20\\x09-\\x0D]"))})
-    counted = staged.withColumns({
-        "n_words": F.size("__words").cast("long"),
-        "word_chars": F.length(F.array_join("__words", "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(whole, "[^#*$%&|<>]+", "")).cast("long"),
-        "n_lines": F.size("__lines").cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_repeat_words": covered_by_repeats(F.col("__words")),
-        "n_stop_words": F.size(F.filter("__words", lambda w: w.isin(*STOP_WORDS))).cast("long"),
-    }).drop("__words", "__lines")
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    return counted.withColumns({
-        "mean_word_chars": F.col("word_chars") / n,
-        "symbol_ratio": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
-        "stop_ratio": F.col("n_stop_words") / n,
-        "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "words_per_line": F.col("n_words") / F.greatest(F.col("n_lines"), F.lit(1)),
-    })
+#: Columns that judging adds, in order.
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "mean_word_chars",
+    "symbol_ratio", "stop_ratio", "dup_line_ratio", "words_per_line", "base_failed", "kept",
+)
+
+
+def judged(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """All measures and the verdict as one struct; each step binds what the next ones share."""
+
+    def counts(p: Column) -> Column:
+        ws, ls = p["ws"], p["ls"]
+        return F.struct(
+            F.size(ws).cast("long").alias("n_words"),
+            F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(p["text"], "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+            F.size(ls).cast("long").alias("n_lines"),
+            (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
+            covered_by_repeats(ws).alias("n_repeat_words"),
+            F.size(F.filter(ws, lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+        )
+
+    def ratios(c: Column) -> Column:
+        n, lines = F.greatest(c["n_words"], F.lit(1)), F.greatest(c["n_lines"], F.lit(1))
+        return F.struct(
+            *[c[name].alias(name) for name in MEASURES[:7]],
+            (c["word_chars"] / n).alias("mean_word_chars"),
+            (c["n_symbols"] / F.greatest(c["word_chars"], F.lit(1))).alias("symbol_ratio"),
+            (c["n_stop_words"] / n).alias("stop_ratio"),
+            (c["n_dup_lines"] / lines).alias("dup_line_ratio"),
+            (c["n_words"] / lines).alias("words_per_line"),
+            (
+                (c["n_words"] < BASE_LEAST_WORDS) | (100 * c["n_repeat_words"] > BASE_REPEAT_PERCENT * c["n_words"])
+            ).alias("base_failed"),
+        )
+
+    def verdict(m: Column) -> Column:
+        passes = ~m["base_failed"] & compiled(rules, m)
+        return F.struct(*[m[name].alias(name) for name in MEASURES[:-1]], passes.alias("kept"))
+
+    whole = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(whole, "\n"), lambda l: l.rlike("[^\\x20\\x09-\\x0D]"))
+    parts = F.struct(words(text).alias("ws"), lines.alias("ls"), whole.alias("text"))
+    return let(parts, lambda p: let(counts(p), lambda c: let(ratios(c), verdict)))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The input with its measures, ``base_failed`` and ``kept``."""
-    base_failed = (F.col("n_words") < BASE_LEAST_WORDS) | (
-        100 * F.col("n_repeat_words") > BASE_REPEAT_PERCENT * F.col("n_words")
-    )
-    return (
-        measured(docs, text)
-        .withColumn("base_failed", base_failed)
-        .withColumn("kept", ~F.col("base_failed") & compiled(rules))
-    )
+    staged = docs.withColumn("__judged", judged(F.col(text), rules))
+    return staged.withColumns({name: F.col("__judged")[name] for name in MEASURES}).drop("__judged")
+
+
+def kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The documents that pass, with their own columns only; the verdict is part of the filter."""
+    return docs.filter(judged(F.col(text), rules)["kept"])
