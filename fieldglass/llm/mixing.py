@@ -144,10 +144,11 @@ def hypergeometric(good: Column, total: Column, draws: Column, u: Column) -> Col
         return F.coalesce(walked["found"], mode)
 
     known = (good <= 0) | (draws <= 0) | (total <= 0)
-    mode = F.least(F.floor((draws + 1) * (good + 1) / (total + 2)).cast("double"), good, draws)
+    share = (good.cast("double") + 1) / (total.cast("double") + 2)
+    mode = F.least(F.floor((draws.cast("double") + 1) * share).cast("double"), good.cast("double"), draws.cast("double"))
     packed = F.struct(
         good.cast("double").alias("g"), total.cast("double").alias("t"), draws.cast("double").alias("d"),
-        u.alias("u"), F.greatest(mode, draws + good - total, F.lit(0.0)).cast("double").alias("m"),
+        u.alias("u"), F.greatest(mode, (draws + good - total).cast("double"), F.lit(0.0)).alias("m"),
     )
     return F.when(known, F.lit(0).cast("long")).otherwise(let(packed, body).cast("long"))
 
