@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, differences
+from fieldglass import workload
 
 from conftest import DATA
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = workload.queries(), workload.oracles()
 
 
 @pytest.fixture(scope="module")
