@@ -53,7 +53,7 @@ def route(outcome: ColumnOrName, retries: ColumnOrName, decoded: Column,
 
 def http_retryable(status: ColumnOrName) -> Column:
     code = _c(status)
-    return ~code.isin(*K.NOT_RETRYABLE_HTTP) & code.between(400, 599)
+    return F.coalesce(~code.isin(*K.NOT_RETRYABLE_HTTP) & code.between(400, 599), F.lit(False))
 
 
 def backoff_seconds(attempt: ColumnOrName) -> Column:

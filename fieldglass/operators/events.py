@@ -9,6 +9,7 @@ from .. import constants as K
 from ..functions.numbers import ColumnOrName, _c
 from ..functions.protect import redact_payload, redaction_by_column
 from ..schemas import EVENT_PAYLOAD
+from .slices import ordinal_in_group
 
 EVENT_ORDER = ("created_at", "id")
 
@@ -124,8 +125,17 @@ def event_stream_summary(events: DataFrame) -> DataFrame:
     )
 
 
-def page(df: DataFrame, order: list[Column], limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Ordered page; no limit (or 0) means the rest of the table."""
+def page(df: DataFrame, order: list[Column], limit: int | None = None, offset: int = 0,
+         slice_by: Column | None = None) -> DataFrame:
+    """Ordered page; no limit (or 0) means the rest of the table.
+
+    The rest behind an offset is found by ordinals counted slice by slice, when a
+    ``slice_by`` that does not decrease along the order is given; without one it passes
+    through one task.
+    """
+    if offset > 0 and not limit and slice_by is not None:
+        numbered = ordinal_in_group(df, [], order, slice_by, "__ordinal")
+        return numbered.filter(F.col("__ordinal") > offset).drop("__ordinal").orderBy(*order)
     ordered = df.orderBy(*order)
     if offset > 0:
         ordered = ordered.offset(offset)
@@ -134,7 +144,8 @@ def page(df: DataFrame, order: list[Column], limit: int | None = None, offset: i
 
 def events_page(events: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Oldest first."""
-    return page(events, [F.col("created_at").asc(), F.col("id").asc()], limit, offset)
+    return page(events, [F.col("created_at").asc(), F.col("id").asc()], limit, offset,
+                F.date_trunc("hour", "created_at"))
 
 
 def status_of(event_type: ColumnOrName) -> Column:

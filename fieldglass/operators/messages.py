@@ -103,15 +103,20 @@ def trim_stream(messages: DataFrame, maxlen: int = K.STREAM_MAXLEN, keys: tuple[
 
 def delivery_plan(attempts: DataFrame, max_retries: int = K.WEBHOOK_RETRIES) -> DataFrame:
     """Decision per delivery attempt (attempt, status): done, retry after a delay, or
-    dead letter with its error text."""
-    ok = F.col("status").between(200, 399)
+    dead letter with its error text.
+
+    Only 2xx is a delivery. An attempt without an answer (time-out, refused connection)
+    has no status: it is logged and acknowledged, neither retried nor a dead letter.
+    """
+    answered = F.col("status").isNotNull()
+    ok = F.coalesce(F.col("status").between(200, 299), F.lit(False))
     code = F.col("status").cast("string")
     can_retry = http_retryable("status")
-    error = F.when(~ok & ~can_retry, F.concat(F.lit("Non retryable HTTP "), code)).when(
+    error = F.when(~answered, "No answer").when(~ok & ~can_retry, F.concat(F.lit("Non retryable HTTP "), code)).when(
         ~ok & (F.col("attempt") >= max_retries),
         F.concat(F.lit("Max retries exceeded (HTTP "), code, F.lit(")")),
     )
-    action = F.when(ok, "done").when(error.isNotNull(), "dlq").otherwise("retry")
+    action = F.when(~answered, "logged").when(ok, "done").when(error.isNotNull(), "dlq").otherwise("retry")
     return attempts.withColumns(
         {
             "action": action,

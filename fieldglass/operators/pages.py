@@ -45,11 +45,12 @@ def page_concat(pages: DataFrame, key: str = "execution_id",
 
 
 def barcode_key(kind: Column, raw: Column) -> Column:
-    """Identity of a code on its page; kinds without a key are not reported."""
-    return (
-        F.when(kind == "DATA_MATRIX", F.concat(F.lit("dm:"), raw))
-        .when(kind == "QR", F.concat(F.lit("qr:"), raw))
-        .when(kind == "2D_DOC", F.concat(F.lit("2d:"), raw))
+    """Identity of a code on its page; kinds without a key are not reported.
+
+    A 2D-Doc is a decoded data matrix, so the two are the same code when their texts agree.
+    """
+    return F.when(kind.isin("DATA_MATRIX", "2D_DOC"), F.concat(F.lit("dm:"), raw)).when(
+        kind == "QR", F.concat(F.lit("qr:"), raw)
     )
 
 

@@ -69,8 +69,12 @@ def field_metric_stats(scores: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of a comparison table, at most.
+MOST_MODELS = 10_000
+
+
 def field_metric_by_model(scores: DataFrame, models: list[str] | None = None) -> DataFrame:
-    """Rows (field, metric), one column per model: mean with 3 digits, or SKIPPED.
+    """Rows (field, metric), one column per model: mean with 3 digits (ties to even), or SKIPPED.
 
     Aggregates first and pivots the few aggregated rows. Without ``models`` Spark
     looks the versions up and refuses more than ``spark.sql.pivotMaxValues``.
@@ -78,7 +82,7 @@ def field_metric_by_model(scores: DataFrame, models: list[str] | None = None) ->
     means = scores.groupBy("field", "metric", "model_version").agg(
         F.avg("score").alias("mean"), F.bool_and(F.col("score") == SKIP_SCORE).alias("all_skipped")
     )
-    cell = F.when(F.col("all_skipped"), SKIPPED).otherwise(F.format_string("%.3f", F.col("mean")))
+    cell = F.when(F.col("all_skipped"), SKIPPED).otherwise(F.format_string("%.3f", F.bround("mean", 3)))
     table = (
         means.withColumn("cell", cell)
         .groupBy("field", "metric")
@@ -118,7 +122,15 @@ def has_error(metric_results: Column) -> Column:
 
 def report_by_model(observations: DataFrame, scores: DataFrame, models: list[str] | None = None,
                     ) -> dict[str, DataFrame]:
-    """The whole report: comparison table, summary, times, field statistics, errors."""
+    """The whole report: comparison table, summary, times, field statistics, errors.
+
+    The comparison table has a column for every model observed, also one with errors only.
+    """
+    if models is None:
+        seen = distinct_models(observations).orderBy("model_version").limit(MOST_MODELS + 1).collect()
+        if len(seen) > MOST_MODELS:
+            raise ValueError(f"more than {MOST_MODELS} models; name those to compare")
+        models = [r["model_version"] for r in seen]
     return {
         "field_metric_by_model": field_metric_by_model(scores, models).orderBy("field", "metric"),
         "model_summary": model_summary(observations).orderBy("model_version"),

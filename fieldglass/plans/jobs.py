@@ -42,14 +42,22 @@ def experiment_history(
     observations: DataFrame | None,
     path: str,
     spark: SparkSession,
-    **run,
+    project_id=None,
+    metric_name: str | None = None,
+    limit: int | None = None,
+    offset: int = 0,
+    run: dict | None = None,
 ) -> DataFrame:
-    """Save a run (when given) and list the stored experiments, newest first."""
+    """Save a run (when given) and list the stored experiments, newest first.
+
+    All experiments of the project and metric are listed, or a page of them.
+    """
     if observations is not None:
-        save_experiment(observations, path, **run)
+        save_experiment(observations, path, **(run or {}))
     return experiments.experiment_list(
         scan_experiments(spark, f"{path}/experiments"),
         scan_observations(spark, f"{path}/observations"),
+        project_id, metric_name, limit, offset,
     )
 
 

@@ -105,16 +105,15 @@ def failed_events(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def append_events(events: DataFrame, path: str) -> None:
     """Append to the log, partitioned by day so that retention and scans prune.
 
-    Rows are first spread over (day, slice of the row), which keeps the number of
-    files per day bounded without sending a whole day or a busy execution to one task.
+    Rows are rebalanced by day: Spark cuts a large day into as many pieces of the advisory
+    partition size as it needs and puts small days together.
     """
     _by_day(events).write.mode("append").partitionBy("event_date").parquet(path)
 
 
-def _by_day(events: DataFrame, slices: int = 64) -> DataFrame:
+def _by_day(events: DataFrame) -> DataFrame:
     dated = events.withColumn("event_date", F.to_date("created_at"))
-    piece = F.pmod(F.xxhash64("execution_id", "id"), F.lit(slices))
-    return dated.repartition("event_date", piece).sortWithinPartitions(
+    return dated.hint("rebalance", F.col("event_date")).sortWithinPartitions(
         "event_date", "execution_id", "created_at"
     )
 

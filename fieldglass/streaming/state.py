@@ -40,12 +40,13 @@ def execution_state(events: DataFrame) -> DataFrame:
 
 
 def await_with_timeout(events: DataFrame, timeout_s: int = K.WAIT_DEFAULT_SECONDS,
-                       cap_s: int = K.WAIT_CAP_SECONDS, late: str = "0 seconds") -> DataFrame:
+                       cap_s: int = K.WAIT_CAP_SECONDS, *, late_s: int) -> DataFrame:
     """For each start event its first result within the wait, or TIMEOUT.
 
     State holds only the open starts of an execution; a timer per deadline closes
     them when the watermark has passed. Sorting inside a batch makes the outcome
-    independent of arrival order within the allowed lateness.
+    independent of arrival order within the allowed lateness of ``late_s`` seconds, which
+    has no default: rows that are later are dropped, so it must cover the real delays.
     """
     wait_us = min(timeout_s or K.WAIT_DEFAULT_SECONDS, cap_s) * 1_000_000
     started, failed, completed = K.STARTED, K.FAILED, K.COMPLETED
@@ -106,7 +107,7 @@ def await_with_timeout(events: DataFrame, timeout_s: int = K.WAIT_DEFAULT_SECOND
     stamped = (
         events.withColumn("at", F.col("created_at").cast("timestamp"))
         .withColumn("us", F.unix_micros("at"))
-        .withWatermark("at", late)
+        .withWatermark("at", f"{late_s} seconds")
         .select("execution_id", F.col("id").cast("bigint").alias("id"), "event_type", "us", "at")
     )
     return stamped.groupBy("execution_id").transformWithStateInPandas(
@@ -118,13 +119,17 @@ def await_with_timeout(events: DataFrame, timeout_s: int = K.WAIT_DEFAULT_SECOND
 
 
 def reclaim_stream(deliveries: DataFrame, idle_ms: int = K.IDLE_MS,
-                   max_deliveries: int = K.MAX_DELIVERIES, late: str = "0 seconds") -> DataFrame:
+                   max_deliveries: int = K.MAX_DELIVERIES, *, late_s: int) -> DataFrame:
     """Messages delivered but not acknowledged for ``idle_ms``: requeue or dead letter.
 
     Input rows are (msg_id, at, kind, retries, data) with kind ``delivered`` or
-    ``acked``. The timer of a delivery is deleted by its acknowledgement.
+    ``acked``. An acknowledgement leaves only a mark, so that a delivery that arrives
+    after it is not reclaimed, and a timer clears the mark once no row of the message can
+    come any more. ``late_s`` is the allowed lateness in seconds.
     """
 
+    late_ms = late_s * 1000
+
     class Pending(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             fields = [
@@ -139,19 +144,20 @@ def reclaim_stream(deliveries: DataFrame, idle_ms: int = K.IDLE_MS,
         def handleInputRows(self, key, rows, timerValues):
             current = self.state.get() if self.state.exists() else None
             retries, data, due, acked = current if current else (0, None, -1, False)
-            for batch in rows:
-                for r in batch.sort_values("at").itertuples(index=False):
-                    if r.kind == "acked":
-                        acked = True
-                    else:
-                        if due > 0:
-                            self.handle.deleteTimer(due)
-                        retries, data = int(r.retries), r.data
-                        due = int(r.at.timestamp() * 1000) + idle_ms + 1
-                        self.handle.registerTimer(due)
-            if acked and due > 0:
-                self.handle.deleteTimer(due)
-                due = -1
+            before = due
+            for r in pd.concat(list(rows)).sort_values("at").itertuples(index=False):
+                if r.kind == "acked":
+                    acked = True
+                else:
+                    retries, data = int(r.retries), r.data
+                due = max(due, int(r.at.timestamp() * 1000) + idle_ms + 1)
+            if acked:
+                data = None
+                due += late_ms
+            if before != due:
+                if before > 0:
+                    self.handle.deleteTimer(before)
+                self.handle.registerTimer(due)
             self.state.update((retries, data, due, acked))
             return iter(())
 
@@ -173,7 +179,7 @@ def reclaim_stream(deliveries: DataFrame, idle_ms: int = K.IDLE_MS,
             pass
 
     stamped = (
-        deliveries.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late)
+        deliveries.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", f"{late_s} seconds")
         .select(F.col("msg_id").cast("string").alias("msg_id"), "at", "kind",
                 F.coalesce(F.col("retries"), F.lit(0)).cast("int").alias("retries"), "data")
     )

@@ -87,23 +87,24 @@ def trim_streams(v: Inputs) -> DataFrame:
     return M.trim_stream(v.messages, 200, ("outcome",)).select("msg_id", "outcome")
 
 
-_CODE = "CASE msg_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 401 WHEN 2 THEN 404 WHEN 3 THEN 422 WHEN 4 THEN 500 ELSE 503 END"
+_CODE = ("CASE msg_id % 9 WHEN 0 THEN 200 WHEN 1 THEN 401 WHEN 2 THEN 404 WHEN 3 THEN 422 WHEN 4 THEN 500 WHEN 5 THEN 503"
+         " WHEN 6 THEN 302 WHEN 7 THEN 204 END")
 
 
 def _attempts(v: Inputs) -> DataFrame:
-    codes = F.array(*[F.lit(c) for c in (200, 401, 404, 422, 500, 503)])
+    codes = F.array(*[F.lit(c) for c in (200, 401, 404, 422, 500, 503, 302, 204, None)])
     return v.messages.select(
         "msg_id", "delivered_at", F.col("retries").alias("attempt"),
-        F.element_at(codes, (F.col("msg_id") % 6 + 1).cast("int")).alias("status"),
+        F.element_at(codes, (F.col("msg_id") % 9 + 1).cast("int")).alias("status"),
     )
 
 
 @query("delivery_plan", sql=f"""
 WITH a AS (SELECT msg_id, retries AS attempt, {_CODE} AS status FROM messages),
-b AS (SELECT *, CASE WHEN status IN (401, 422) THEN 'Non retryable HTTP ' || status
-  WHEN status <> 200 AND attempt >= 3 THEN 'Max retries exceeded (HTTP ' || status || ')' END AS error FROM a)
-SELECT msg_id, attempt, CASE WHEN status = 200 THEN 'done' WHEN error IS NOT NULL THEN 'dlq' ELSE 'retry' END AS action, error,
-  CASE WHEN status <> 200 AND error IS NULL THEN 5.0::DOUBLE * pow(2, attempt) END AS delay_seconds FROM b""")
+b AS (SELECT *, CASE WHEN status IS NULL THEN 'No answer' WHEN status IN (302, 401, 422) THEN 'Non retryable HTTP ' || status
+  WHEN status >= 300 AND attempt >= 3 THEN 'Max retries exceeded (HTTP ' || status || ')' END AS error FROM a)
+SELECT msg_id, attempt, CASE WHEN status IS NULL THEN 'logged' WHEN status < 300 THEN 'done' WHEN error IS NOT NULL THEN 'dlq' ELSE 'retry' END AS action, error,
+  CASE WHEN status >= 300 AND error IS NULL THEN 5.0::DOUBLE * pow(2, attempt) END AS delay_seconds FROM b""")
 def delivery_plan(v: Inputs) -> DataFrame:
     return M.delivery_plan(_attempts(v)).select("msg_id", "attempt", "action", "error", "delay_seconds")
 
@@ -111,16 +112,16 @@ def delivery_plan(v: Inputs) -> DataFrame:
 @query("retry_schedule", sql=f"""
 WITH a AS (SELECT msg_id, delivered_at, {_CODE} AS status FROM messages)
 SELECT msg_id, CAST(n AS INT) AS attempt, {sql_at("delivered_at + to_seconds(CAST(5 * (pow(2, n) - 1) AS INT))")} AS due_at
-FROM a JOIN range(0, 4) r(n) ON n = 0 OR status NOT IN (401, 422) WHERE status <> 200""")
+FROM a JOIN range(0, 4) r(n) ON n = 0 OR status NOT IN (302, 401, 422) WHERE status >= 300 OR status IS NULL AND n = 0""")
 def retry_schedule(v: Inputs) -> DataFrame:
-    failing = _attempts(v).filter(F.col("status") != 200).drop("attempt")
+    failing = _attempts(v).filter(~F.coalesce(F.col("status") < 300, F.lit(False))).drop("attempt")
     return M.retry_schedule(failing).select("msg_id", "attempt", at("due_at").alias("due_at"))
 
 
 @query("webhook_dead_letters", sql=f"""
 SELECT 'webhooks' AS original_stream, CAST(msg_id AS VARCHAR) AS original_id,
-  CASE WHEN status IN (401, 422) THEN 'Non retryable HTTP ' || status ELSE 'Max retries exceeded (HTTP ' || status || ')' END AS error, data
-FROM (SELECT *, {_CODE} AS status FROM messages) WHERE status IN (401, 422) OR (status <> 200 AND retries >= 3)""")
+  CASE WHEN status IN (302, 401, 422) THEN 'Non retryable HTTP ' || status ELSE 'Max retries exceeded (HTTP ' || status || ')' END AS error, data
+FROM (SELECT *, {_CODE} AS status FROM messages) WHERE status IN (302, 401, 422) OR (status >= 300 AND retries >= 3)""")
 def webhook_dead_letters(v: Inputs) -> DataFrame:
     planned = M.delivery_plan(_attempts(v).join(v.messages.select("msg_id", "data"), "msg_id"))
     return M.webhook_dead_letters(planned.filter(F.col("action") == "dlq"), "webhooks")

@@ -27,7 +27,7 @@ def page_concat(v: Inputs) -> DataFrame:
     return P.page_concat(v.ocr_pages)
 
 
-_KEYED = """k AS (SELECT *, CASE type WHEN 'QR' THEN 'qr:' WHEN 'DATA_MATRIX' THEN 'dm:' ELSE '2d:' END || raw_data AS key FROM {src})"""
+_KEYED = """k AS (SELECT *, CASE type WHEN 'QR' THEN 'qr:' ELSE 'dm:' END || raw_data AS key FROM {src})"""
 _FIRST = """SELECT doc_id, page_number, key, pass, pos, tie FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, key ORDER BY pass, pos, tie, type, raw_data) AS rn FROM k) WHERE rn = 1"""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import events as E
 from ..session import scratch_dir
 from ..sources.streams import read_message_stream
 from ..streaming import pipeline as SP
@@ -78,16 +79,15 @@ def stream_status(v: Inputs) -> DataFrame:
 _WAIT = 6 * 3600
 
 
-@query("stream_await", sql=f"""
-WITH a AS ({event_log._await_sql(_WAIT)[1:].replace('WITH s AS', 'WITH s AS', 1)}),
-w AS (SELECT max(created_at) AS newest FROM event_store)
-SELECT a.execution_id, a.start_id, a.result_id, a.status FROM a JOIN event_store e ON e.id = a.start_id
-JOIN w ON e.created_at + INTERVAL {_WAIT} SECOND < date_trunc('millisecond', w.newest)""")
+@query("stream_await", sql=event_log._await_sql(_WAIT))
 def stream_await(v: Inputs) -> DataFrame:
     out = scratch_dir(v.spark, "await")
-    closed = SS.await_with_timeout(event_stream(v, "event_store"), _WAIT, _WAIT)
+    closed = SS.await_with_timeout(event_stream(v, "event_store"), _WAIT, _WAIT, late_s=3600)
     replay(v, closed, path=out, settings=SS.ROCKSDB)
-    return v.spark.read.parquet(out).select("execution_id", "start_id", "result_id", "status")
+    done = v.spark.read.parquet(out).select("execution_id", "start_id", "result_id", "status")
+    # waits still open when the stream ends are answered by the batch operator
+    whole = E.await_result(v.event_store, timeout_s=_WAIT, cap_s=_WAIT).select(*done.columns)
+    return done.unionByName(whole.join(done.select("start_id"), "start_id", "left_anti"))
 
 
 @query("stream_notify", sql=FANOUT_SQL)
@@ -103,9 +103,11 @@ def stream_notify(v: Inputs) -> DataFrame:
 
 @query("stream_reclaim", sql=f"""
 WITH w AS (SELECT max(delivered_at) AS newest FROM messages)
-SELECT CAST(msg_id AS VARCHAR) AS msg_id, CASE WHEN retries + 1 > 3 THEN 'dlq' ELSE 'requeue' END AS route,
-  CASE WHEN retries + 1 > 3 THEN 'max_retries_exceeded' END AS reason, CASE WHEN retries + 1 <= 3 THEN retries + 1 END AS next_retries
-FROM messages JOIN w ON epoch_ms(delivered_at) + 300001 < epoch_ms(w.newest) WHERE outcome <> 'success'""")
+SELECT CAST(msg_id AS VARCHAR) AS msg_id,
+  CASE WHEN NOT over THEN 'open' WHEN retries + 1 > 3 THEN 'dlq' ELSE 'requeue' END AS route,
+  CASE WHEN over AND retries + 1 > 3 THEN 'max_retries_exceeded' END AS reason,
+  CASE WHEN over AND retries + 1 <= 3 THEN retries + 1 END AS next_retries
+FROM (SELECT *, epoch_ms(delivered_at) + 300001 < epoch_ms(w.newest) - 600000 AS over FROM messages, w) WHERE outcome <> 'success'""")
 def stream_reclaim(v: Inputs) -> DataFrame:
     seen = event_stream(v, "messages")
     deliveries = seen.select(
@@ -114,8 +116,12 @@ def stream_reclaim(v: Inputs) -> DataFrame:
         "retries", "data",
     )
     out = scratch_dir(v.spark, "reclaim")
-    replay(v, SS.reclaim_stream(deliveries), path=out, settings=SS.ROCKSDB)
-    return v.spark.read.parquet(out).select("msg_id", "route", "reason", "next_retries")
+    replay(v, SS.reclaim_stream(deliveries, late_s=600), path=out, settings=SS.ROCKSDB)
+    done = v.spark.read.parquet(out).select("msg_id", "route", "reason", "next_retries")
+    # messages neither acknowledged nor idle for long enough when the stream ends
+    waiting = v.messages.filter("outcome <> 'success'").select(F.col("msg_id").cast("string").alias("msg_id"))
+    still = waiting.join(done.select("msg_id"), "msg_id", "left_anti").withColumn("route", F.lit("open"))
+    return done.unionByName(still, allowMissingColumns=True)
 
 
 @query("stream_trim", sql="SELECT msg_id FROM messages ORDER BY delivered_at DESC, msg_id DESC LIMIT 1000")

@@ -172,7 +172,7 @@ SELECT 'run-1' AS id, count(DISTINCT task_id)::INT AS total_tasks, count(DISTINC
 def experiment_history(v: Inputs) -> DataFrame:
     observed = v.observations.withColumn("observation", F.to_json(F.struct("error")))
     root = scratch_dir(v.spark, "history")
-    out = jobs.experiment_history(observed, root, v.spark, experiment_id="run-1", project_id=7,
-                                  metric_name=K.FIELD_METRIC_NAME)
+    run = {"experiment_id": "run-1", "project_id": 7, "metric_name": K.FIELD_METRIC_NAME}
+    out = jobs.experiment_history(observed, root, v.spark, project_id=7, run=run)
     return out.select("id", "total_tasks", "processed_count", F.round("average_score", 6).alias("average_score"),
                       "observation_count")

@@ -23,7 +23,7 @@ _BAL = "CAST(c.c_acctbal AS STRING)"
 VIEWS: dict[str, str] = {
     "event_store": f"""
 SELECT event_id AS id, concat('wf-', CAST(user_id % 4 AS STRING)) AS workflow_id,
-  CAST(user_id % 5 AS INT) AS organization_id,
+  CAST(user_id AS INT) AS organization_id,
   concat(CAST(user_id AS STRING), '-', CAST(CAST(ts AS DATE) AS STRING)) AS execution_id,
   ts AS created_at,
   CASE event_type WHEN 'signup' THEN 'WorkflowExecutionStarted'
@@ -117,7 +117,7 @@ SELECT CAST(n_nationkey AS INT) AS id,
   n_name AS prefix, CASE WHEN n_nationkey % 4 = 3 THEN 'Revoked' ELSE 'Active' END AS status
 FROM nation""",
     "webhooks": """
-SELECT s_suppkey AS id, CAST(s_nationkey % 5 AS INT) AS organization_id,
+SELECT s_suppkey AS id, CAST(floor(s_suppkey / 2) AS INT) AS organization_id,
   concat('https://hooks.example.org/', s_name) AS url FROM supplier""",
     "workflow_rows": """
 SELECT 'wf-0' AS id,

@@ -220,7 +220,7 @@ def test_barcodes_second_pass(spark):
         (1, 2, 1, 1, 0, "2D_DOC", "x"), (1, 2, 2, 1, 0, "QR", "never"), (1, 3, 2, 1, 0, "AZTEC", "no key"),
     ], "doc_id int, page_number int, pass int, pos int, tie int, type string, raw_data string")
     got = {(r.page_number, r.key, r.pos) for r in P.merged_passes(df).collect()}
-    assert got == {(1, "qr:a", 1), (1, "qr:b", 1), (2, "2d:x", 1)}
+    assert got == {(1, "qr:a", 1), (1, "qr:b", 1), (2, "dm:x", 1)}
 
 
 def test_prompt_chunks(spark):

@@ -108,7 +108,7 @@ def test_await_brute_force(spark):
     schema = "id int, execution_id string, created_at timestamp, event_type string"
     out = folder()
     stream = read_message_stream(spark, files(spark, rows, schema), schema, "parquet", slots=1)
-    run_available(SS.await_with_timeout(stream, 20), path=out, settings=SS.ROCKSDB)
+    run_available(SS.await_with_timeout(stream, 20, late_s=0), path=out, settings=SS.ROCKSDB)
     got = {r.start_id: r.result_id for r in spark.read.parquet(out).collect()}
     end = max(r[2] for r in rows)
     want = {}
@@ -127,7 +127,7 @@ def test_reclaim_acknowledged_in_a_later_batch(spark):
             (9, t(450), "delivered", 0, "z"), (9, t(451), "acked", 0, None)]
     out = folder()
     stream = read_message_stream(spark, files(spark, rows, schema), schema, "parquet", slots=1)
-    run_available(SS.reclaim_stream(stream), path=out, settings=SS.ROCKSDB)
+    run_available(SS.reclaim_stream(stream, late_s=0), path=out, settings=SS.ROCKSDB)
     got = {r.msg_id: (r.route, r.next_retries) for r in spark.read.parquet(out).collect()}
     assert got == {"1": ("requeue", 1), "3": ("dlq", None)}
 
