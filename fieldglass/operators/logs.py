@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.dates import elapsed_ms
 from ..functions.delivery import classify_error
-from .slices import chunked_lists
+from .slices import chunked_lists, ordinal_in_group
 
 
-def execution_log(events: DataFrame, slice_by: Column, chunk_rows: int = 1000) -> DataFrame:
-    """One entry per execution: status, times, error triple, ordered log lines.
+def execution_log(events: DataFrame) -> DataFrame:
+    """One entry per execution, however many lines it has: status, times, error triple.
 
-    Header values come from aggregates that reduce map-side. The line list is
-    chunked; an execution with at most ``chunk_rows`` lines has exactly one entry.
+    All values come from aggregates that reduce map-side; the lines are rows of
+    ``execution_log_lines``.
     """
     order = F.struct("created_at", "id")
     failed = F.col("event_type") == K.FAILED
@@ -28,15 +28,9 @@ def execution_log(events: DataFrame, slice_by: Column, chunk_rows: int = 1000) -
         F.max_by(F.struct("error_type", "step_name"), F.when(failed, order)).alias("err"),
         F.count(F.lit(1)).alias("log_lines"),
     )
-    lines = chunked_lists(
-        events, ["execution_id"], [F.col("created_at"), F.col("id")], slice_by,
-        F.struct("created_at", "event_type", "step_name"), "logs", chunk_rows,
-    )
     success = F.col("last_type") != K.FAILED
     error = classify_error(F.col("err.error_type"), F.lit(None).cast("string"), F.col("err.step_name"))
-    out = header.join(lines.withColumnRenamed("execution_id", "__x"),
-                      F.col("execution_id").eqNullSafe(F.col("__x"))).drop("__x")
-    return out.select(
+    return header.select(
         "execution_id",
         "workflow_id",
         F.when(success, "succeeded").otherwise("failed").alias("status"),
@@ -47,13 +41,19 @@ def execution_log(events: DataFrame, slice_by: Column, chunk_rows: int = 1000) -
         F.when(~success, error["error_type"]).alias("error_type"),
         F.when(~success, error["failed_step"]).alias("failed_step"),
         "log_lines",
-        "chunk",
-        "logs",
     )
 
 
-def request_log(lines: DataFrame, slice_by: Column, chunk_rows: int = 1000) -> DataFrame:
-    """One entry per request id with tags from its first line and its ordered messages."""
+def execution_log_lines(events: DataFrame, slice_by: Column) -> DataFrame:
+    """The lines of the entries: one row per line with its position from 1."""
+    numbered = ordinal_in_group(
+        events, ["execution_id"], [F.col("created_at"), F.col("id")], slice_by, "position"
+    )
+    return numbered.select("execution_id", "position", "created_at", "event_type", "step_name")
+
+
+def request_log(lines: DataFrame) -> DataFrame:
+    """One entry per request id with tags from its first line; see ``request_log_lines``."""
     order = F.struct("ts", "id")
     header = lines.groupBy("request_id").agg(
         F.min_by(F.struct("method", "path", "organization_id"), order).alias("t"),
@@ -62,16 +62,18 @@ def request_log(lines: DataFrame, slice_by: Column, chunk_rows: int = 1000) -> D
         F.max("ts").alias("last_ts"),
         F.count(F.lit(1)).alias("log_lines"),
     )
-    lists = chunked_lists(
-        lines, ["request_id"], [F.col("ts"), F.col("id")], slice_by,
-        F.struct("ts", "message"), "logs", chunk_rows,
-    )
-    return header.join(lists, "request_id").select(
+    return header.select(
         "request_id", "t.*", "status_code",
-        elapsed_ms("first_ts", "last_ts").alias("elapsed_ms"), "log_lines", "chunk", "logs",
+        elapsed_ms("first_ts", "last_ts").alias("elapsed_ms"), "log_lines",
     )
 
 
+def request_log_lines(lines: DataFrame, slice_by: Column) -> DataFrame:
+    """The messages of the entries: one row per message with its position from 1."""
+    numbered = ordinal_in_group(lines, ["request_id"], [F.col("ts"), F.col("id")], slice_by, "position")
+    return numbered.select("request_id", "position", "ts", "message")
+
+
 def step_facts(executions: DataFrame) -> DataFrame:
     """Step metadata as a fact table: one row per execution and step, in order."""
     return executions.select(

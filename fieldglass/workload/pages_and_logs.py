@@ -152,28 +152,42 @@ WITH h AS (SELECT execution_id, arg_min(workflow_id, created_at) AS workflow_id,
   coalesce(max(retry_count) FILTER (WHERE event_type = 'WorkflowExecutionFailed'), 0) AS retry_count,
   arg_max(error_type, created_at) FILTER (WHERE event_type = 'WorkflowExecutionFailed') AS error_type,
   arg_max(step_name, created_at) FILTER (WHERE event_type = 'WorkflowExecutionFailed') AS failed_step,
-  count(*) AS log_lines,
-  string_agg(event_type || '@' || {sql_at('created_at')}, ';' ORDER BY created_at, id) AS logs FROM event_store GROUP BY 1)
+  count(*) AS log_lines FROM event_store GROUP BY 1)
 SELECT execution_id, workflow_id, CASE WHEN last_type = 'WorkflowExecutionFailed' THEN 'failed' ELSE 'succeeded' END AS status, retry_count,
   CAST(floor((epoch_us(f) - epoch_us(s)) / 1000) AS BIGINT) AS elapsed_time_ms,
   CASE WHEN last_type = 'WorkflowExecutionFailed' THEN error_type END AS error_type,
-  CASE WHEN last_type = 'WorkflowExecutionFailed' THEN failed_step END AS failed_step, log_lines, 0 AS chunk, logs FROM h""")
+  CASE WHEN last_type = 'WorkflowExecutionFailed' THEN failed_step END AS failed_step, log_lines FROM h""")
 def execution_log(v: Inputs) -> DataFrame:
-    out = L.execution_log(v.event_store, hour("created_at"))
-    lines = F.transform("logs", lambda x: F.concat_ws(
-        "@", x["event_type"], F.date_format(x["created_at"], "yyyy-MM-dd HH:mm:ss.SSSSSS")))
-    return out.select("execution_id", "workflow_id", "status", "retry_count", "elapsed_time_ms",
-                      "error_type", "failed_step", "log_lines", "chunk",
-                      F.array_join(lines, ";").alias("logs"))
+    return L.execution_log(v.event_store).select(
+        "execution_id", "workflow_id", "status", "retry_count", "elapsed_time_ms", "error_type", "failed_step", "log_lines")
+
+
+@query("execution_log_lines", sql=f"""
+SELECT execution_id, row_number() OVER (PARTITION BY execution_id ORDER BY created_at, id) AS position,
+  {sql_at('created_at')} AS created_at, event_type, step_name FROM event_store""")
+def execution_log_lines(v: Inputs) -> DataFrame:
+    out = L.execution_log_lines(v.event_store, hour("created_at"))
+    return out.withColumns({"created_at": at("created_at"), "position": F.col("position").cast("bigint")})
 
 
 @query("request_log", sql=f"""
 WITH l AS (SELECT conv_id AS request_id, turn AS id, TIMESTAMP '2024-01-01' + to_minutes(CAST(turn AS INT)) AS ts, role, text FROM conversations)
 SELECT request_id, arg_min(role, id) AS method, 200 + max(id) AS status_code,
-  CAST((max(id) - min(id)) * 60000 AS BIGINT) AS elapsed_ms, count(*) AS log_lines, 0 AS chunk,
-  string_agg(id || ':' || length(text), ';' ORDER BY id) AS logs FROM l GROUP BY 1""")
+  CAST((max(id) - min(id)) * 60000 AS BIGINT) AS elapsed_ms, count(*) AS log_lines FROM l GROUP BY 1""")
 def request_log(v: Inputs) -> DataFrame:
-    lines = v.conversations.select(
+    return L.request_log(_request_lines(v)).select("request_id", "method", "status_code", "elapsed_ms", "log_lines")
+
+
+@query("request_log_lines", sql="""
+SELECT conv_id AS request_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, turn || ':' || length(text) AS message
+FROM conversations""")
+def request_log_lines(v: Inputs) -> DataFrame:
+    out = L.request_log_lines(_request_lines(v), hour("ts"))
+    return out.select("request_id", F.col("position").cast("bigint").alias("position"), "message")
+
+
+def _request_lines(v: Inputs) -> DataFrame:
+    return v.conversations.select(
         F.col("conv_id").alias("request_id"),
         F.col("turn").alias("id"),
         F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("turn") * 60).alias("ts"),
@@ -181,9 +195,6 @@ def request_log(v: Inputs) -> DataFrame:
         F.lit(1).alias("organization_id"), (200 + F.col("turn")).alias("status_code"),
         F.concat_ws(":", F.col("turn").cast("string"), F.length("text").cast("string")).alias("message"),
     )
-    out = L.request_log(lines, hour("ts"))
-    return out.select("request_id", "method", "status_code", "elapsed_ms", "log_lines", "chunk",
-                      F.array_join(F.transform("logs", lambda x: x["message"]), ";").alias("logs"))
 
 
 def _completed(v: Inputs) -> DataFrame:

@@ -141,7 +141,7 @@ def sink_roundtrip(v: Inputs) -> DataFrame:
     S.publish_messages(v.messages, f"{root}/messages", "msg_id", "outcome")
     routed = M.route_outcomes(M.decoded(v.messages, ("k",)))
     S.write_dead_letters(M.dead_letters(routed, "consumer-1"), f"{root}/dlq")
-    S.write_execution_log(L.execution_log(v.event_store, pages_and_logs.hour("created_at")), f"{root}/log")
+    S.write_execution_log(L.execution_log(v.event_store), f"{root}/log")
     S.write_replay_payloads(pages_and_logs._replays(v), f"{root}/replay")
     S.write_prompt_history(
         R.prompt_changes(pages_and_logs._prompts(v), pages_and_logs.hour("ts")), f"{root}/prompts")

@@ -295,5 +295,7 @@ def test_execution_log_failure(spark):
     cols = ("id int, execution_id string, workflow_id string, created_at timestamp, event_type string, error_type string,"
             " step_name string, retry_count int")
     df = spark.createDataFrame([tuple(r) for r in rows], cols)
-    r = L.execution_log(df, F.date_trunc("hour", "created_at")).first()
-    assert (r.status, r.elapsed_time_ms, r.error_type, r.failed_step, r.retry_count, len(r.logs)) == ("failed", 1500, "E", "unknown", 2, 2)
+    r = L.execution_log(df).first()
+    assert (r.status, r.elapsed_time_ms, r.error_type, r.failed_step, r.retry_count, r.log_lines) == ("failed", 1500, "E", "unknown", 2, 2)
+    lines = L.execution_log_lines(df, F.date_trunc("hour", "created_at")).orderBy("position").collect()
+    assert [(x.position, x.event_type) for x in lines] == [(1, K.STARTED), (2, K.FAILED)]
