@@ -35,7 +35,6 @@ STEP_COMPLETED = "WorkflowExecutionStepCompleted"
 COMPLETED = "WorkflowExecutionCompleted"
 FAILED = "WorkflowExecutionFailed"
 EVENT_TYPES = (STARTED, STEP_COMPLETED, COMPLETED, FAILED)
-ANONYMIZATION_STATUSES = ("PENDING", "DONE", "ERROR")
 RETRYABLE_ERROR = "RetryableException"
 UNKNOWN_STEP = "unknown"
 RETENTION_DAYS = 7
@@ -97,13 +96,6 @@ WORKFLOW_STEPS = (
     "llm_extract_data",
     "save_workflow_result",
 )
-LLM_MODELS = (
-    "albert-large",
-    "albert-small",
-    "openweight-large",
-    "openweight-small",
-    "mistral-medium-2508",
-)
 
 # --- fixed values: labelling format -------------------------------------------
 METADATA_FIELD = "__metadata__"

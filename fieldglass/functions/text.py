@@ -272,16 +272,18 @@ def sanitize_metadata(metadata: ColumnOrName) -> Column:
 
 
 def last_wins_map(entries: Column) -> Column:
-    """Array of (key, value) structs to a map where a repeated key keeps its last value."""
-
-    def build(found: Column) -> Column:
-        return F.map_from_entries(
-            F.filter(
-                found,
-                lambda e, i: ~F.array_contains(
-                    F.slice(F.transform(found, lambda x: x["key"]), i + 2, F.size(found)), e["key"]
-                ),
-            )
-        )
+    """Array of (key, value) structs to a map where a repeated key keeps its last value.
+
+    Entries are sorted by key and place, the last of each key stays, and the order of the
+    places is restored.
+    """
+    placed = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))
+
+    def last_of_each(found: Column) -> Column:
+        return F.filter(found, lambda e, i: ~F.get(found, i + 1)["key"].eqNullSafe(e["key"]))
 
-    return let(entries, build)
+    back = F.array_sort(F.transform(
+        let(F.array_sort(placed), last_of_each),
+        lambda e: F.struct(e["i"].alias("i"), e["key"].alias("key"), e["value"].alias("value")),
+    ))
+    return F.map_from_entries(F.transform(back, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))

@@ -102,6 +102,40 @@ def model_summary(observations: DataFrame) -> DataFrame:
     )
 
 
+STORED = "score double, error string, field_scores map<string,map<string,double>>"
+
+
+def read_stored(observations: DataFrame) -> DataFrame:
+    """Stored observations with their result text read back: ``result`` and ``unreadable``.
+
+    A text without a score cannot be used; a missing text is no error.
+    """
+    text = F.nullif(F.col("metric_results"), F.lit(""))
+    return observations.withColumn("result", F.from_json(text, STORED)).withColumn(
+        "unreadable", text.isNotNull() & F.col("result.score").isNull()
+    )
+
+
+def stored_summary(stored: DataFrame) -> DataFrame:
+    """Per model: mean score of the readable results, items, errors with the unreadable ones, mean time."""
+    failed = F.coalesce(F.col("result.error") != "", F.lit(False)) | F.col("unreadable")
+    return stored.groupBy(F.coalesce("model_version", F.lit("Unknown")).alias("model_version")).agg(
+        F.avg("result.score").alias("overall_score"),
+        F.count(F.lit(1)).alias("total_items"),
+        F.count_if(failed).alias("errors"),
+        F.avg(F.col("processing_time_ms").cast("double")).alias("mean_time_ms"),
+    )
+
+
+def stored_scores(stored: DataFrame) -> DataFrame:
+    """Long scores (model_version, field, metric, score) of the readable results."""
+    return (
+        stored.filter(~F.col("unreadable"))
+        .select(F.coalesce("model_version", F.lit("Unknown")).alias("model_version"), F.explode("result.field_scores").alias("field", "by_metric"))
+        .select("model_version", "field", F.explode("by_metric").alias("metric", "score"))
+    )
+
+
 def distinct_field_metric(scores: DataFrame) -> DataFrame:
     return scores.select("field", "metric").distinct()
 

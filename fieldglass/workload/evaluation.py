@@ -188,6 +188,33 @@ def observation_model_summary(v: Inputs) -> DataFrame:
     return out.withColumns({c: r6(c) for c in ("overall_score", "mean_time_ms")})
 
 
+def _stored(v: Inputs) -> DataFrame:
+    """Observations as a saved run holds them; every thirteenth text is damaged."""
+    result = F.to_json(F.struct(
+        "score", "error", F.create_map("field", F.create_map("metric", "score")).alias("field_scores")
+    ))
+    text = F.when(F.col("task_id") % 13 == 0, F.substring(result, 1, 9)).otherwise(result)
+    return R.read_stored(v.observations.withColumn("metric_results", text))
+
+
+@query("report_from_stored", sql="""
+SELECT model_version, round(avg(score) FILTER (WHERE task_id % 13 <> 0), 6) AS overall_score, count(*) AS total_items,
+  count(*) FILTER (WHERE task_id % 13 = 0 OR error IS NOT NULL) AS errors, round(avg(processing_time_ms), 6) AS mean_time_ms
+FROM observations GROUP BY 1""")
+def report_from_stored(v: Inputs) -> DataFrame:
+    out = R.stored_summary(_stored(v))
+    return out.withColumns({c: r6(c) for c in ("overall_score", "mean_time_ms")})
+
+
+@query("stored_field_scores", sql="""
+SELECT model_version, field, metric, round(avg(score), 6) AS mean, count(*) AS n
+FROM observations WHERE task_id % 13 <> 0 GROUP BY 1, 2, 3""")
+def stored_field_scores(v: Inputs) -> DataFrame:
+    scores = R.stored_scores(_stored(v))
+    return scores.groupBy("model_version", "field", "metric").agg(
+        r6(F.avg("score")).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
 @query("distinct_field_metric", sql="SELECT DISTINCT field, metric FROM observations")
 def distinct_field_metric(v: Inputs) -> DataFrame:
     return R.distinct_field_metric(v.observations)
