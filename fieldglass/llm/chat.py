@@ -103,9 +103,8 @@ def branches(nodes: DataFrame, best: int = 1) -> DataFrame:
     walk = chosen.select("tree", "root", F.col("node").alias("leaf"), "rank", F.col("mean").alias("score"), "node", F.col("depth").alias("at"))
     for r in range(len(tables) - 2, -1, -1):  # largest steps first: every node on the way is met once
         up = tables[r].filter("up is not null")
-        walk = walk.unionByName(
-            walk.join(up, "node").withColumns({"node": F.col("up"), "at": F.col("at") - (1 << r)}).drop("up")
-        )
+        above = walk.join(up, "node").withColumns({"node": F.col("up"), "at": F.col("at") - (1 << r)}).drop("up")
+        walk = kept_table(walk.unionByName(above), "walk")  # else the plan doubles with every step
     return walk
 
 
