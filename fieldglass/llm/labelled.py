@@ -10,6 +10,7 @@ from .native import crc_of_id
 
 #: Rows of each class that a classifier is fitted on, at most.
 ROWS_PER_CLASS = 12_000
+PLACES = 1 << 40
 
 
 def held_out(doc_id, parts: int = 3, which: int = 1):
@@ -28,9 +29,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
         .groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     )
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = F.xxhash64("id")
-    chosen = [rows.filter(F.col("y") == y).orderBy(order, "id").limit(per_class) for y in (0, 1)]
+    place = F.pmod(F.xxhash64("id"), F.lit(PLACES))
+
+    def chosen(y: int) -> DataFrame:
+        # the hash leaves a tenth more than wanted, so that few rows are ordered
+        share = min(1.0, 1.1 * per_class / max(1, counts.get(y, 0)))
+        few = rows.filter((F.col("y") == y) & (place < int(share * PLACES)))
+        return few.orderBy(place, "id").limit(per_class)
+
     # two times per_class rows of an id and a label: small enough to send everywhere
-    sample = F.broadcast(chosen[0].unionByName(chosen[1]))
+    sample = F.broadcast(chosen(0).unionByName(chosen(1)))
     joined = docs.join(sample, docs["doc_id"] == sample["id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
     return kept_table(joined, "training"), counts

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
+from .frequent import most_frequent
 from .graph import kept_table
 from .labelled import ROWS_PER_CLASS, held_out, training_rows
 from .native import words
@@ -50,7 +51,7 @@ OWN_LETTERS = frozenset("éèêçàùâôûäöüßñáíóú")
 STEM_LENGTHS = range(3, 13)
 THRESHOLD = 0.7
 #: Stems and phrases of the labelled sample that are looked at, at most; the sample bounds them too.
-CANDIDATES = 100_000
+CANDIDATES = 50_000
 
 
 class _Folding(dict):
@@ -131,8 +132,8 @@ def _stems(words: Iterable[str]) -> set[str]:
     return {w[:k] for w in set(words) for k in STEM_LENGTHS if len(w) >= k}
 
 
-def _counting(candidates: frozenset[str] | None):
-    """Documents of each class that hold a stem or, around known stems, a pair of words."""
+def _counting(wanted):
+    """Documents of each class that hold a stem, or a pair of words around a chosen stem."""
 
     def run(frames) -> Iterator:
         import pandas as pd
@@ -140,24 +141,20 @@ def _counting(candidates: frozenset[str] | None):
         counts = {0: Counter(), 1: Counter()}
         for frame in frames:
             for text, y in zip(frame["text"], frame["y"]):
-                words = folded(text).split()
-                stems = _stems(words)
-                if candidates is None:
-                    counts[y].update(stems)
-                    continue
-                stems &= candidates
-                counts[y].update(stems)
-                if stems:
-                    touched = [any(w[:k] in stems for k in STEM_LENGTHS) for w in words]
-                    counts[y].update({f"{a} {b}" for a, b, p, q in zip(words, words[1:], touched, touched[1:]) if p or q})
+                counts[y].update(wanted(folded(text).split()))
         rows = [(k, counts[1][k], counts[0][k]) for k in counts[0].keys() | counts[1].keys()]
         yield pd.DataFrame(rows, columns=["text", "pos", "neg"])
 
     return run
 
 
-def _summed(rows: DataFrame, candidates: frozenset[str] | None) -> DataFrame:
-    counted = rows.mapInPandas(_counting(candidates), "text string, pos long, neg long")
+def _pairs(words: list[str], stems: dict[str, float]) -> set[str]:
+    touched = [any(w[:k] in stems for k in STEM_LENGTHS) for w in words]
+    return {f"{a} {b}" for a, b, p, q in zip(words, words[1:], touched, touched[1:]) if p or q}
+
+
+def _summed(rows: DataFrame, wanted) -> DataFrame:
+    counted = rows.mapInPandas(_counting(wanted), "text string, pos long, neg long")
     return counted.groupBy("text").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
@@ -241,15 +238,15 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), pe
     seen = {r["y"]: r["n"] for r in distinct.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not seen.get(1) or not seen.get(0):
         return Lexicon({})
-    first = _summed(distinct.filter("y = 1"), None).filter("pos >= 3").orderBy(F.col("pos").desc(), "text").limit(CANDIDATES)
-    candidates = frozenset(r["text"] for r in first.select("text").collect())
+    first = kept_table(_summed(distinct.filter("y = 1"), _stems).filter("pos >= 3"), "stems")
+    candidates = frozenset(r["text"] for r in most_frequent(first, "pos", CANDIDATES).select("text").collect())
     spark = docs.sparkSession
-    second = _summed(distinct, candidates).filter("pos + neg >= 3").orderBy((F.col("pos") + F.col("neg")).desc(), "text").limit(4 * CANDIDATES)
-    counts = {r["text"]: (r["pos"], r["neg"]) for r in second.collect()}
-    stems = chosen_stems({k: v for k, v in counts.items() if " " not in k and v[0]}, seen[1], seen[0])
-    innocent = [k for k, (pos, neg) in counts.items() if " " in k and neg >= 3 and not pos and any(
-        w[:n] in stems for w in k.split() for n in STEM_LENGTHS)]
-    lexicon = Lexicon(stems, tuple(dict.fromkeys([*(folded(e).strip() for e in exceptions), *sorted(innocent)])))
+    shared = spark.sparkContext.broadcast(candidates)
+    second = _summed(distinct, lambda words: _stems(words) & shared.value).collect()
+    stems = chosen_stems({r["text"]: (r["pos"], r["neg"]) for r in second}, seen[1], seen[0])
+    phrases = _summed(distinct, lambda words: _pairs(words, stems)).filter("pos = 0 and neg >= 3")
+    innocent = sorted(r["text"] for r in most_frequent(phrases, "neg", CANDIDATES).collect())
+    lexicon = Lexicon(stems, tuple(dict.fromkeys([*(folded(e).strip() for e in exceptions), *innocent])))
     found = distinct.mapInPandas(_evidence_of(spark.sparkContext.broadcast(lexicon)), "e double, n long, y int").toPandas()
     y = found["y"].to_numpy(float)
     weight = np.where(y == 1, totals.get(1, 1) / seen[1], totals.get(0, 1) / seen[0])
