@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from ..session import scratch_dir
+from .graph import kept_table
 from .native import words
 
 WEIGHTS = (5, 2, 1)
@@ -193,6 +194,7 @@ def split_tree(quota_rows: DataFrame, shards: int = SHARDS, seed: int = 0) -> Da
                 F.when(F.col("side") == 0, e["k"]).otherwise(e["q"] - e["k"]).alias("q"),
             )).alias("qs"),
         )
+        nodes = kept_table(nodes, "tree")  # a row per node; else every level is planned inside the next
     leaves = nodes.filter(F.col("node") < shards).select(F.col("node").alias("shard"), F.inline("qs"))
     upto = F.sum("q").over(Window.partitionBy("source").orderBy("shard"))
     return leaves.withColumn("upto", upto).select("source", "shard", (F.col("upto") - F.col("q")).alias("from"), "upto")
@@ -236,7 +238,8 @@ def mix(
     epoch, and ``sort`` by which a shard is ordered.
     """
     sized = sizes(docs)
-    quota_rows = quotas(targets(sized, weights), block_words, seed)
+    # a row per source; written, so that its windows are planned once
+    quota_rows = kept_table(quotas(targets(sized, weights), block_words, seed), "quotas")
     return _shuffled(_placed(pieces(sized, quota_rows, block_words), quota_rows, shards, seed), seed)
 
 
@@ -274,7 +277,8 @@ def taken(
     take a piece of the document.
     """
     sized = sizes(docs)
-    quota_rows = quotas(targets(sized, weights), block_words, seed)
+    # a row per source; written, so that its windows are planned once
+    quota_rows = kept_table(quotas(targets(sized, weights), block_words, seed), "quotas")
     placed = _placed(pieces(sized, quota_rows, block_words), quota_rows, shards, seed)
     sums = placed.groupBy("row").agg(F.sum("words").cast("long").alias("taken"), F.countDistinct("shard").alias("n_shards"))
     return (
