@@ -285,7 +285,7 @@ def crawl_of(pages: DataFrame) -> DataFrame:
     again = fetched + F.when(ten == 7, -3600).otherwise(86400)
     stamp = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     modified = F.concat(F.lit("Last-Modified: "), stamp(fetched - 86400))
-    tag = F.md5(F.col("html").cast("binary"))
+    pages, tag = pages.withColumn("tag", F.md5(F.col("html").cast("binary"))), F.col("tag")
     url2 = (
         F.when(n % 4 == 1, F.regexp_replace("url", "^https?:", "https:")).when(n % 4 == 2, F.concat("url", F.lit("#again")))
         .when(n % 4 == 3, F.concat("url", F.when(F.col("url").contains("?"), "&utm_medium=mail").otherwise("?utm_medium=mail")))

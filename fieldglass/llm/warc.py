@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
+from .graph import kept_table
 
 CRLF = "\r\n"
 #: Headers that a not-modified answer may replace (fixed values, lower case).
@@ -70,24 +71,31 @@ def record_text(fields: Column, status: Column, headers: Column, body: Column) -
     ))
 
 
+def _after(text: Column, head: Column, tail: int = 0) -> Column:
+    """What follows ``head`` and an empty line, less ``tail`` bytes at the end; by bytes, so nothing is counted through."""
+    begin = F.octet_length(head) + len(CRLF) * 2
+    length = F.greatest(F.octet_length(text) - begin - tail, F.lit(0))
+    return F.substring(text.cast("binary"), begin + 1, length)
+
+
 def parsed(text: Column) -> Column:
-    """WARC fields, HTTP status, headers and payload of a record as one struct."""
-    gap = F.lit(CRLF * 2)
+    """WARC fields, HTTP status, headers and payload (bytes) of a record as one struct."""
+    gap = CRLF * 2
 
-    def body(parts: Column) -> Column:
-        rest = F.substring(parts["text"], parts["at"] + 4, F.length(parts["text"]))
-        lines = F.split(F.substring(parts["text"], F.lit(1), parts["at"] - 1), CRLF)
-        return let(F.struct(rest.alias("rest"), lines.alias("lines"), F.instr(rest, gap).alias("cut")), http)
+    def body(p: Column) -> Column:
+        rest = _after(p["text"], p["head"]).cast("string")
+        return let(F.struct(p["head"].alias("head"), rest.alias("rest"), F.substring_index(rest, gap, 1).alias("http")), http)
 
     def http(p: Column) -> Column:
-        head = F.split(F.substring(p["rest"], F.lit(1), p["cut"] - 1), CRLF)
-        payload = F.substring(p["rest"], p["cut"] + 4, F.length(p["rest"]) - p["cut"] - 3 - 4)
+        lines = F.split(p["http"], CRLF)
         return F.struct(
-            header_lines(p["lines"]).alias("fields"), F.regexp_extract(head[0], r"^HTTP/\S+ (\d{3})", 1).alias("status"),
-            header_lines(F.slice(head, 2, F.greatest(F.size(head) - 1, F.lit(0)))).alias("headers"), payload.alias("payload"),
+            header_lines(F.split(p["head"], CRLF)).alias("fields"),
+            F.regexp_extract(lines[0], r"^HTTP/\S+ (\d{3})", 1).alias("status"),
+            header_lines(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("headers"),
+            _after(p["rest"], p["http"], len(gap)).alias("payload"),
         )
 
-    return let(F.struct(text.alias("text"), F.instr(text, gap).alias("at")), body)
+    return let(F.struct(text.alias("text"), F.substring_index(text, gap, 1).alias("head")), body)
 
 
 def records(texts: DataFrame, column: str = "record") -> DataFrame:
@@ -148,6 +156,7 @@ def resolve(table: DataFrame, permitted: tuple[str, ...] = PERMITTED, slice_seco
         "record_id", "type", "url", "fetched", "status",
         F.coalesce("headers", F.array().cast(HEADERS)).alias("headers"), "digest", "length",
     ).withColumn("canonical_url", canonical_url(F.col("url")))
+    narrow = kept_table(narrow, "records")  # used several times; the payloads are read once
     none = F.array().cast(HEADERS)
     usable = F.col("canonical_url").isNotNull() & F.col("fetched").isNotNull()
     found = latest_response(narrow.filter(usable), slice_seconds).filter("type = 'revisit'")
