@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..session import scratch_dir
 
 
+#: Edges that one task may join by union-find; more are joined partition by partition first.
+ONE_TASK = 500_000
+
+
 def kept_table(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written to the shared scratch folder and read again."""
     path = scratch_dir(df.sparkSession, purpose)
@@ -63,15 +67,20 @@ def _larger_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes with an edge; component is the smallest node reached.
 
-    ``edges`` has two bigint columns. Union-find shrinks every partition to a forest, then
-    stars are contracted until nothing moves; each round writes its edges. A hub meets its
-    neighbours in a join, which Spark can split, never in one list.
+    ``edges`` has two bigint columns. Up to ONE_TASK edges are joined by union-find at once.
+    Of more, union-find shrinks every partition to a forest, then stars are contracted until
+    nothing moves; each round writes its edges. A hub meets its neighbours in a join, which
+    Spark can split, never in one list. Both ways give the same components.
     """
     first, second = edges.columns[:2]
-    ordered = edges.filter(F.col(first) != F.col(second)).select(
+    ordered = kept_table(edges.filter(F.col(first) != F.col(second)).select(
         F.greatest(first, second).alias("a"), F.least(first, second).alias("b")
-    )
-    forest = kept_table(ordered.mapInArrow(_union_find, "a bigint, b bigint"), "forest")
+    ), "edges")
+    few = ordered.count() <= ONE_TASK
+    found = (ordered.coalesce(1) if few else ordered).mapInArrow(_union_find, "a bigint, b bigint")
+    if few:  # a forest of all edges: every node hangs under its smallest already
+        return _named(kept_table(found, "forest"))
+    forest = kept_table(found, "forest")
     mark = None
     while True:
         print_of = forest.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -79,6 +88,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = tuple(print_of)
         forest = kept_table(_smaller_star(_larger_star(forest)), "forest")
+    return _named(forest)
+
+
+def _named(forest: DataFrame) -> DataFrame:
     return forest.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         forest.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -11,13 +11,14 @@
    with each other: links to the pivot join most of a group of copies at once. A second
    pivot is taken from what is left of each bucket.
 4. Buckets that still hold several components compare the classes outside the largest
-   component with the rest of the bucket, in blocks of bounded size and in the first band
-   that a pair shares. So no pair of the candidates is dropped, and only links are emitted.
+   component with the rest of the bucket: small buckets as a list of distinct pairs, large
+   ones in blocks of bounded size and in the first band that a pair shares, so that only
+   links are emitted. A pair must agree in three bands or more.
 5. Links are confirmed on the full sets; components are found by union-find and star
    contraction.
 
 With 32 bands of 4 registers, two sets of similarity 0.8 share no band with probability
-5e-8. Sets are compared by 64-bit hashes of their shingles.
+5e-8, and fewer than three with probability 1e-5. Sets are compared by 64-bit hashes of their shingles.
 
 Defined results for odd input: a text without words (or null) has an empty set, is linked
 with nothing and kept. A row without an id is linked with nothing, its component is null
@@ -37,12 +38,13 @@ from pyspark.sql import types as T
 
 from .filters import bitmap_of, hit, join_some, slot_of
 from .graph import components, kept_table
-from .tokens import Tokens, chunks, join_hash, lowered, mix, tokenize
+from .tokens import Tokens, chunks, join_hash, mix, tokenize
 
 REGISTERS, BAND = 128, 4
 PERCENT = 80
-#: Classes of a bucket that meet in one task.
-BLOCK = 256
+#: Classes of a bucket that meet in one task, classes of a bucket whose pairs are listed, and
+#: bands that a pair of the rest must share.
+BLOCK, SMALL, SHARED_BANDS = 512, 64, 3
 
 _U = np.uint64
 
@@ -127,9 +129,8 @@ def _signing(shingle: int, m: int, rows: int):
         import pyarrow as pa
 
         for batch in batches:
-            texts = lowered(batch.column(1))
-            for part in chunks(texts):
-                sets = shingle_sets(tokenize(texts[part]), shingle)
+            for part, texts in chunks(batch.column(1)):
+                sets = shingle_sets(tokenize(texts), shingle)
                 keys = band_keys(superminhash(sets, m), rows)
                 first = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], _U)
                 second = np.array([np.add.reduce(mix(s ^ _U(0x5851F42D4C957F2D))) if len(s) else 0 for s in sets], _U)
@@ -157,12 +158,11 @@ def _sets_of(shingle: int, bitmap):
             batch = batch.filter(pa.array(hit(bitmap.value, slots)))
             if not batch.num_rows:
                 continue
-            texts = lowered(batch.column(1))
-            for part in chunks(texts):
+            for part, texts in chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(part.start, part.stop - part.start),
-                        _lists(shingle_sets(tokenize(texts[part]), shingle)),
+                        _lists(shingle_sets(tokenize(texts), shingle)),
                     ],
                     names=["doc_id", "items"],
                 )
@@ -201,7 +201,8 @@ def _block_links(percent: int):
             for rep2, comp2, n2, bands2, items2 in other:
                 if comp2 == comp or comp2 in joined or 100 * min(n, n2) < percent * max(n, n2):
                     continue
-                if np.flatnonzero(bands == bands2)[0] != frame["band"].iat[0]:
+                shared = np.flatnonzero(bands == bands2)
+                if shared[0] != frame["band"].iat[0] or len(shared) < SHARED_BANDS:
                     continue
                 common = len(np.intersect1d(items, items2, assume_unique=True))
                 if 100 * common >= percent * (n + n2 - common):
@@ -217,6 +218,39 @@ def _labelled(shared: DataFrame, links: DataFrame) -> DataFrame:
     return shared.join(labels, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
 
+def _listed(rest: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of small buckets: every pair of different components once, whatever buckets it shares."""
+    left = rest.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    right = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fit).select("a", "b").distinct()
+    shared = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda e: e))
+    likely = (
+        pairs.join(bands.select(F.col("rep").alias("a"), F.col("bands").alias("x")), "a")
+        .join(bands.select(F.col("rep").alias("b"), F.col("bands").alias("y")), "b")
+        .filter(shared >= SHARED_BANDS).select("a", "b")
+    )
+    return _confirmed(likely, sets, percent)
+
+
+def _in_blocks(rest: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of large buckets, block by block."""
+    rest = rest.withColumns({
+        "rights": F.ceil(F.col("size") / BLOCK).cast("int"), "lefts": F.ceil(F.col("out") / BLOCK).cast("int"),
+    })
+    hashed = F.xxhash64("rep")
+    left_rows = rest.filter("comp <> top").withColumn("i", F.pmod(hashed, "lefts")).withColumn(
+        "j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))
+    ).withColumn("side", F.lit(0))
+    right_rows = rest.withColumn("j", F.pmod(hashed, "rights")).withColumn(
+        "i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))
+    ).withColumn("side", F.lit(1))
+    keep = ["key", "band", "side", "rep", "comp", "n", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")]
+    blocks = left_rows.select(*keep).unionByName(right_rows.select(*keep))
+    described = blocks.join(bands, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    return described.groupBy("key", "i", "j").applyInPandas(_block_links(percent), "a bigint, b bigint")
+
+
 def group(
     docs: DataFrame, shingle: int = 5, percent: int = PERCENT, registers: int = REGISTERS, rows: int = BAND,
     text: str = "text",
@@ -269,24 +303,13 @@ def group(
     now = kept_table(_labelled(shared, links), "labels")
     counts = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     largest = counts.groupBy("key").agg(
-        F.max_by("comp", F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-    ).filter("lo <> hi").drop("lo", "hi")
-    outside = counts.join(largest, "key").filter("comp <> top").groupBy("key").agg(F.sum("c").alias("out"))
-    rest = now.join(largest, "key").join(outside, "key").withColumns({
-        "rights": F.ceil(F.col("size") / BLOCK).cast("int"), "lefts": F.ceil(F.col("out") / BLOCK).cast("int"),
-    })
-    hashed = F.xxhash64("rep")
-    left_rows = rest.filter("comp <> top").withColumn("i", F.pmod(hashed, "lefts")).withColumn(
-        "j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))
-    ).withColumn("side", F.lit(0))
-    right_rows = rest.withColumn("j", F.pmod(hashed, "rights")).withColumn(
-        "i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))
-    ).withColumn("side", F.lit(1))
-    keep = ["key", "band", "side", "rep", "comp", "n", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")]
+        F.max_by("comp", F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.max("c").alias("c")
+    ).filter("c < size").select("key", "top", "size", (F.col("size") - F.col("c")).alias("out"))
+    rest = kept_table(now.select("key", "band", "rep", "n", "comp").join(largest, "key"), "rest")
     bands = heads.select(F.col("doc_id").alias("rep"), "bands")
-    blocks = left_rows.select(*keep).unionByName(right_rows.select(*keep))
-    described = blocks.join(bands, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    more = described.groupBy("key", "i", "j").applyInPandas(_block_links(percent), "a bigint, b bigint")
+    more = _listed(rest.filter(F.col("size") <= SMALL), bands, sets, percent).unionByName(
+        _in_blocks(rest.filter(F.col("size") > SMALL), bands, sets, percent)
+    )
     links = kept_table(links.unionByName(more), "links")
 
     labels = components(links).select(F.col("node").alias("rep"), "component")

@@ -173,7 +173,9 @@ def test_superminhash_estimates_similarity():
     assert sorted((one[3] >> np.uint64(32)).tolist()) == list(range(near_dedup.REGISTERS))
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("one_task", [0, 500_000])
+def test_components_of_chains_and_stars(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (200, 150)]
     found = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "x long, y long").repartition(7)).collect()}
     assert all(found[i] == 0 for i in range(41)) and all(found[100 + k] == 100 for k in range(30)) and found[200] == 150
