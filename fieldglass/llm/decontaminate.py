@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .filters import shielded
-from .tokens import ALPHANUMERIC, chunks, join_hash, lowered, tokenize
+from .tokens import ALPHANUMERIC, chunks, join_hash, tokenize
 
 WINDOW = 10
 #: Bytes of benchmark text whose tables are sent to every executor at once.
@@ -104,10 +104,10 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"start": s, "end": e} for s, e in out]
 
 
-def _scan(texts: list[bytes], searches: list[Search]):
+def _scan(column, searches: list[Search]):
     """Per text: number of words, spans of occurrences and their items."""
-    for part in chunks(texts):
-        found = tokenize(texts[part], ALPHANUMERIC)
+    for _, texts in chunks(column):
+        found = tokenize(texts, ALPHANUMERIC)
         bounds = found.first.tolist()
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
         names: dict[int, set[str]] = defaultdict(set)
@@ -150,8 +150,7 @@ def _pass(searches, first: bool, columns: list[str], text: str):
             old = [()] * batch.num_rows if first else list(
                 zip(batch.column("hit_spans").to_pylist(), batch.column("item_ids").to_pylist())
             )
-            texts = lowered(batch.column(text))
-            for (n, hits, items), before in zip(_scan(texts, searches.value), old):
+            for (n, hits, items), before in zip(_scan(batch.column(text), searches.value), old):
                 n_words.append(n)
                 if before:
                     hits = [*hits, *((s["start"], s["end"]) for s in before[0])]

@@ -32,9 +32,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frequent import most_frequent
 from .graph import kept_table
 from .labelled import held_out
-from .tokens import Tokens, chunks, lowered, tokenize
+from .tokens import Tokens, chunks, tokenize
 
 HEADS, TAILS, DIM, ORDER = 64, 64, 16, 3
 UNITS = HEADS + TAILS
@@ -78,9 +79,8 @@ def _counting(batches) -> Iterator:
         return keys, tails[first], np.bincount(back, weights=counts).astype(np.int64)
 
     for batch in batches:
-        texts = lowered(batch.column(0))
-        for part in chunks(texts):
-            hashes, tails, _ = with_ends(tokenize(texts[part]))
+        for _, texts in chunks(batch.column(0)):
+            hashes, tails, _ = with_ends(tokenize(texts))
             keys, first, counts = np.unique(hashes, return_index=True, return_counts=True)
             kept.append((keys, tails[first], counts))
             if sum(len(k[0]) for k in kept) > 2_000_000:
@@ -134,7 +134,7 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
-    top = counts.orderBy(F.col("c").desc(), "word").limit(frequent).toPandas()
+    top = most_frequent(counts, "c", frequent).toPandas()
     sums = counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toPandas()
     unit_tokens, unit_types = np.zeros(UNITS), np.zeros(UNITS)
     unit_tokens[sums["tail"].to_numpy(int)] = sums["c"]
@@ -248,9 +248,8 @@ def _training(vocab, start):
         before = int(v.places(np.array([END], _U), np.array([END_TAIL]))[1][0])
         seen = 0
         for batch in batches:
-            texts = lowered(batch.column(0))
-            for part in chunks(texts):
-                hashes, tails, first = with_ends(tokenize(texts[part]))
+            for _, texts in chunks(batch.column(0)):
+                hashes, tails, first = with_ends(tokenize(texts))
                 _, units = v.places(hashes, tails)
                 context = contexts(units, first, before)
                 for k in range(0, len(units), BATCH):
@@ -293,9 +292,8 @@ def _scoring(vocab, model):
         before = int(v.places(np.array([END], _U), np.array([END_TAIL]))[1][0])
         log_counts = np.log10(np.append(v.counts, 0) + SMOOTHING)
         for batch in batches:
-            texts = lowered(batch.column(2))
-            for part in chunks(texts):
-                hashes, tails, first = with_ends(tokenize(texts[part]))
+            for part, texts in chunks(batch.column(2)):
+                hashes, tails, first = with_ends(tokenize(texts))
                 at, units = v.places(hashes, tails)
                 model_part = m.log_probabilities(contexts(units, first, before), units) / np.log(10)
                 known = at >= 0

@@ -70,12 +70,6 @@ def units(found: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return word, WORD_ROWS + kinds.astype(np.int64)
 
 
-def _texts(column) -> list[bytes]:
-    import pyarrow as pa
-
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
 def _contexts(batches) -> Iterator:
     """Sums of neighbours' index vectors and number of tokens per unit, for one partition."""
     import pyarrow as pa
@@ -83,9 +77,8 @@ def _contexts(batches) -> Iterator:
     index = index_vectors()
     sums = np.zeros((ROWS, DIM + 1), np.float64)
     for batch in batches:
-        texts = _texts(batch.column(0))
-        for part in chunks(texts):
-            found = tokenize(texts[part])
+        for _, texts in chunks(batch.column(0), lower=False):
+            found = tokenize(texts)
             word, kind = units(found)
             if len(word) < 2:
                 continue
@@ -123,12 +116,12 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
+def pooled(column, vectors: np.ndarray) -> np.ndarray:
     """Features of each text: mean, spread and agreement of neighbours of its word vectors."""
-    out = np.zeros((len(texts), 3 * DIM + 2), np.float32)
+    out = np.zeros((len(column), 3 * DIM + 2), np.float32)
     row = 0
-    for part in chunks(texts):
-        found = tokenize(texts[part])
+    for _, texts in chunks(column, lower=False):
+        found = tokenize(texts)
         word, kind = units(found)
         n = found.counts
         some = np.flatnonzero(n)
@@ -219,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) ->
         import pyarrow as pa
 
         for batch in batches:
-            x = pooled(_texts(batch.column(0)), shared.value)
+            x = pooled(batch.column(0), shared.value)
             offsets = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), lists], names=["y", "h", "x"])
@@ -245,7 +238,7 @@ def score(docs: DataFrame, network: Network, threshold: float = 0.5) -> DataFram
         import pyarrow as pa
 
         for batch in batches:
-            x = pooled(_texts(batch.column(2)), shared.value.vectors)
+            x = pooled(batch.column(2), shared.value.vectors)
             p = shared.value.probabilities(x).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p)], names=["doc_id", "held_out", "score"])
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bytes of text worked on at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -98,23 +98,24 @@ def tokenize(texts: list[bytes], inside: np.ndarray = NOT_SPACE) -> Tokens:
     return Tokens(buffer, starts, ends, mix(raw + (ends - starts).astype(_U)), first)
 
 
-def chunks(texts: list[bytes]) -> Iterator[slice]:
-    """Consecutive ranges of texts of about CHUNK_BYTES each."""
-    begin = size = 0
-    for i, text in enumerate(texts):
-        if i > begin and size + len(text) > CHUNK_BYTES:
-            yield slice(begin, i)
-            begin, size = i, 0
-        size += len(text)
-    if begin < len(texts):
-        yield slice(begin, len(texts))
-
+def chunks(column, lower: bool = True) -> Iterator[tuple[slice, list[bytes]]]:
+    """Consecutive ranges of an Arrow string column, of about CHUNK_BYTES each, as UTF-8.
 
-def lowered(column) -> list[bytes]:
-    """UTF-8 of an Arrow string column with A-Z lower-cased; null counts as empty."""
+    A-Z are lower-cased on request; null counts as empty. Only one range at a time is
+    turned into Python objects.
+    """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    return [(x or b"").lower() for x in column.cast(pa.binary()).to_pylist()]
+    column = column.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy().tolist()
+    begin = size = 0
+    for i, more in enumerate([*sizes, CHUNK_BYTES + 1]):
+        if i > begin and (size + more > CHUNK_BYTES or i == len(sizes)):
+            texts = [x or b"" for x in column.slice(begin, i - begin).to_pylist()]
+            yield slice(begin, i), [t.lower() for t in texts] if lower else texts
+            begin, size = i, 0
+        size += more
 
 
 def join_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
