@@ -215,6 +215,17 @@ def test_fuzzy_passage(spark):
     assert (row["start"], row["origin_start"], row["origin_end"]) == (40, 0, 120) and 0.95 < row["identity"] < 1
 
 
+def test_chain_with_a_rewritten_middle_is_split(spark):
+    rows, want = [], set()
+    for n, between in enumerate((40, 50, 60, 80, 100)):
+        one, two = prose(60, 200 + n), prose(60, 300 + n)
+        rows += [(2 * n, " ".join([one, prose(between, 400 + n), two])), (2 * n + 1, " ".join([one, prose(between, 500 + n), two]))]
+        want |= {(2 * n + 1, 0, 60), (2 * n + 1, 60 + between, 120 + between)}
+    found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    near = {(r["doc_id"], s, e) for r in found for d, s, e in want if d == r["doc_id"] and r["start"] <= s and e <= r["end"] <= e + 8}
+    assert near == want and all(r["identity"] >= 0.8 for r in found)
+
+
 def test_cut_passages(spark, docs):
     out = substring_dedup.without_repeats(docs, substring_dedup.passages(docs))
     assert out.schema == docs.schema and out.count() == docs.count()
