@@ -226,6 +226,23 @@ def test_chain_with_a_rewritten_middle_is_split(spark):
     assert near == want and all(r["identity"] >= 0.8 for r in found)
 
 
+def test_every_place_of_a_passage_is_cut(spark):
+    one, own = prose(60, 601), prose(60, 602)
+    edited = one.split()
+    edited[29] = "changed"
+    texts = {
+        1: [prose(30, 603), one, prose(30, 604)], 2: [prose(30, 605), one, prose(30, 606), one, prose(30, 607), " ".join(edited)],
+        3: [own, prose(30, 608), own, prose(30, 609)], 4: ["again " * 500],
+    }
+    data = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    found = substring_dedup.passages(data)
+    places = {(r["doc_id"], r["origin_id"], r["start"]) for r in found.collect()}
+    assert {(2, 1, 30), (2, 1, 120), (2, 1, 210), (3, 3, 90)} <= places and {d for d, *_ in places} == {2, 3, 4}
+    got = {r["doc_id"]: r["text"].split() for r in substring_dedup.without_repeats(data, found).collect()}
+    assert got[1] == " ".join(texts[1]).split() and got[2] == " ".join(texts[2][::2]).split()
+    assert got[3] == " ".join([own, texts[3][1], texts[3][3]]).split() and len(got[4]) < 40
+
+
 def test_cut_passages(spark, docs):
     out = substring_dedup.without_repeats(docs, substring_dedup.passages(docs))
     assert out.schema == docs.schema and out.count() == docs.count()
