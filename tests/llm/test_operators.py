@@ -226,6 +226,21 @@ def test_chain_with_a_rewritten_middle_is_split(spark):
     assert near == want and all(r["identity"] >= 0.8 for r in found)
 
 
+def test_passage_whose_seeds_have_other_first_and_last_holders(spark):
+    rows, want = [], {}
+    for n in range(8):
+        whole = prose(51, 700 + n).split()
+        left, right = " ".join(whole[:26]), " ".join(whole[25:])
+        texts = {1: left, 2: right, 10: " ".join(whole), 20: " ".join(whole), 99: right, 100: left}
+        for d, t in texts.items():
+            around = [prose(30, 1000 * n + 2 * d), t, prose(30, 1000 * n + 2 * d + 1)]
+            rows.append((1000 * n + d, " ".join(around)))
+        want[1000 * n + 20] = 1000 * n + 10
+    found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = {r["doc_id"]: r["origin_id"] for r in found if r["start"] <= 30 and r["end"] >= 81}
+    assert whole == want and {r["doc_id"] for r in found} == set(want)
+
+
 def test_every_place_of_a_passage_is_cut(spark):
     one, own = prose(60, 601), prose(60, 602)
     edited = one.split()
