@@ -8,6 +8,9 @@ import duckdb
 
 from fieldglass.workload.views import TABLES
 
+#: The smallest tables.
+DATA = "/root/testdata/sf0.001"
+
 
 def connect(data: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()

@@ -23,7 +23,7 @@ from fieldglass.sources import sinks as S
 from fieldglass.sources import tables as T
 from fieldglass.workload.views import Inputs
 
-from conftest import DATA
+from compare import DATA
 
 
 def folder():

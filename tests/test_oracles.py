@@ -3,11 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
-from compare import connect, differences
+from compare import DATA, connect, differences
 from fieldglass import workload
 
-from conftest import DATA
-
 QUERIES, SQL = workload.queries(), workload.oracles()
 
 
