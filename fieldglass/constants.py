@@ -102,10 +102,7 @@ METADATA_FIELD = "__metadata__"
 TIME_KEY = "total_processing_time_ms"
 
 # --- fixed values: person titles, number-typed labels, label mapping ----------
-PERSON_TITLES = (
-    "monsieur", "m", "mme", "madame", "mlle",
-    "docteur", "dr", "professeur", "prof", "pr",
-)
+PERSON_TITLE_PREFIX = r"^\s*(?:(?:m(?:onsieur)?|mme|madame|mlle|docteur|dr|prof(?:esseur)?|pr)\.?\s+)+"
 LABEL_TO_FIELD = {
     "Année des revenus": "Année des revenus",
     "Revenu fiscal de référence": "Revenu fiscal de référence",

@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import PERSON_TITLES, WS, WS_CHARS
+from ..constants import PERSON_TITLE_PREFIX, WS, WS_CHARS
 from .binding import let, on_both
 from .dates import strip
 from .numbers import ColumnOrName, _c
@@ -207,10 +207,8 @@ def compare_token_set(expected: ColumnOrName, predicted: ColumnOrName) -> Column
 
 def normalize_person_name(value: ColumnOrName) -> Column:
     """Drop commas and the leading run of titles, collapse blanks; empty becomes null."""
-    titles = "|".join(sorted(PERSON_TITLES, key=len, reverse=True))
-    text = F.replace(_c(value), F.lit(","), F.lit(" "))
-    text = F.regexp_replace(text, rf"(?i)^[{WS}]*(?:(?:{titles})\.?[{WS}]+)+", "")
-    return F.nullif(strip(F.regexp_replace(text, rf"[{WS}]+", " ")), F.lit(""))
+    text = F.regexp_replace(F.replace(_c(value), F.lit(","), F.lit(" ")), rf"[{WS}]+", " ")
+    return F.nullif(strip(F.regexp_replace(text, "(?i)" + PERSON_TITLE_PREFIX, "")), F.lit(""))
 
 
 def field_label(name: ColumnOrName) -> Column:
