@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_model, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity, warc
+from . import chat, decontaminate, divergence, language_model, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -371,3 +371,46 @@ def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = crawl_of(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     done = warc.resolve(warc.records(texts))
     return done.withColumn("headers", warc.header_text(F.col("headers"))).drop("url", "fetched")
+
+
+DIVERGENCE_SQL = r"""
+WITH base AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+words AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM base),
+counts AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM words GROUP BY ALL),
+vocabulary AS (SELECT lang, term, sum(n) AS lang_n FROM counts GROUP BY ALL HAVING sum(docs) >= 30),
+kept AS (SELECT lang, source, term, n FROM counts JOIN vocabulary USING (lang, term)),
+langs AS (
+  SELECT b.lang, count(v.term) AS v, coalesce(sum(lang_n), 0) AS lang_total
+  FROM (SELECT DISTINCT lang FROM base) b LEFT JOIN vocabulary v USING (lang) GROUP BY b.lang),
+groups AS (
+  SELECT b.lang, b.source, coalesce(sum(n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM base) b LEFT JOIN kept k USING (lang, source) GROUP BY ALL),
+priced AS (
+  SELECT g.lang, g.source, t.term, coalesce(k.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(k.n, 0) + 5)) // (total + 5 * v) AS p,
+         1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v) AS q
+  FROM groups g JOIN langs USING (lang) JOIN vocabulary t USING (lang)
+  LEFT JOIN kept k ON k.lang = g.lang AND k.source = g.source AND k.term = t.term),
+sums AS (
+  SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+  FROM priced x JOIN priced y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN sums s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM priced WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query("op12_source_divergence", DIVERGENCE_SQL)
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents", "lang", "source", "text"))
