@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, language_model, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity, warc
+from . import chat, decontaminate, divergence, language_model, mixing, near_dedup, periodic_runs, quality_classifier, quality_rules, substring_dedup, toxicity, warc
+
+from .native import words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -414,3 +416,31 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 @query("op12_source_divergence", DIVERGENCE_SQL)
 def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth, chosen by id, repeats a stretch of its words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.withColumn("h", h).withColumn("g", F.floor(F.col("h") / 10)).withColumn(
+        "ws", F.when(F.col("h") % 10 == 0, words(F.col("text")))
+    ).withColumn("n", F.size("ws"))
+    placed = chosen.withColumn("a", (F.col("g") % F.greatest(F.col("n"), F.lit(1))).cast("int")).withColumn(
+        "p", F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("int") + 1
+    )
+    left = F.col("n") - F.col("a")
+    times = F.ceil(left / F.col("p")).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("ws", F.col("a") + 1, F.col("p")), times)), F.lit(1), left)
+    planted = F.array_join(F.concat(F.slice("ws", F.lit(1), F.col("a")), again), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(with_planted_runs(table(spark, sf_dir, "documents", "doc_id", "text")))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"], r["period"])))
+    return found.withColumn("top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start"), (-F.col("top.l")).alias("length"),
+        F.col("top.period"), F.expr("(-1000 * top.l) div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
