@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, language_model, mixing, near_dedup, periodic_runs, quality_classifier, quality_rules, substring_dedup, toxicity, warc
+from . import chat, decontaminate, divergence, embedding_dedup, language_model, mixing, near_dedup, periodic_runs, quality_classifier, quality_rules, substring_dedup, toxicity, warc
 
 from .native import words
 
@@ -444,3 +444,29 @@ def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("top.period"), F.expr("(-1000 * top.l) div top.period").alias("exponent_milli"),
         F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE flat AS (
+  SELECT vec_id, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings),
+norms AS (
+  SELECT vec_id, sqrt(sum(x * x)) AS norm FROM flat GROUP BY vec_id
+  HAVING sum(x * x) > 0 AND bool_and(isfinite(x)) AND count(x) = count(*)),
+vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, norm FROM embeddings JOIN norms USING (vec_id)),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+named AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+numbers AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN named USING (vec_id) LEFT JOIN numbers USING (vec_id)
+"""
+
+
+@query("op13_embedding_near_duplicates", EMBEDDING_SQL)
+def embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.group(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
