@@ -47,12 +47,17 @@ KEY_ENVIRONMENTS = ("dev", "staging", "sandbox", "prod")
 # --- fixed values: quotas and waiting --------------------------------------
 LIMIT_PER_MINUTE = 300
 LIMIT_PER_DAY = 5000
+#: How far the expiry of streaming counters stays behind, and how many requests move it.
+QUOTA_LATE_SECONDS = 3600
+QUOTA_QUORUM = 100
 WAIT_DEFAULT_SECONDS = 30
 WAIT_CAP_SECONDS = 60
 
 # --- fixed values: message delivery ----------------------------------------
 MAX_DELIVERIES = 3
 IDLE_MS = 300_000
+#: Event time without events after which an execution leaves the streaming state.
+STATUS_IDLE_SECONDS = 86_400
 STREAM_MAXLEN = 1000
 WEBHOOK_RETRIES = 3
 BACKOFF_SECONDS = 5.0

@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schemas import MESSAGES
 
@@ -13,7 +14,7 @@ from ..schemas import MESSAGES
 def read_message_stream(
     spark: SparkSession,
     path: str,
-    schema: str = MESSAGES,
+    schema: str | StructType = MESSAGES,
     fmt: str = "json",
     start_from: str = "0-0",
     slots: int | None = None,

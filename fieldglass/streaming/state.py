@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import constants as K
 from ..operators.events import status_of
+from ..session import drop_folder
 
 # Start the two timer-driven streams with this setting: state in RocksDB spills to
 # disk and is what timers need.
@@ -21,96 +22,218 @@ ROCKSDB = {
 }
 
 
-def execution_state(events: DataFrame) -> DataFrame:
-    """Current status per execution, an aggregation with partial maxima map-side.
+def _timed(events: DataFrame, late_s: int, *columns: str) -> DataFrame:
+    """The given columns and ``us``, the event time in microseconds, behind a watermark.
 
-    Run in update mode; the newest row per execution in the sink is its status.
+    The time column itself is left out, so the stateful operator after it meets late rows
+    too and can say what becomes of them, instead of losing them.
     """
-    newest = F.max(F.struct("created_at", "id", "event_type", "workflow_id", "organization_id"))
-    per = events.groupBy("execution_id").agg(newest.alias("e"), F.count(F.lit(1)).alias("events"))
-    return per.select(
-        "execution_id",
-        F.col("e.created_at").alias("updated_at"),
-        F.col("e.id").alias("event_id"),
-        F.col("e.workflow_id").alias("workflow_id"),
-        F.col("e.organization_id").alias("organization_id"),
-        status_of(F.col("e.event_type")).alias("status"),
-        "events",
+    stamped = events.withColumn("at", F.col("created_at").cast("timestamp")).withColumn("us", F.unix_micros("at"))
+    return stamped.withWatermark("at", f"{late_s} seconds").select("us", *columns)
+
+
+def execution_state(events: DataFrame, idle_s: int = K.STATUS_IDLE_SECONDS, *, late_s: int) -> DataFrame:
+    """Newest event and number of events per execution, with state that ends.
+
+    Run in update mode. An execution without events for ``idle_s`` seconds of event time is
+    emitted once more with ``closed`` set and leaves the state; if it goes on later, counting
+    starts again from there. ``status_batch`` keeps the rows as a table and ``status_table``
+    reads it. Late rows count like all others. Late and repeated closings do no harm, as the
+    table adds up counts and takes the newest event.
+    """
+    idle_us = idle_s * 1_000_000
+    fields = [
+        T.StructField("us", T.LongType()), T.StructField("id", T.LongType()), T.StructField("event_type", T.StringType()),
+        T.StructField("workflow_id", T.StringType()), T.StructField("organization_id", T.LongType()),
+        T.StructField("events", T.LongType()),
+    ]
+    names = [f.name for f in fields]
+
+    class Newest(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.newest = handle.getValueState("newest", T.StructType(fields))
+            self.handle = handle
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            known = tuple(self.newest.get()) if self.newest.exists() else None
+            best, count = known, known[5] if known else 0
+            for batch in rows:
+                count += len(batch)
+                r = batch.sort_values(["us", "id"]).iloc[-1]
+                if best is None or (r.us, r.id) > best[:2]:
+                    org = None if pd.isna(r.organization_id) else int(r.organization_id)
+                    best = (int(r.us), int(r.id), r.event_type, r.workflow_id, org, 0)
+            best = (*best[:5], count)
+            due = (best[0] + idle_us) // 1000 + 1
+            if known is None or known[0] != best[0]:
+                if known is not None:
+                    self.handle.deleteTimer((known[0] + idle_us) // 1000 + 1)
+                self.handle.registerTimer(due)
+            self.newest.update(best)
+            yield self.row(key, best, False)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            last = tuple(self.newest.get())
+            self.newest.clear()
+            yield self.row(key, last, True)
+
+        def row(self, key, state, closed: bool) -> pd.DataFrame:
+            frame = pd.DataFrame([(key[0], *state, closed)], columns=["execution_id", *names, "closed"])
+            return frame.astype({"organization_id": "Int64"})
+
+        def close(self) -> None:
+            pass
+
+    rows = _timed(
+        events, late_s, "execution_id", F.col("id").cast("bigint").alias("id"), "event_type", "workflow_id",
+        F.col("organization_id").cast("bigint").alias("organization_id"),
+    )
+    return rows.groupBy("execution_id").transformWithStateInPandas(
+        statefulProcessor=Newest(),
+        outputStructType="execution_id string, us bigint, id bigint, event_type string, workflow_id string,"
+        " organization_id bigint, events bigint, closed boolean",
+        outputMode="Update",
+        timeMode="EventTime",
+    )
+
+
+def _newest_rows(rows: DataFrame, events: Column) -> DataFrame:
+    """One row per execution: its newest event, with the given count."""
+    newest = F.max(F.struct("us", "id", "event_type", "workflow_id", "organization_id"))
+    return rows.groupBy("execution_id").agg(newest.alias("e"), events.alias("events")).select("execution_id", "e.*", "events")
+
+
+def status_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink of ``execution_state``: a status table in two parts.
+
+    ``closed`` gets the executions that left the state, one folder per batch, and never
+    changes. ``open`` holds one version of the executions still in the state, built from the
+    version before and the batch; it is as small as the state. A repeated batch writes the
+    same folders again, and versions that no repeat can need are removed.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/batch/batch_id={batch_id}")
+        rows = spark.read.parquet(f"{path}/batch/batch_id={batch_id}")
+        ended, changed = rows.filter("closed").drop("closed"), rows.filter("not closed").drop("closed")
+        ended.write.mode("overwrite").parquet(f"{path}/closed/batch_id={batch_id}")
+        # an execution that ends in this batch and goes on in it has its later count in the state only
+        now = _newest_rows(changed, F.max("events"))
+        gone = rows.groupBy("execution_id").agg(F.bool_or("closed").alias("ended")).filter("ended").select("execution_id")
+        now = now.join(gone, "execution_id", "left_anti")
+        if batch_id > 0:
+            before = spark.read.parquet(f"{path}/open/batch_id={batch_id - 1}")
+            now = before.join(rows.select("execution_id").distinct(), "execution_id", "left_anti").unionByName(now)
+        now.write.mode("overwrite").parquet(f"{path}/open/batch_id={batch_id}")
+        drop_folder(spark, f"{path}/open/batch_id={batch_id - 2}")
+        drop_folder(spark, f"{path}/batch/batch_id={batch_id - 1}")
+
+    return write
+
+
+def status_table(spark: SparkSession, path: str) -> DataFrame:
+    """Current status of every execution that ``status_batch`` has seen."""
+    open_rows = spark.read.parquet(f"{path}/open")
+    newest = open_rows.agg(F.max("batch_id")).scalar()
+    rows = open_rows.filter(F.col("batch_id") == newest).unionByName(spark.read.parquet(f"{path}/closed")).drop("batch_id")
+    return _newest_rows(rows, F.sum("events")).select(
+        "execution_id", F.timestamp_micros("us").alias("updated_at"), F.col("id").alias("event_id"), "workflow_id",
+        "organization_id", status_of(F.col("event_type")).alias("status"), "events",
     )
 
 
 def await_with_timeout(events: DataFrame, timeout_s: int = K.WAIT_DEFAULT_SECONDS,
                        cap_s: int = K.WAIT_CAP_SECONDS, *, late_s: int) -> DataFrame:
-    """For each start event its first result within the wait, or TIMEOUT.
+    """For each start event its first result within the wait, or TIMEOUT; and what came too late.
 
-    State holds only the open starts of an execution; a timer per deadline closes
-    them when the watermark has passed. Sorting inside a batch makes the outcome
-    independent of arrival order within the allowed lateness of ``late_s`` seconds, which
-    has no default: rows that are later are dropped, so it must cover the real delays.
+    State is kept per execution and band of time as long as the wait, so an execution is as
+    many pieces as it lasts waits, not one. A start belongs to its band, a result to its band
+    and the one before, which are all the bands whose starts it can answer. A start is
+    answered when the watermark has passed its deadline, whatever the order of arrival; the
+    last timer of a band clears it. Rows behind the watermark still answer starts that are
+    open, but may have come after the answer of others: such a row comes out once more with
+    the status LATE, for the table that ``split_late`` gives. ``late_s`` is the allowed
+    lateness in seconds and should cover the real delays.
     """
     wait_us = min(timeout_s or K.WAIT_DEFAULT_SECONDS, cap_s) * 1_000_000
-    started, failed, completed = K.STARTED, K.FAILED, K.COMPLETED
+    started = K.STARTED
+    names = {K.FAILED: "FAILED", K.COMPLETED: "SUCCESS"}
+    columns = ["execution_id", "start_id", "status", "result_id"]
 
     class Waiting(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            state = T.StructType([T.StructField("id", T.LongType()), T.StructField("us", T.LongType())])
-            kept = T.StructType([
-                T.StructField("id", T.LongType()), T.StructField("us", T.LongType()),
-                T.StructField("event_type", T.StringType()),
-            ])
-            self.open = handle.getListState("open", state)
-            self.results = handle.getListState("results", kept)
+            moment = [T.StructField("us", T.LongType()), T.StructField("id", T.LongType())]
+            self.open = handle.getListState("open", T.StructType(moment))
+            self.results = handle.getListState("results", T.StructType([*moment, T.StructField("event_type", T.StringType())]))
+            self.due = handle.getValueState("due", T.StructType([T.StructField("us", T.LongType())]))
             self.handle = handle
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            band, passed = key[1], timerValues.getCurrentWatermarkInMs() * 1000
+            end = (band + 2) * wait_us
+            starts, results, late = [], [], []
             for batch in rows:
-                for r in batch.itertuples(index=False):
-                    if r.event_type == started:
-                        self.open.appendValue((int(r.id), int(r.us)))
-                        self.handle.registerTimer((int(r.us) + wait_us) // 1000 + 1)
-                    else:
-                        self.results.appendValue((int(r.id), int(r.us), r.event_type))
-                        # Results are needed until every start before them is closed.
-                        self.handle.registerTimer((int(r.us) + wait_us) // 1000 + 1)
-            return iter(())
+                is_start = batch["event_type"] == started
+                # a start whose deadline has passed, or a result that others may have waited for
+                refused = is_start & (batch["us"] + wait_us < passed)
+                own = ~is_start & (batch["us"] // wait_us == band) & (batch["us"] < passed)
+                late += batch.loc[refused | own, "id"].tolist()
+                starts += batch.loc[is_start & ~refused, ["us", "id"]].itertuples(index=False, name=None)
+                if end >= passed:
+                    results += batch.loc[~is_start, ["us", "id", "event_type"]].itertuples(index=False, name=None)
+            if starts or results:
+                if not self.due.exists():
+                    self.handle.registerTimer(end // 1000 + 1)
+                due = self.due.get()[0] if self.due.exists() else end
+                for us in {us for us, _ in starts}:
+                    self.handle.registerTimer((us + wait_us) // 1000 + 1)
+                    due = min(due, us + wait_us)
+                self.due.update((due,))
+                if starts:
+                    self.open.appendList(starts)
+                if results:
+                    self.results.appendList(results)
+            if late:
+                yield self.frame([(key[0], None, "LATE", i) for i in late])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
-            waiting = [tuple(o) for o in self.open.get()] if self.open.exists() else []
-            results = sorted(
-                (tuple(r) for r in self.results.get()), key=lambda r: (r[1], r[0])
-            ) if self.results.exists() else []
-            out, still = [], []
-            for start_id, start_us in waiting:
-                if start_us + wait_us >= now_us:
-                    still.append((start_id, start_us))
+            # every deadline that has passed is answered at once; the timers of the others find nothing due
+            now_us = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+            if not self.due.exists() or self.due.get()[0] >= now_us:
+                return
+            waiting = sorted(tuple(o) for o in self.open.get()) if self.open.exists() else []
+            results = sorted(tuple(r) for r in self.results.get()) if self.results.exists() else []
+            out, still, at = [], [], 0
+            for us, start_id in waiting:
+                if us + wait_us >= now_us:
+                    still.append((us, start_id))
                     continue
-                hit = next(
-                    (r for r in results if start_us <= r[1] <= start_us + wait_us), None
-                )
-                status = "TIMEOUT" if hit is None else {
-                    failed: "FAILED", completed: "SUCCESS",
-                }.get(hit[2], "UNSUPPORTED")
-                out.append((key[0], start_id, status, None if hit is None else hit[0]))
-            self.open.put(still) if still else self.open.clear()
-            horizon = min([u for _, u in still], default=now_us - wait_us)
-            kept = [r for r in results if r[1] >= min(horizon, now_us - wait_us)]
-            self.results.put(kept) if kept else self.results.clear()
+                while at < len(results) and results[at][0] < us:
+                    at += 1
+                hit = results[at] if at < len(results) and results[at][0] <= us + wait_us else None
+                status = "TIMEOUT" if hit is None else names.get(hit[2], "UNSUPPORTED")
+                out.append((key[0], start_id, status, None if hit is None else hit[1]))
+            end = (key[1] + 2) * wait_us
+            if now_us > end:
+                for state in (self.open, self.results, self.due):
+                    state.clear()
+            else:
+                self.open.put(still) if still else self.open.clear()
+                self.due.update((min([us + wait_us for us, _ in still], default=end),))
             if out:
-                frame = pd.DataFrame(out, columns=["execution_id", "start_id", "status", "result_id"])
-                frame["result_id"] = frame["result_id"].astype("Int64")
-                yield frame
+                yield self.frame(out)
+
+        def frame(self, rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=columns).astype({"start_id": "Int64", "result_id": "Int64"})
 
         def close(self) -> None:
             pass
 
-    stamped = (
-        events.withColumn("at", F.col("created_at").cast("timestamp"))
-        .withColumn("us", F.unix_micros("at"))
-        .withWatermark("at", f"{late_s} seconds")
-        .select("execution_id", F.col("id").cast("bigint").alias("id"), "event_type", "us", "at")
-    )
-    return stamped.groupBy("execution_id").transformWithStateInPandas(
+    band = F.floor(F.col("us") / wait_us)
+    bands = F.when(F.col("event_type") == started, F.array(band)).otherwise(F.array(band - 1, band))
+    rows = _timed(events, late_s, "execution_id", F.col("id").cast("bigint").alias("id"), "event_type")
+    return rows.withColumn("band", F.explode(bands)).groupBy("execution_id", "band").transformWithStateInPandas(
         statefulProcessor=Waiting(),
         outputStructType="execution_id string, start_id bigint, status string, result_id bigint",
         outputMode="Append",
@@ -118,6 +241,12 @@ def await_with_timeout(events: DataFrame, timeout_s: int = K.WAIT_DEFAULT_SECOND
     )
 
 
+def split_late(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answered starts, rows that came behind the watermark) of ``await_with_timeout``."""
+    late = F.col("status") == "LATE"
+    return answers.filter(~late), answers.filter(late).select("execution_id", F.col("result_id").alias("event_id"))
+
+
 def reclaim_stream(deliveries: DataFrame, idle_ms: int = K.IDLE_MS,
                    max_deliveries: int = K.MAX_DELIVERIES, *, late_s: int) -> DataFrame:
     """Messages delivered but not acknowledged for ``idle_ms``: requeue or dead letter.

@@ -259,14 +259,18 @@ def quota_ordinals(v: Inputs) -> DataFrame:
     return Q.request_ordinals(v.requests).select("id", "api_key", "minute_count", "day_count")
 
 
-QUOTA_SQL = f"""
-WITH o AS ({_ORDINALS.replace('SELECT id, api_key,', 'SELECT id, api_key, ts,')})
+def quota_sql(ordinals: str) -> str:
+    return f"""
+WITH o AS ({ordinals})
 SELECT id, api_key, minute_count <= 1 AND day_count <= 20 AS allowed,
   greatest(0, 1 - minute_count) AS remaining_minute, greatest(0, 20 - day_count) AS remaining_day,
   {sql_at("date_trunc('minute', ts) + INTERVAL 1 MINUTE")} AS reset_minute,
   {sql_at("date_trunc('day', ts) + INTERVAL 1 DAY")} AS reset_day FROM o"""
 
 
+QUOTA_SQL = quota_sql(_ORDINALS.replace("SELECT id, api_key,", "SELECT id, api_key, ts,"))
+
+
 def shape_verdicts(out: DataFrame) -> DataFrame:
     return out.select("id", "api_key", "allowed", "remaining_minute", "remaining_day",
                       at("reset_minute").alias("reset_minute"), at("reset_day").alias("reset_day"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import events as E
 from ..session import scratch_dir
@@ -19,10 +20,13 @@ from .tenants import FANOUT_SQL
 from .views import VIEWS, Inputs, at, sql_at
 
 
-
-def replay(v: Inputs, stream: DataFrame, **to) -> None:
+def replay(v: Inputs, stream: DataFrame, **to) -> StreamingQuery:
     """Run a stream to its end, with one state partition per core."""
-    run_available(stream, partitions=v.spark.sparkContext.defaultParallelism, **to)
+    return run_available(stream, partitions=v.spark.sparkContext.defaultParallelism, **to)
+
+
+def final_watermark(ended: StreamingQuery) -> str:
+    return ended.lastProgress["eventTime"]["watermark"]
 
 
 _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -35,6 +39,38 @@ def event_stream(v: Inputs, view: str) -> DataFrame:
                        stream=raw)
 
 
+#: Files that a feed arrives in, and seconds that a row may come after its time.
+PARTS, DELAY = 8, 3000
+
+
+def feed(v: Inputs, view: str, time: str, number: str, delay: int = DELAY) -> str:
+    """A derived view written as ``PARTS`` files in order of arrival, one after the other.
+
+    A row arrives up to ``delay`` seconds after its time, by its number, so that files overlap
+    in time; a file is a stretch of arrival. The stream reads them oldest file first.
+    """
+    path = scratch_dir(v.spark, "feed")
+    rows = v.__getattr__(view)
+    arrival = F.unix_micros(F.col(time).cast("timestamp")) + F.pmod(F.col(number) * 7919, F.lit(delay or 1)) * 1_000_000
+    ends = rows.agg(F.min(arrival).alias("lo"), F.max(arrival).alias("hi")).first()
+    part = F.floor((arrival - F.lit(ends["lo"])) * PARTS / F.lit(ends["hi"] - ends["lo"] + 1))
+    for n in range(PARTS):
+        rows.filter(part == n).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def feed_stream(v: Inputs, view: str, time: str, number: str, slots: int = 1, delay: int = DELAY) -> DataFrame:
+    path = feed(v, view, time, number, delay)
+    return read_message_stream(v.spark, path, v.spark.read.parquet(path).schema, "parquet", slots=slots)
+
+
+def part_sql(view: str, time: str, number: str, delay: int = DELAY) -> str:
+    """The rows of a view with the number of the file that ``feed`` puts them in."""
+    arrival = f"epoch_us({time}) + (({number} * 7919) % {delay or 1}) * 1000000"
+    return (f"SELECT *, CAST(floor((arrival - min(arrival) OVER ()) * {PARTS} / (max(arrival) OVER () - min(arrival) OVER () + 1)) AS BIGINT) AS part"
+            f" FROM (SELECT *, {arrival} AS arrival FROM {view})")
+
+
 @query("stream_route", sql=messages.ROUTE_SQL)
 def stream_route(v: Inputs) -> DataFrame:
     out = scratch_dir(v.spark, "routes")
@@ -54,10 +90,17 @@ def stream_quota(v: Inputs) -> DataFrame:
         F.max("requests").alias("requests"))
 
 
-@query("stream_quota_verdicts", sql=event_log.QUOTA_SQL)
+_ARRIVAL = f"""
+SELECT id, api_key, ts,
+  row_number() OVER (PARTITION BY api_key, date_trunc('minute', ts) ORDER BY part, ts, id) AS minute_count,
+  row_number() OVER (PARTITION BY api_key, date_trunc('day', ts) ORDER BY part, ts, id) AS day_count
+FROM ({part_sql('requests', 'ts', 'id')})"""
+
+
+@query("stream_quota_verdicts", sql=event_log.quota_sql(_ARRIVAL))
 def stream_quota_verdicts(v: Inputs) -> DataFrame:
     out = scratch_dir(v.spark, "verdicts")
-    replay(v, event_stream(v, "requests"), each=SQ.verdict_batch(out, 1, 20, keep_days=60))
+    replay(v, feed_stream(v, "requests", "ts", "id"), each=SQ.verdict_batch(out, 1, 20))
     return event_log.shape_verdicts(v.spark.read.parquet(f"{out}/verdicts"))
 
 
@@ -67,13 +110,10 @@ SELECT execution_id, arg_max(id, created_at) AS event_id, {sql_at('max(created_a
 FROM event_store GROUP BY 1""")
 def stream_status(v: Inputs) -> DataFrame:
     out = scratch_dir(v.spark, "status")
-    states = SS.execution_state(event_stream(v, "event_store"))
-    replay(v, states, mode="update", each=batch_writer(out))
-    newest = F.max_by(F.struct("event_id", "updated_at", "status", "events"), F.col("events"))
-    return (
-        v.spark.read.parquet(out).groupBy("execution_id").agg(newest.alias("s"))
-        .select("execution_id", "s.event_id", at("s.updated_at").alias("updated_at"), "s.status", "s.events")
-    )
+    states = SS.execution_state(feed_stream(v, "event_store", "created_at", "id"), late_s=DELAY)
+    replay(v, states, mode="update", each=SS.status_batch(out), settings=SS.ROCKSDB)
+    return SS.status_table(v.spark, out).select(
+        "execution_id", "event_id", at("updated_at").alias("updated_at"), "status", "events")
 
 
 _WAIT = 6 * 3600
@@ -82,12 +122,29 @@ _WAIT = 6 * 3600
 @query("stream_await", sql=event_log._await_sql(_WAIT))
 def stream_await(v: Inputs) -> DataFrame:
     out = scratch_dir(v.spark, "await")
-    closed = SS.await_with_timeout(event_stream(v, "event_store"), _WAIT, _WAIT, late_s=3600)
-    replay(v, closed, path=out, settings=SS.ROCKSDB)
-    done = v.spark.read.parquet(out).select("execution_id", "start_id", "result_id", "status")
-    # waits still open when the stream ends are answered by the batch operator
-    whole = E.await_result(v.event_store, timeout_s=_WAIT, cap_s=_WAIT).select(*done.columns)
-    return done.unionByName(whole.join(done.select("start_id"), "start_id", "left_anti"))
+    waits = SS.await_with_timeout(feed_stream(v, "event_store", "created_at", "id"), _WAIT, _WAIT, late_s=DELAY)
+    ended = replay(v, waits, path=out, settings=SS.ROCKSDB)
+    answers, behind = SS.split_late(v.spark.read.parquet(out))
+    # the waits that are open when the stream ends, and no others, are answered by the batch operator
+    deadline = F.col("started_at").cast("timestamp") + F.expr(f"INTERVAL {_WAIT} SECONDS")
+    still = E.await_result(v.event_store, timeout_s=_WAIT, cap_s=_WAIT).filter(deadline >= F.lit(final_watermark(ended)).cast("timestamp"))
+    names = ["execution_id", "start_id", "result_id", "status"]
+    lost = behind.select("execution_id", F.col("event_id").alias("result_id"), F.lit("LATE").alias("status"))
+    return answers.select(*names).unionByName(still.select(*names)).unionByName(lost, allowMissingColumns=True)
+
+
+@query("bounded_intake", sql=f"""
+SELECT part // 3 AS batch_id, count(DISTINCT part) AS files, count(*) AS messages, min(msg_id) AS first_id, max(msg_id) AS last_id
+FROM ({part_sql('messages', 'delivered_at', 'msg_id')}) GROUP BY 1""")
+def bounded_intake(v: Inputs) -> DataFrame:
+    """A backlog of files taken three at a time, whatever has piled up."""
+    out = scratch_dir(v.spark, "intake")
+    backlog = feed_stream(v, "messages", "delivered_at", "msg_id", slots=3)
+    replay(v, backlog.select("msg_id", F.col("_metadata.file_path").alias("file")), each=batch_writer(out))
+    return v.spark.read.parquet(out).groupBy(F.col("batch_id").cast("bigint").alias("batch_id")).agg(
+        F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("messages"),
+        F.min("msg_id").alias("first_id"), F.max("msg_id").alias("last_id"),
+    )
 
 
 @query("stream_notify", sql=FANOUT_SQL)

@@ -47,7 +47,7 @@ def test_verdicts_carry_over_batches(spark, requests):
     rows, path = requests
     out = folder()
     stream = read_message_stream(spark, path, REQUESTS, "parquet", slots=1)
-    run_available(stream, each=SQ.verdict_batch(out, 4, 50, keep_days=60))
+    run_available(stream, each=SQ.verdict_batch(out, 4, 50))
     got = spark.read.parquet(f"{out}/verdicts")
     assert got.select("batch_id").distinct().count() == 4
     df = spark.createDataFrame(rows, REQUESTS)
@@ -60,7 +60,7 @@ def test_verdicts_carry_over_batches(spark, requests):
 def test_repeated_batch_gives_the_same_verdicts(spark, requests):
     rows, _ = requests
     out = folder()
-    write = SQ.verdict_batch(out, 4, 50, keep_days=60)
+    write = SQ.verdict_batch(out, 4, 50)
     first, second = (spark.createDataFrame(x, REQUESTS) for x in (rows[:300], rows[300:]))
     write(first, 0)
     write(second, 1)
@@ -69,6 +69,29 @@ def test_repeated_batch_gives_the_same_verdicts(spark, requests):
     assert sorted(map(tuple, spark.read.parquet(f"{out}/verdicts").select("id", "day_count").collect())) == before
 
 
+def test_counters_expire_by_quorum_and_late_requests_are_rejected(spark):
+    day = 86_400
+    out = folder()
+    write = SQ.verdict_batch(out, 1000, 1000, quorum=5)
+    batches = [
+        [(i, "a", t(100 + i)) for i in range(8)] + [(100, "b", t(90 * day))],  # one request far ahead
+        [(i, "a", t(200 + i)) for i in range(10, 14)] + [(101, "b", t(5))],
+        [(i, "a", t(2 * day + i)) for i in range(20, 26)],  # five and more move the watermark
+        [(30, "a", t(300)), (31, "a", t(2 * day + 60)), (32, "b", t(90 * day + 1))],
+    ]
+    for n, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, REQUESTS), n)
+    got = {r.id: r.day_count for r in spark.read.parquet(f"{out}/verdicts").collect()}
+    assert [got[i] for i in (*range(8), *range(10, 14))] == list(range(1, 13))  # nothing was wiped
+    assert (got[100], got[101], got[25], got[31], got[32]) == (1, 1, 6, 7, 2)
+    rejected = [(r.id, r.reason) for r in spark.read.parquet(f"{out}/rejected").collect()]
+    assert rejected == [(30, "day_expired")] and 30 not in got
+    counters = spark.read.parquet(f"{out}/counters")
+    assert {r.batch_id for r in counters.select("batch_id").distinct().collect()} == {2, 3}
+    left = {r.start for r in counters.filter("batch_id = 3 and size = 'day'").collect()}
+    assert left == {t(2 * day), t(90 * day)}
+
+
 def test_window_counts(spark, requests):
     rows, path = requests
     out = folder()
@@ -100,24 +123,52 @@ def test_decode_split_and_new_files_only(spark, requests):
     assert [r.msg_id for r in good.collect()] == [1] and [r.reason for r in bad.collect()] == ["decode_error"]
 
 
+AWAITED = "id int, execution_id string, created_at timestamp, event_type string"
+
+
 def test_await_brute_force(spark):
+    """Files in disorder within the lateness: every closed start is answered by the stream alone."""
     rng = random.Random(5)
-    rows = sorted(
-        ((i, f"x{rng.randrange(4)}", t(rng.randrange(20000) / 10), rng.choice([K.STARTED, K.COMPLETED, K.FAILED]))
-         for i in range(300)), key=lambda r: r[2])
-    schema = "id int, execution_id string, created_at timestamp, event_type string"
-    out = folder()
-    stream = read_message_stream(spark, files(spark, rows, schema), schema, "parquet", slots=1)
-    run_available(SS.await_with_timeout(stream, 20, late_s=0), path=out, settings=SS.ROCKSDB)
-    got = {r.start_id: r.result_id for r in spark.read.parquet(out).collect()}
+    rows = [(i, f"x{rng.randrange(4)}", t(rng.randrange(20000) / 10), rng.choice([K.STARTED, K.COMPLETED, K.FAILED]))
+            for i in range(300)]
     end = max(r[2] for r in rows)
+    late = dt.timedelta(seconds=200)
+    # a row arrives up to 200 s after its time
+    arrival = sorted(rows, key=lambda r: r[2] + rng.random() * late)
+    last = [(1000, "other", end + dt.timedelta(seconds=10_000), K.COMPLETED)]
+    out = folder()
+    stream = read_message_stream(spark, files(spark, arrival + last, AWAITED, 7), AWAITED, "parquet", slots=1)
+    query = run_available(SS.await_with_timeout(stream, 20, late_s=200), path=out, settings=SS.ROCKSDB)
+    answers, behind = SS.split_late(spark.read.parquet(out))
+    got = [(r.start_id, r.result_id) for r in answers.collect()]
     want = {}
     for i, x, s, kind in rows:
-        if kind == K.STARTED and s + dt.timedelta(seconds=20) < end:
+        if kind == K.STARTED:
             hits = [(s2, i2) for i2, x2, s2, k2 in rows
                     if x2 == x and k2 != K.STARTED and s <= s2 <= s + dt.timedelta(seconds=20)]
             want[i] = min(hits)[1] if hits else None
-    assert got == want
+    assert len(got) == len(want) and dict(got) == want
+    assert behind.count() == 0
+    # only the last row is left: in two bands, each with a result, its due time and a timer
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 12
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) > 50
+
+
+def test_await_rows_behind_the_watermark(spark):
+    rows = [[(1, "a", t(0), K.STARTED), (2, "b", t(0), K.STARTED)], [(3, "z", t(500), K.COMPLETED)], [(4, "z", t(520), K.COMPLETED)],
+            [(5, "a", t(5), K.COMPLETED), (6, "c", t(3), K.STARTED), (7, "d", t(495), K.STARTED), (8, "d", t(496), K.FAILED)],
+            [(9, "z", t(900), K.COMPLETED)]]
+    path = folder()
+    for part in rows:
+        spark.createDataFrame(part, AWAITED).coalesce(1).write.mode("append").parquet(path)
+    out = folder()
+    stream = read_message_stream(spark, path, AWAITED, "parquet", slots=1)
+    run_available(SS.await_with_timeout(stream, 20, late_s=10), path=out, settings=SS.ROCKSDB)
+    answers, behind = SS.split_late(spark.read.parquet(out))
+    got = {r.start_id: (r.status, r.result_id) for r in answers.collect()}
+    # 7 and 8 are behind the watermark (510 s), but the wait of 7 is still open then
+    assert got == {1: ("TIMEOUT", None), 2: ("TIMEOUT", None), 7: ("FAILED", 8)}
+    assert {r.event_id for r in behind.collect()} == {5, 6, 8}
 
 
 def test_reclaim_acknowledged_in_a_later_batch(spark):
@@ -132,14 +183,31 @@ def test_reclaim_acknowledged_in_a_later_batch(spark):
     assert got == {"1": ("requeue", 1), "3": ("dlq", None)}
 
 
+LOGGED = "id int, execution_id string, workflow_id string, organization_id int, created_at timestamp, event_type string"
+
+
 def test_status_over_batches(spark):
-    schema = "id int, execution_id string, workflow_id string, organization_id int, created_at timestamp, event_type string"
-    rows = [(1, "a", "w", 1, t(0), K.STARTED), (2, "b", "w", 1, t(1), K.STARTED), (3, "a", "w", 1, t(2), K.COMPLETED), (4, "b", "w", 1, t(3), K.FAILED)]
+    """Against the batch answer, in disorder, with executions that end and one that goes on after its end."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(400):
+        at = i * 60 + rng.randrange(600)
+        rows.append((i, f"x{i // 40}-{rng.randrange(3)}", "w", i % 5 or None, t(at), rng.choice([K.STARTED, K.STEP_COMPLETED, K.FAILED])))
+    rows += [(1000, "x0-0", "w2", 3, t(30_000), K.COMPLETED), (1001, "x0-1", "w", 1, t(10), K.STARTED)]
     out = folder()
-    stream = read_message_stream(spark, files(spark, rows, schema, 2), schema, "parquet", slots=1)
-    run_available(SS.execution_state(stream), mode="update", each=batch_writer(out))
-    got = spark.read.parquet(out).groupBy("execution_id").agg(F.max_by("status", "updated_at").alias("s"))
-    assert {tuple(r) for r in got.collect()} == {("a", "SUCCESS"), ("b", "FAILED")}
+    stream = read_message_stream(spark, files(spark, rows, LOGGED, 6), LOGGED, "parquet", slots=1)
+    states = SS.execution_state(stream, idle_s=1800, late_s=600)
+    query = run_available(states, mode="update", each=SS.status_batch(out), settings=SS.ROCKSDB)
+    want = {}
+    for x in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == x), key=lambda r: (r[4], r[0]))
+        want[x] = (own[-1][0], own[-1][3], len(own))
+    got = {r.execution_id: (r.event_id, r.organization_id, r.events) for r in SS.status_table(spark, out).collect()}
+    assert got == want
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(sizes) < 2 * len(want) and sizes[-1] < max(sizes)  # state shrinks
+    versions = spark.read.parquet(f"{out}/open").select("batch_id").distinct().count()
+    assert versions <= 2
 
 
 def test_pipeline_repeats_a_batch_without_doubling(spark):
