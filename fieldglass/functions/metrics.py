@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import DEFAULT_METRIC, METRICS, SKIP_SCORE
 from . import dates, numbers, text
+from .binding import let
 from .numbers import ColumnOrName, _c
 
 
@@ -61,45 +61,76 @@ def compare_deep_typed(expected: Column, predicted: Column, dtype: T.DataType) -
     return F.when(same, 1.0).otherwise(0.0)
 
 
-def canonical_json(value: Column) -> Column:
-    """Canonical form of JSON text of unknown depth (Arrow batches, no shared state)."""
+#: Levels of JSON text that ``compare_deep_json`` opens when it is not told how many there are.
+JSON_LEVELS = 12
 
-    @F.pandas_udf("string")
-    def canonical(batch: pd.Series) -> pd.Series:
-        import json
 
-        def walk(node):
-            if isinstance(node, dict):
-                inner = ",".join(
-                    json.dumps(k) + ":" + walk(node[k]) for k in sorted(node)
-                )
-                return "{" + inner + "}"
-            if isinstance(node, list):
-                return "[" + ",".join(sorted({walk(item) for item in node})) + "]"
-            return json.dumps(node)
+def json_depth(text: ColumnOrName) -> Column:
+    """How deep brackets nest in a JSON text; brackets inside strings do not count."""
+    outside = F.regexp_replace(_c(text), r'"(?:[^"\\]|\\.)*"', "")
+    steps = F.split(F.regexp_replace(outside, r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
-        def one(text):
-            if text is None:
-                return "null"
-            try:
-                return walk(json.loads(text))
-            except ValueError:
-                return json.dumps(text)
+    def walk(at: Column, ch: Column) -> Column:
+        now = at["now"] + F.when(ch.isin("[", "{"), 1).when(ch.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
 
-        return batch.map(one, na_action=None)
+    return F.aggregate(steps, start, walk)["most"]
 
-    return canonical(value)
 
+def _leaf(value: Column) -> Column:
+    """A scalar as text; whole numbers and fractions stay apart, as they do in a deep comparison."""
+    kind = F.schema_of_variant(value)
+    fraction = kind.startswith("DECIMAL") | (kind == "DOUBLE")
+    number = F.try_variant_get(value, "$", "double") + F.lit(0.0)
+    return F.when(fraction, F.concat(F.lit("f"), number.cast("string"))).otherwise(F.to_json(value))
 
-def compare_deep_json(expected: ColumnOrName, predicted: ColumnOrName) -> Column:
-    """Deep equality of two JSON texts, list order ignored.
 
-    Texts that are already equal are settled in the JVM result; the canonical form
-    is what decides for the others.
+def _canonical(value: Column, levels: int) -> Column:
+    """Digest of a VARIANT that is equal for equal values whatever the order of list items.
+
+    A container's digest is made of the sorted digests of its members, so each level of the
+    value is one level of this expression, and what a level hands up has a fixed size.
+    """
+    if not levels:
+        return F.to_json(value)
+    listed = F.try_variant_get(value, "$", "array<variant>")
+    members = F.coalesce(
+        F.transform(listed, lambda x: F.struct(F.lit("").alias("key"), x.alias("value"))),
+        F.transform(
+            F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")),
+            lambda e: F.struct(F.concat(F.to_json(F.struct(e["key"].alias("k"))), F.lit(":")).alias("key"), e["value"].alias("value")),
+        ),
+    )
+    digests = F.array_sort(F.array_distinct(
+        F.transform(members, lambda m: F.concat(m["key"], F.coalesce(_canonical(m["value"], levels - 1), F.lit("null"))))
+    ))
+    whole = F.md5(F.array_join(digests, ",").cast("binary"))
+    return F.when(members.isNull(), _leaf(value)).otherwise(F.concat(F.when(listed.isNull(), "{").otherwise("["), whole))
+
+
+def canonical_json(value: ColumnOrName, levels: int = JSON_LEVELS) -> Column:
+    """Digest of a JSON text; a text that cannot be read, or repeats a key, stands for itself."""
+    text = _c(value)
+    return let(
+        F.try_parse_json(text),
+        lambda v: F.coalesce(
+            F.when(v.isNotNull(), _canonical(v, levels)), F.concat(F.lit("text:"), text), F.lit("null")
+        ),
+    )
+
+
+def compare_deep_json(expected: ColumnOrName, predicted: ColumnOrName, levels: int = JSON_LEVELS) -> Column:
+    """Deep equality of two JSON texts, list order ignored; repeated list items count once.
+
+    Equal texts are settled at once, only the others are opened, down to ``levels`` levels of
+    nesting; what lies deeper is compared in its given order. ``deep_json_scores`` of the
+    evaluation operators opens as many levels as the data has.
     """
     e, p = _c(expected), _c(predicted)
-    same = e.eqNullSafe(p) | (canonical_json(e) == canonical_json(p))
-    return F.when(same, 1.0).otherwise(0.0)
+    return F.when(e.eqNullSafe(p), 1.0).when(
+        F.coalesce(canonical_json(e, levels) == canonical_json(p, levels), F.lit(False)), 1.0
+    ).otherwise(0.0)
 
 
 SCORERS = {

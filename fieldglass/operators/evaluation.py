@@ -94,6 +94,27 @@ def field_scores(pairs: DataFrame, catalog: DataFrame | None = None) -> DataFram
     ).drop("edit")
 
 
+def deep_json_scores(pairs: DataFrame, expected: str = "expected", predicted: str = "predicted",
+                     levels: int | None = None) -> DataFrame:
+    """Adds ``score``: deep equality of two JSON columns of any depth, list order ignored.
+
+    Unless ``levels`` is given, one pass over the pairs that differ finds how deep they nest,
+    so that the comparison opens every level there is.
+    """
+    spark, setting = pairs.sparkSession, "spark.sql.analyzer.maxIterations"
+    if levels is None:
+        differ = pairs.filter(~F.col(expected).eqNullSafe(F.col(predicted)))
+        depth = F.max(F.greatest(metrics.json_depth(expected), metrics.json_depth(predicted)))
+        levels = differ.agg(depth.alias("depth")).first()["depth"] or 0
+    # names of a level are resolved after those of the level around it
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, max(int(before), 8 * levels + 50))
+    try:
+        return pairs.withColumn("score", metrics.compare_deep_json(expected, predicted, levels + 1))
+    finally:
+        spark.conf.set(setting, before)
+
+
 def fold_scores(scores: Column) -> tuple[Column, Column, Column]:
     """(overall score, evaluated, skipped) of an array of score structs."""
     evaluated = F.filter(scores, lambda s: s["score"] != SKIP_SCORE)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import dates, delivery, labels, metrics, numbers, properties, protect, text
+from ..operators import evaluation as E
 from .registry import query
 from .views import (
     Inputs, at, r6, sql_at, sql_date, sql_distance_text, sql_fold, sql_number, sql_similarity,
@@ -137,7 +138,27 @@ def deep_compare_json(v: Inputs) -> DataFrame:
         F.to_json(F.struct(F.split("text", " ").alias("words"))).alias("e"),
         F.to_json(F.struct(F.reverse(F.split(changed, " ")).alias("words"))).alias("p"),
     )
-    return pairs.select("id", metrics.compare_deep_json("e", "p").alias("score"))
+    return E.deep_json_scores(pairs, "e", "p").select("id", "score")
+
+
+@query("deep_compare_nested", sql="""
+SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_orderkey % 5 <= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM lineitem""")
+def deep_compare_nested(v: Inputs) -> DataFrame:
+    """Orders of several levels: other order of keys and items, a repeated item, a fraction
+    for a whole number, another value at the bottom."""
+    text = lambda template, *values: F.format_string(template, *values)
+    n, q, f = F.col("l_partkey"), F.col("l_linenumber"), F.col("l_returnflag")
+    expected = text('{"a":{"b":[1,{"c":[%d,%d],"d":null}],"e":"%s"},"f":[[2],[3]]}', n, q, f)
+    predicted = (
+        F.when(F.col("l_orderkey") % 5 == 0, text('{"f":[[3],[2]],"a":{"e":"%s","b":[{"d":null,"c":[%d,%d]},1]}}', f, q, n))
+        .when(F.col("l_orderkey") % 5 == 1, text('{"a":{"b":[1,{"c":[%d,%d,%d],"d":null},1],"e":"%s"},"f":[[2],[3],[2,2]]}', n, q, n, f))
+        .when(F.col("l_orderkey") % 5 == 2, expected)
+        .when(F.col("l_orderkey") % 5 == 3, text('{"a":{"b":[1.0,{"c":[%d,%d],"d":null}],"e":"%s"},"f":[[2],[3]]}', n, q, f))
+        .otherwise(text('{"a":{"b":[1,{"c":[%d,-%d],"d":null}],"e":"%s"},"f":[[2],[3]]}', n, q, f))
+    )
+    pairs = v.lineitem.select((F.col("l_orderkey") * 10 + q).alias("id"), expected.alias("e"), predicted.alias("p"))
+    return E.deep_json_scores(pairs, "e", "p").select("id", "score")
 
 
 @query("resolved_metrics", sql="""

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from fieldglass import constants as K
 from fieldglass.functions import dates, delivery, files, labels, metrics, numbers, properties, protect, text
+from fieldglass.operators import evaluation
 
 
 def column(spark, values, build, dtype="string"):
@@ -157,6 +158,18 @@ def test_deep_json(spark):
     assert pairs(spark, cases, metrics.compare_deep_json) == [1, 0, 0, 1, 0, 1, 1, 0]
 
 
+def test_deep_json_of_any_depth(spark):
+    nest = lambda n, x: "[" * n + x + "]" * n
+    cases = [(nest(20, "1,2"), nest(20, "2,1,2")), (nest(20, "1"), nest(20, "2")), (nest(3, "1"), nest(4, "1")),
+             ('{"a\\"[":{"b":1.50},"c":1e2}', '{"c":100.0,"a\\"[":{"b":1.5}}'), ('{"a":"1"}', '{"a":1}'),
+             ('[null,[]]', '[[],null,{}]'), ('{"k":"[[[["}', '{"k":"[[["}'), ('{"a":-0.0}', '{"a":0.0}'), ("", "[]")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "id int, expected string, predicted string")
+    scored = evaluation.deep_json_scores(df)
+    assert [r.score for r in scored.orderBy("id").collect()] == [1, 0, 0, 1, 0, 0, 0, 1, 0]
+    assert "Python" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert [r.d for r in df.select("id", metrics.json_depth("expected").alias("d")).orderBy("id").collect()] == [20, 20, 3, 2, 1, 2, 1, 1, 0]
+
+
 def test_deep_typed(spark):
     kind = "array<struct<a:int,m:map<string,string>>>"
     df = spark.createDataFrame(
