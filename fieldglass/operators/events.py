@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,11 +81,25 @@ def valid_ranges(df: DataFrame, rules: dict[str, tuple[float | None, float | Non
     return df.filter(ok), df.filter(~ok)
 
 
+def _near_bounds(events: DataFrame, key: str, bounds: dict[str, Column], near: Callable[[Callable], Column]) -> DataFrame:
+    """The events of each group that ``near`` accepts, given the group's bounds by name.
+
+    The bounds are fixed-width values of the key and a few columns, found by hashing; whole
+    rows are read again only for what they select, where Spark's runtime filter applies.
+    """
+    found = events.groupBy(F.col(key).alias("__key")).agg(*[b.alias(f"__{n}") for n, b in bounds.items()])
+    same = events[key].eqNullSafe(found["__key"]) & near(lambda name: found[f"__{name}"])
+    return events.join(found, same).drop("__key", *[f"__{n}" for n in bounds])
+
+
 def last_event(events: DataFrame, key: str = "execution_id") -> DataFrame:
-    """Newest event per execution, ties broken by id. Reduced map-side before the shuffle."""
-    others = [c for c in events.columns if c != key]
-    newest = F.max_by(F.struct(*others), F.struct(*EVENT_ORDER))
-    return events.groupBy(key).agg(newest.alias("e")).select(key, "e.*").select(*events.columns)
+    """Newest event per execution, ties broken by id: the newest time of each execution first,
+    then the rows of that time."""
+    newest = _near_bounds(
+        events, key, {"newest": F.max("created_at")}, lambda b: events["created_at"].eqNullSafe(b("newest"))
+    )
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("id").desc()))
+    return newest.withColumn("__place", place).filter(F.col("__place") == 1).drop("__place")
 
 
 def resumable_executions(events: DataFrame, mode: str = "latest") -> DataFrame:
@@ -92,27 +108,29 @@ def resumable_executions(events: DataFrame, mode: str = "latest") -> DataFrame:
     The deciding event is the newest one (``mode="latest"``) or, as the original
     lookup did by accident, the oldest (``mode="reference"``). Started: that event.
     Failed with a retryable error: the earliest start. Anything else: no row.
+
+    Only the events at the deciding time and at the first start's time are looked at whole.
     """
-    others = [c for c in events.columns if c != "execution_id"]
-    body, order = F.struct(*others), F.struct(*EVENT_ORDER)
+    latest = mode == "latest"
     started = F.col("event_type") == K.STARTED
-    pick = F.max_by if mode == "latest" else F.min_by
-    per = events.groupBy("execution_id").agg(
-        pick(body, order).alias("decisive"),
-        F.min_by(body, F.when(started, order)).alias("first_start"),
-        F.bool_or(started).alias("has_start"),
-    )
-    kind = F.col("decisive.event_type")
-    retry = (kind == K.FAILED) & (F.col("decisive.error_type") == K.RETRYABLE_ERROR)
-    chosen = F.when(kind == K.STARTED, F.col("decisive")).when(
-        retry & F.col("has_start"), F.col("first_start")
-    )
-    return (
-        per.select("execution_id", chosen.alias("e"))
-        .filter(F.col("e").isNotNull())
-        .select("execution_id", "e.*")
-        .select(*events.columns)
+    bounds = {"edge": (F.max if latest else F.min)("created_at"), "start": F.min(F.when(started, F.col("created_at")))}
+    few = _near_bounds(
+        events, "execution_id", bounds,
+        lambda b: events["created_at"].eqNullSafe(b("edge"))
+        | ((events["event_type"] == K.STARTED) & (events["created_at"] == b("start"))),
     )
+    order = [F.col(c).desc() if latest else F.col(c).asc() for c in EVENT_ORDER]
+    first = Window.partitionBy("execution_id").orderBy(*order)
+    starts = Window.partitionBy("execution_id", "__started").orderBy(*EVENT_ORDER)
+    retry = (F.col("event_type") == K.FAILED) & (F.col("error_type") == K.RETRYABLE_ERROR)
+    placed = few.withColumns({
+        "__decides": F.row_number().over(first) == 1, "__started": F.coalesce(started, F.lit(False)),
+    }).withColumns({
+        "__first_start": F.col("__started") & (F.row_number().over(starts) == 1),
+        "__retry": F.bool_or(F.col("__decides") & F.coalesce(retry, F.lit(False))).over(Window.partitionBy("execution_id")),
+    })
+    chosen = (F.col("__decides") & F.col("__started")) | (F.col("__retry") & F.col("__first_start"))
+    return placed.filter(chosen).select(*events.columns)
 
 
 def event_stream_summary(events: DataFrame) -> DataFrame:
