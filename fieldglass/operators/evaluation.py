@@ -49,7 +49,10 @@ def pair_predictions(
 
 
 def join_split_tables(predictions: DataFrame, truths: DataFrame, key: str = "task_id") -> DataFrame:
-    """The same pairing when truth and predictions are stored apart."""
+    """The same pairing when truth and predictions are stored apart.
+
+    Tables written by ``write_bucketed`` on the key join bucket by bucket, without a shuffle.
+    """
     return predictions.join(truths, key)
 
 

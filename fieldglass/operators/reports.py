@@ -154,6 +154,68 @@ def has_error(metric_results: Column) -> Column:
     return F.get_json_object(metric_results, "$.error").isNotNull()
 
 
+#: A fact of the report: an observation with the scores of its fields.
+FACT = ("model_version", "score", "error", "processing_time_ms", "field_scores")
+
+
+def report_aggregates(facts: DataFrame) -> DataFrame:
+    """Everything the report sums up, from one pass over the facts.
+
+    A fact gives one row of its own and one per scored field; grouping sets aggregate the
+    first by model and the others by model, field and metric in the same shuffle.
+    """
+    own = F.struct(
+        F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("metric"), F.col("score").alias("s"),
+        F.col("error").alias("e"), F.col("processing_time_ms").cast("double").alias("t"), F.lit(0).alias("part"),
+    )
+    fields = F.transform(F.coalesce("field_scores", F.array().cast("array<struct<field:string,metric:string,score:double>>")), lambda f: F.struct(
+        f["field"].alias("field"), f["metric"].alias("metric"), f["score"].alias("s"), F.lit(None).cast("string").alias("e"),
+        F.lit(None).cast("double").alias("t"), F.lit(1).alias("part"),
+    ))
+    rows = facts.select("model_version", F.inline(F.concat(F.array(own), fields)))
+    sets = rows.groupingSets(
+        [[F.col("model_version"), F.col("part")], [F.col("model_version"), F.col("part"), F.col("field"), F.col("metric")]],
+        F.col("model_version"), F.col("part"), F.col("field"), F.col("metric"),
+    )
+    made = sets.agg(
+        F.grouping("field").alias("whole"), F.avg("s").alias("mean"), F.stddev_pop("s").alias("std_dev"), F.min("s").alias("min"),
+        F.max("s").alias("max"), F.count(F.lit(1)).alias("count"), F.bool_and(F.col("s") == SKIP_SCORE).alias("is_skipped"),
+        F.count_if(F.coalesce(F.col("e") != "", F.lit(False))).alias("errors"), F.avg("t").alias("mean_time_ms"),
+    )
+    # of the two sets, each part needs one
+    return made.filter((F.col("part") == 0) == (F.col("whole") == 1))
+
+
+def report_from_facts(facts: DataFrame, aggregates: DataFrame, models: list[str] | None = None) -> dict[str, DataFrame]:
+    """The whole report: comparison table, summary, times, field statistics, errors.
+
+    ``aggregates`` are those of the facts, a small table; facts themselves are read for exact
+    medians and for the rows with an error. The comparison table has a column for every model
+    observed, also one with errors only.
+    """
+    of_models, of_fields = aggregates.filter("part = 0"), aggregates.filter("part = 1")
+    if models is None:
+        seen = of_models.select(F.coalesce("model_version", F.lit("Unknown")).alias("m")).distinct().orderBy("m").limit(MOST_MODELS + 1).collect()
+        if len(seen) > MOST_MODELS:
+            raise ValueError(f"more than {MOST_MODELS} models; name those to compare")
+        models = [r["m"] for r in seen]
+    cell = F.when(F.col("is_skipped"), SKIPPED).otherwise(F.format_string("%.3f", F.bround("mean", 3)))
+    table = of_fields.withColumn("cell", cell).groupBy("field", "metric").pivot("model_version", models).agg(F.first("cell"))
+    table = table.fillna(SKIPPED, subset=[c for c in table.columns if c not in ("field", "metric")])
+    known = {c: F.when(~F.col("is_skipped"), F.col(c)) for c in ("mean", "std_dev", "min", "max")}
+    return {
+        "field_metric_by_model": table.orderBy("field", "metric"),
+        "model_summary": of_models.select(
+            "model_version", F.col("mean").alias("overall_score"), F.col("count").alias("total_items"), "errors", "mean_time_ms",
+        ).orderBy("model_version"),
+        "processing_time_stats": processing_time_stats(facts).orderBy("model_version"),
+        "field_metric_stats": of_fields.select(
+            "model_version", "field", "metric", *[v.alias(c) for c, v in known.items()], "count", "is_skipped"
+        ).orderBy("model_version", "field", "metric"),
+        "error_observations": error_observations(facts),
+    }
+
+
 def report_by_model(observations: DataFrame, scores: DataFrame, models: list[str] | None = None,
                     ) -> dict[str, DataFrame]:
     """The whole report: comparison table, summary, times, field statistics, errors.

@@ -32,10 +32,17 @@ def model_report(tasks: DataFrame, document_type: str | None = None) -> DataFram
 
 
 def report_by_model(tasks: DataFrame, models: list[str] | None = None) -> dict[str, DataFrame]:
-    pairs = evaluation.pair_predictions(tasks)
-    return reports.report_by_model(
-        evaluation.observations(pairs), evaluation.field_scores(pairs), models
-    )
+    """The report of a labelled dataset.
+
+    Tasks are read and scored once, into a fact table in scratch; one aggregation of it is
+    kept as well, and all tables of the report come from these two.
+    """
+    spark, root = tasks.sparkSession, scratch_dir(tasks.sparkSession, "report")
+    found = evaluation.observations(evaluation.pair_predictions(tasks))
+    found.select("task_id", "prediction_id", *reports.FACT).write.parquet(f"{root}/facts")
+    facts = spark.read.parquet(f"{root}/facts")
+    reports.report_aggregates(facts).write.parquet(f"{root}/aggregates")
+    return reports.report_from_facts(facts, spark.read.parquet(f"{root}/aggregates"), models)
 
 
 def experiment_history(

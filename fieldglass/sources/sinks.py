@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.files import or_unknown, safe_path_component
-from ..operators.experiments import experiment_rollup, private_observations
+from ..operators.experiments import private_observations
 from ..operators.reports import model_version_stats
+from .tables import scan_observations
 
 
 def build_events(df: DataFrame, event_type: str, members: dict[str, Column],
@@ -148,38 +149,50 @@ def save_experiment(
     total_tasks: int = 0,
     notes: str | None = None,
 ) -> None:
-    """Append one experiment and its observations; raw values are never written."""
-    keyed = observations.withColumn("experiment_id", F.lit(experiment_id))
-    rollup = experiment_rollup(keyed, total_tasks)
-    stats = model_version_stats(keyed, "experiment_id").select(
-        "experiment_id", F.to_json("model_version_stats").alias("model_version_stats")
-    )
-    spark = observations.sparkSession
-    base = spark.range(1).select(
-        F.lit(experiment_id).alias("id"),
-        F.lit(project_id).cast("bigint").alias("label_project_id"),
-        F.lit(metric_name).alias("metric_name"),
-        F.current_timestamp().alias("created_at"),
-    )
-    header = (
-        base.join(rollup, base["id"] == rollup["experiment_id"], "left").drop("experiment_id")
-        .join(stats, base["id"] == stats["experiment_id"], "left")
-        .select(
-            "id", "label_project_id", "metric_name", "created_at",
-            F.coalesce("total_tasks", F.lit(total_tasks)).cast("int").alias("total_tasks"),
-            F.coalesce("processed_count", F.lit(0)).cast("int").alias("processed_count"),
-            "average_score", "model_version_stats", F.lit("completed").alias("status"),
-            F.lit(notes).cast("string").alias("notes"),
-        )
-    )
-    rows = private_observations(observations, experiment_id).withColumn(
-        "created_at", F.current_timestamp()
+    """Append one experiment and its observations; raw values are never written.
+
+    The observations are evaluated once: what the header needs of their scores is observed in
+    the pass that writes the rows, and the rest is read from the columns of the stored rows,
+    of which only those of this experiment are touched.
+    """
+    seen = Observation()
+    missing, zero = F.col("task_id").isNull(), F.col("task_id") == 0
+    watched = observations.observe(
+        seen, F.sum("score").alias("score"), F.count("score").alias("scored"),
+        F.count_if(missing).alias("no_task"), F.count_if(zero).alias("task_zero"),
     )
     # Observations first: a header is only visible once its rows are.
+    rows = private_observations(watched, experiment_id).withColumn("created_at", F.current_timestamp())
     rows.write.mode("append").parquet(f"{path}/observations")
+    totals = seen.get
+
+    spark = observations.sparkSession
+    stored = scan_observations(spark, f"{path}/observations").filter(F.col("experiment_id") == experiment_id)
+    tasks = stored.select("task_id").distinct().agg(F.count(F.lit(1)).alias("n"))
+    # a missing task is stored as task 0
+    phantom = 1 if totals["no_task"] and not totals["task_zero"] else 0
+    processed = (F.col("n") - phantom).cast("int")
+    stats = model_version_stats(stored, "experiment_id").select(F.to_json("model_version_stats").alias("model_version_stats"))
+    average = totals["score"] / totals["scored"] if totals["scored"] else None
+    header = tasks.join(stats, how="left").select(
+        F.lit(experiment_id).alias("id"), F.lit(project_id).cast("bigint").alias("label_project_id"),
+        F.lit(metric_name).alias("metric_name"), F.current_timestamp().alias("created_at"),
+        (F.lit(total_tasks) if total_tasks > 0 else processed).cast("int").alias("total_tasks"),
+        processed.alias("processed_count"), F.lit(average).cast("double").alias("average_score"),
+        "model_version_stats", F.lit("completed").alias("status"), F.lit(notes).cast("string").alias("notes"),
+    )
     header.write.mode("append").parquet(f"{path}/experiments")
 
 
+def write_bucketed(rows: DataFrame, table: str, path: str, key: str = "task_id", buckets: int = 64) -> None:
+    """A table cut into buckets by its key and sorted in them, so that tables of the same
+    number of buckets join on the key without being shuffled."""
+    (
+        rows.repartition(buckets, key).write.mode("overwrite").option("path", path)
+        .bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    )
+
+
 def message_rows(messages: DataFrame, *members: str) -> DataFrame:
     """Messages as {data JSON, timestamp, retries 0}."""
     return messages.select(

@@ -99,17 +99,28 @@ def scan_ocr_pages(spark: SparkSession, path: str, multiline: bool = True) -> Da
 
 def scan_replay_payloads(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Replay payloads; unreadable or incomplete ones are absent."""
+    return split_replay_payloads(spark, path, multiline)[0]
+
+
+def split_replay_payloads(spark: SparkSession, path: str, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(payloads, rejected records): a record is rejected with its text when it cannot be read,
+    otherwise with what it lacks."""
+    required = ["execution_id", "document_type", "model", "system_prompt", "user_prompt"]
     raw = (
         spark.read.schema(S.REPLAY + ", _corrupt_record string")
         .option("multiLine", multiline)
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(path)
     )
-    required = ["execution_id", "document_type", "model", "system_prompt", "user_prompt"]
-    ok = F.col("_corrupt_record").isNull()
-    for name in required:
-        ok = ok & F.col(name).isNotNull()
-    return raw.filter(ok).select(*required)
+    lacking = F.array_compact(F.array(*[F.when(F.col(name).isNull(), name) for name in required]))
+    reason = F.when(F.col("_corrupt_record").isNotNull(), "unreadable").when(
+        F.size(lacking) > 0, F.concat(F.lit("missing "), F.array_join(lacking, ", "))
+    )
+    judged = raw.withColumn("reason", reason)
+    rejected = judged.filter(F.col("reason").isNotNull()).select(
+        F.col("_corrupt_record").alias("record"), "execution_id", "reason", F.col("_metadata.file_name").alias("file")
+    )
+    return judged.filter(F.col("reason").isNull()).select(*required), rejected
 
 
 def scan_dead_letters(spark: SparkSession, path: str) -> DataFrame:

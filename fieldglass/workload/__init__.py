@@ -8,6 +8,7 @@ from . import (  # noqa: F401 - importing registers the queries
     messages,
     pages_and_logs,
     scalars,
+    stored,
     streams,
     tenants,
     user_code,

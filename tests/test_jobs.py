@@ -75,6 +75,72 @@ def test_report_bundle(spark):
     assert out["field_metric_by_model"].count() == 9 and out["model_summary"].count() == 2
 
 
+def test_experiment_is_evaluated_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(x):
+        seen.add(1)
+        return x
+
+    rows = [(k % 4 or None, k, f"m{k % 2}", k / 10 if k % 3 else None, 5.0, "{}") for k in range(40)]
+    frame = spark.createDataFrame(rows, "task_id long, prediction_id long, model_version string, raw double, processing_time_ms double, observation string")
+    path = folder()
+    S.save_experiment(frame.withColumn("score", watched("raw")), path, "e", 1, "m")
+    assert seen.value == 40
+    row = T.scan_experiments(spark, f"{path}/experiments").first()
+    known = [r[3] for r in rows if r[3] is not None]
+    assert (row.processed_count, row.total_tasks) == (3, 3) and row.average_score == pytest.approx(sum(known) / len(known))
+    assert json.loads(row.model_version_stats)["m0"]["sample_count"] == 20
+    assert T.scan_observations(spark, f"{path}/observations").count() == 40
+    S.save_experiment(frame.limit(0).withColumn("score", F.col("raw")), path, "none", 1, "m", total_tasks=9)
+    row = T.scan_experiments(spark, f"{path}/experiments").filter("id = 'none'").first()
+    assert (row.processed_count, row.total_tasks, row.average_score, row.model_version_stats) == (0, 9, None, None)
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        root = folder()
+        S.write_bucketed(spark.range(200).withColumnRenamed("id", "task_id"), "truths_t", f"{root}/a", buckets=4)
+        S.write_bucketed(spark.range(300).select((F.col("id") % 150).alias("task_id"), "id"), "predictions_t", f"{root}/b", buckets=4)
+        pairs = E.join_split_tables(spark.table("predictions_t"), spark.table("truths_t"))
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert pairs.count() == 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("truths_t", "predictions_t"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_report_scores_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def watched(x):
+        seen.add(1)
+        return x
+
+    tasks = Inputs(spark, DATA).label_tasks
+    n = tasks.count()
+    out = jobs.report_by_model(tasks.withColumn("id", watched("id")))
+    for table in out.values():
+        table.collect()
+    assert 0 < seen.value <= n
+
+
+def test_rejected_replays(spark):
+    path = folder()
+    write(f"{path}/r.json", '{"execution_id":"a","document_type":"d","model":"m","system_prompt":"s","user_prompt":"u"}\n{oops\n{"execution_id":"b","model":"m"}\n')
+    good, bad = T.split_replay_payloads(spark, path)
+    assert [r.execution_id for r in good.collect()] == ["a"]
+    assert {(r.execution_id, r.record, r.reason, r.file) for r in bad.collect()} == {
+        (None, "{oops", "unreadable", "r.json"), ("b", None, "missing document_type, system_prompt, user_prompt", "r.json")}
+    assert T.scan_replay_payloads(spark, path).count() == 1
+
+
 def test_custom_metric_errors_become_observations(spark):
     pairs = E.pair_predictions(Inputs(spark, DATA).label_tasks).limit(5)
 
