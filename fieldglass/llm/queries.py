@@ -277,7 +277,7 @@ def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_of(pages: DataFrame) -> DataFrame:
-    """Every page as the WARC text of its capture and of a later not-modified answer.
+    """Every page as the WARC text of its capture and of a later not-modified answer; a null page is empty.
 
     The answers use other spellings of the URL, and a part of them lacks validators, carries
     another entity tag or comes before the capture.
@@ -287,6 +287,7 @@ def crawl_of(pages: DataFrame) -> DataFrame:
     again = fetched + F.when(ten == 7, -3600).otherwise(86400)
     stamp = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     modified = F.concat(F.lit("Last-Modified: "), stamp(fetched - 86400))
+    pages = pages.withColumn("html", F.coalesce("html", F.lit("")))
     pages, tag = pages.withColumn("tag", F.md5(F.col("html").cast("binary"))), F.col("tag")
     url2 = (
         F.when(n % 4 == 1, F.regexp_replace("url", "^https?:", "https:")).when(n % 4 == 2, F.concat("url", F.lit("#again")))
@@ -324,7 +325,7 @@ def crawl_of(pages: DataFrame) -> DataFrame:
 
 WARC_SQL = r"""
 WITH base AS (
-  SELECT page_id AS n, page_id % 10 AS ten, url, coalesce(html, '') AS html, md5(html) AS tag,
+  SELECT page_id AS n, page_id % 10 AS ten, url, coalesce(html, '') AS html, md5(coalesce(html, '')) AS tag,
          1700000000 + (page_id * 7919) % 1000003 AS fetched
   FROM pages),
 timed AS (SELECT *, fetched + CASE WHEN ten = 7 THEN -3600 ELSE 86400 END AS again FROM base),

@@ -42,7 +42,7 @@ def canonical_url(url: Column) -> Column:
     host = F.regexp_replace(F.regexp_replace(F.lower(part(1)), "^[^@]*@|:(80|443)?$", ""), r"^www[0-9]*\.", "")
     host = F.regexp_replace(host, ":(80|443)$", "")
     path = F.regexp_replace(part(2), "/+$", "")
-    kept = F.filter(F.split(F.substring(part(3), 2, 1 << 20), "&"), lambda p: (p != "") & ~F.lower(p).rlike(TRACKING))
+    kept = F.filter(F.split(F.regexp_replace(part(3), r"^\?", ""), "&"), lambda p: (p != "") & ~F.lower(p).rlike(TRACKING))
     query = F.array_join(F.array_sort(kept), "&")
     whole = F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
     return F.when(plain.rlike(shape), whole).otherwise(plain)
