@@ -37,8 +37,8 @@ BLOCK_WORDS = 128
 SHARDS = 16
 #: Slots of documents in which a source is numbered.
 SLOTS = 4096
-#: A prime above any number of blocks of one source (fixed value, 2^31 - 1).
-PRIME = 2147483647
+#: Primes for up to 2^31 - 2 blocks of a source and for more (fixed values, 2^31 - 1 and 2^61 - 1).
+PRIME, LARGE_PRIME = 2147483647, 2305843009213693951
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -212,6 +212,17 @@ def _streams(sized: DataFrame) -> DataFrame:
     )
 
 
+def permuted(block: Column, n: Column, shift: Column) -> Column:
+    """Place of a block in the order of drawing, a permutation of 0..n-1.
+
+    The factor is a prime that does not divide n. Below 2^31 blocks the product fits a
+    bigint; above, a larger prime is used and multiplied in 38 digits.
+    """
+    wide = lambda c: c.cast("decimal(19,0)")
+    large = (wide(block) * wide(F.lit(LARGE_PRIME) % n) + shift) % wide(n)
+    return F.when(n <= PRIME - 1, F.pmod(block * (F.lit(PRIME) % n) + shift, n)).otherwise(large.cast("long"))
+
+
 def pieces(sized: DataFrame, quota_rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Every document cut at the block borders of its source: (row, block, start, words, draw...)."""
     streamed = _streams(sized.filter("size > 0")).join(
@@ -221,7 +232,7 @@ def pieces(sized: DataFrame, quota_rows: DataFrame, block_words: int = BLOCK_WOR
     cut = streamed.withColumn("block", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("block") * block_words, F.col("from"))
     end = F.least((F.col("block") + 1) * block_words, F.col("from") + F.col("size"))
-    turn = F.pmod(F.col("block") * (F.lit(PRIME) % F.col("n_blocks")) + F.col("shift"), F.col("n_blocks"))
+    turn = permuted(F.col("block"), F.col("n_blocks"), F.col("shift"))
     return cut.withColumns({
         "start": begin - F.col("from"), "words": end - begin, "turn": turn,
         "copies": F.col("epochs") + (turn < F.col("extra")).cast("long"),
@@ -252,8 +263,8 @@ def _placed(cut: DataFrame, quota_rows: DataFrame, shards: int, seed: int) -> Da
     number = F.col("epoch") * F.col("n_blocks") + F.col("turn")
     return drawn.withColumn("draw", number).drop("from").join(ranges, "box").withColumn(
         "shard",
-        F.filter("ranges", lambda r: (r["from"] <= F.col("draw")) & (F.col("draw") < r["upto"]))[0]["shard"],
-    )
+        F.get(F.filter("ranges", lambda r: (r["from"] <= F.col("draw")) & (F.col("draw") < r["upto"])), F.lit(0))["shard"],
+    ).filter(F.col("shard").isNotNull())  # what no shard has drawn is not in the mix
 
 
 def _shuffled(placed: DataFrame, seed: int) -> DataFrame:

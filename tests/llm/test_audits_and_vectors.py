@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldglass.llm import divergence, embedding_dedup, periodic_runs, queries, tokens
+from fieldglass.llm import divergence, embedding_dedup, mixing, periodic_runs, queries, tokens, warc
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, runs string, collapsed string, term string, n string"
@@ -220,3 +220,30 @@ def test_recall_at_the_threshold(spark):
     found = embedding_dedup.group(frame).filter(F.col("n_links") > 0)
     assert found.count() >= 2 * 0.98 * 1500
     assert found.filter((F.col("component_id") != F.col("vec_id") % 1500)).count() == 0
+
+
+def test_block_order_of_any_size(spark):
+    for n in (1, 2, 7, 1000):
+        order = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(12345).cast("long")).alias("t"))
+        assert sorted(r.t for r in order.collect()) == list(range(n))
+    n = 5_000_000_000 * 3 + 1
+    rows = spark.createDataFrame([(b,) for b in (0, 1, n // 2, n - 2, n - 1)], "block long")
+    got = [r.t for r in rows.select(mixing.permuted(F.col("block"), F.lit(n), F.lit(12345).cast("long")).alias("t")).collect()]
+    assert got == [(b * (mixing.LARGE_PRIME % n) + 12345) % n for b in (0, 1, n // 2, n - 2, n - 1)]
+
+
+def test_mix_counts_only_what_a_shard_has_drawn(spark, monkeypatch):
+    """The counts come from the tree: without a shard's ranges, its pieces are missing."""
+    docs = spark.createDataFrame([(i, " ".join(["w"] * 40), f"s{i % 3}") for i in range(120)], "doc_id long, text string, source string")
+    whole = mixing.taken(docs, block_words=16, shards=4).agg(F.sum("taken")).first()[0]
+    tree = mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda *a, **b: tree(*a, **b).filter("shard <> 2"))
+    part = mixing.taken(docs, block_words=16, shards=4).agg(F.sum("taken")).first()[0]
+    assert 0.6 * whole < part < 0.9 * whole
+
+
+def test_long_query_strings_count(spark):
+    tail = "x" * (1 << 20)
+    urls = [(f"https://a.org/p?q={tail}{k}",) for k in "ab"]
+    found = [r.u for r in spark.createDataFrame(urls, "url string").select(warc.canonical_url(F.col("url")).alias("u")).collect()]
+    assert found == [f"a.org/p?q={tail}{k}" for k in "ab"]
