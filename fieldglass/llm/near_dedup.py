@@ -13,12 +13,14 @@
 4. Buckets that still hold several components compare the classes outside the largest
    component with the rest of the bucket: small buckets as a list of distinct pairs, large
    ones in blocks of bounded size and in the first band that a pair shares, so that only
-   links are emitted. A pair must agree in three bands or more.
+   links are emitted. Every pair that shares a bucket and whose set sizes allow the similarity
+   is compared.
 5. Links are confirmed on the full sets; components are found by union-find and star
    contraction.
 
 With 32 bands of 4 registers, two sets of similarity 0.8 share no band with probability
-5e-8, and fewer than three with probability 1e-5. Sets are compared by 64-bit hashes of their shingles.
+5e-8. Sets are compared by 64-bit hashes of their shingles. What is joined with many rows of
+one class or bucket is written first, so that Spark can split such rows among tasks.
 
 Defined results for odd input: a text without words (or null) has an empty set, is linked
 with nothing and kept. A row without an id is linked with nothing, its component is null
@@ -42,9 +44,8 @@ from .tokens import Tokens, chunks, join_hash, mix, tokenize
 
 REGISTERS, BAND = 128, 4
 PERCENT = 80
-#: Classes of a bucket that meet in one task, classes of a bucket whose pairs are listed, and
-#: bands that a pair of the rest must share.
-BLOCK, SMALL, SHARED_BANDS = 512, 64, 3
+#: Classes of a bucket that meet in one task, and classes of a bucket whose pairs are listed.
+BLOCK, SMALL = 512, 64
 
 _U = np.uint64
 
@@ -201,8 +202,7 @@ def _block_links(percent: int):
             for rep2, comp2, n2, bands2, items2 in other:
                 if comp2 == comp or comp2 in joined or 100 * min(n, n2) < percent * max(n, n2):
                     continue
-                shared = np.flatnonzero(bands == bands2)
-                if shared[0] != frame["band"].iat[0] or len(shared) < SHARED_BANDS:
+                if (bands == bands2).argmax() != frame["band"].iat[0]:
                     continue
                 common = len(np.intersect1d(items, items2, assume_unique=True))
                 if 100 * common >= percent * (n + n2 - common):
@@ -218,19 +218,13 @@ def _labelled(shared: DataFrame, links: DataFrame) -> DataFrame:
     return shared.join(labels, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
 
-def _listed(rest: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _listed(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of small buckets: every pair of different components once, whatever buckets it shares."""
     left = rest.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     right = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fit).select("a", "b").distinct()
-    shared = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda e: e))
-    likely = (
-        pairs.join(bands.select(F.col("rep").alias("a"), F.col("bands").alias("x")), "a")
-        .join(bands.select(F.col("rep").alias("b"), F.col("bands").alias("y")), "b")
-        .filter(shared >= SHARED_BANDS).select("a", "b")
-    )
-    return _confirmed(likely, sets, percent)
+    return _confirmed(pairs, sets, percent)
 
 
 def _in_blocks(rest: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -265,13 +259,14 @@ def group(
         "signatures",
     )
     usable = signed.filter("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    classes = kept_table(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     placed = usable.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "rep")
     heads = usable.join(classes.select("rep").withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     members = heads.select(
         F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key")
     )
     pivots = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot <> last").drop("last")
+    pivots = kept_table(pivots, "pivots")
     shared = kept_table(members.join(pivots, "key"), "buckets")
 
     bitmap = spark.sparkContext.broadcast(bitmap_of(shared.select("rep").distinct(), "rep"))
@@ -294,7 +289,7 @@ def group(
     now = _labelled(shared, links)
     own = now.filter("rep = pivot").select("key", F.col("comp").alias("pivot_comp"))
     left = now.join(own.distinct(), "key")
-    second = left.filter("comp <> pivot_comp").groupBy("key").agg(F.min(F.struct("rep", "n", "comp")).alias("p"))
+    second = kept_table(left.filter("comp <> pivot_comp").groupBy("key").agg(F.min(F.struct("rep", "n", "comp")).alias("p")), "second-pivots")
     pairs = left.join(second, "key").filter((F.col("comp") != F.col("p.comp")) & (F.col("rep") != F.col("pivot")) & fits("n", "p.n"))
     pairs = pairs.select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct()
     links = kept_table(links.unionByName(_confirmed(pairs, sets, percent)), "links")
@@ -305,9 +300,10 @@ def group(
     largest = counts.groupBy("key").agg(
         F.max_by("comp", F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.max("c").alias("c")
     ).filter("c < size").select("key", "top", "size", (F.col("size") - F.col("c")).alias("out"))
+    largest = kept_table(largest, "largest")
     rest = kept_table(now.select("key", "band", "rep", "n", "comp").join(largest, "key"), "rest")
     bands = heads.select(F.col("doc_id").alias("rep"), "bands")
-    more = _listed(rest.filter(F.col("size") <= SMALL), bands, sets, percent).unionByName(
+    more = _listed(rest.filter(F.col("size") <= SMALL), sets, percent).unionByName(
         _in_blocks(rest.filter(F.col("size") > SMALL), bands, sets, percent)
     )
     links = kept_table(links.unionByName(more), "links")
