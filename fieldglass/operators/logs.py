@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.dates import elapsed_ms
 from ..functions.delivery import classify_error
-from .slices import chunked_lists, ordinal_in_group
+from .slices import chunked_lists, header_and_items, ordinal_in_group
 
 
 def execution_log(events: DataFrame) -> DataFrame:
@@ -90,6 +90,29 @@ def collect_step_metadata(facts: DataFrame, slice_by: Column, chunk_rows: int =
     )
 
 
+def step_items(facts: DataFrame, slice_by: Column) -> tuple[DataFrame, DataFrame]:
+    """Step facts of an execution as a header (steps, seconds) and one row per step in order."""
+    return header_and_items(
+        facts.withColumnRenamed("position", "step"), ["execution_id"], [F.col("step")], slice_by,
+        {"execution_time": F.sum("execution_time")},
+    )
+
+
+def result_lists(codes: DataFrame, steps: DataFrame) -> DataFrame:
+    """Codes and step metadata of every execution as the ordered lists of its final record.
+
+    ``codes`` and ``steps`` have ``execution_id`` and ``position``; an execution's record holds
+    what its pages and its workflow gave, so the lists are as short as these are.
+    """
+
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        item = F.struct(*[c for c in rows.columns if c not in ("execution_id", "position")])
+        ordered = F.array_sort(F.collect_list(F.struct("position", item.alias("item"))))
+        return rows.groupBy("execution_id").agg(ordered.alias("l")).select("execution_id", F.col("l.item").alias(name))
+
+    return listed(codes, "barcodes").join(listed(steps, "workflow_metadata"), "execution_id", "full")
+
+
 def completed_results(
     executions: DataFrame,
     classifications: DataFrame,

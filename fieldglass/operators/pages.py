@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numbers import clean_float_label
+from .slices import header_and_items
 
 PAGES_PER_CHUNK = 1000
 
@@ -44,6 +45,35 @@ def page_concat(pages: DataFrame, key: str = "execution_id",
     return _pages_in_order(pages, key, text, "content", pages_per_chunk)
 
 
+def prompt_parts(pages: DataFrame, key: str = "execution_id") -> tuple[DataFrame, DataFrame]:
+    """The prompt of every document as a header (pages, characters) and one row per page text."""
+    return _page_parts(pages, key, F.concat(F.coalesce("text", F.lit("None")), F.lit("\n\n")))
+
+
+def page_concat_parts(pages: DataFrame, key: str = "execution_id") -> tuple[DataFrame, DataFrame]:
+    """The same for the text of a markdown OCR service."""
+    return _page_parts(pages, key, F.concat(
+        F.lit("Page : "), F.col("page_number").cast("string"), F.lit(" \n "), F.coalesce("text", F.lit("None")), F.lit(" \n"),
+    ))
+
+
+def _page_parts(pages: DataFrame, key: str, render: Column) -> tuple[DataFrame, DataFrame]:
+    rows = pages.select(key, "page_number", render.alias("part"))
+    return header_and_items(
+        rows, [key], [F.col("page_number"), F.col("part")], F.floor(F.col("page_number") / PAGES_PER_CHUNK),
+        {"chars": F.sum(F.length("part").cast("long"))},
+    )
+
+
+def barcode_items(codes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All codes of a document in page order: a header (codes, pages with codes) and one row per code."""
+    rows = codes.select("doc_id", "page_number", "pass", "pos", "type", "raw_data")
+    order = [F.col(c) for c in ("page_number", "pass", "pos", "type", "raw_data")]
+    return header_and_items(
+        rows, ["doc_id"], order, F.floor(F.col("page_number") / PAGES_PER_CHUNK), {"last_page": F.max("page_number")}
+    )
+
+
 def barcode_key(kind: Column, raw: Column) -> Column:
     """Identity of a code on its page; kinds without a key are not reported.
 
@@ -133,6 +163,11 @@ def has_required(names: Column, required: tuple[str, ...]) -> Column:
     return F.size(F.array_except(F.array(*[F.lit(r) for r in required]), names)) == 0
 
 
+def last_records(records: DataFrame, key: str, name: str = "name", value: str = "value", pos: str = "pos") -> DataFrame:
+    """One row per key and name with its last value, however many names a key has."""
+    return records.groupBy(key, name).agg(F.max_by(value, pos).alias("value"))
+
+
 def records_to_map(records: DataFrame, key: str, name: str = "name", value: str = "value",
                    pos: str = "pos") -> DataFrame:
     """(key, name, value, pos) rows to one map per key; a repeated name keeps the last."""

@@ -89,6 +89,23 @@ def lag_in_group(
     )
 
 
+def header_and_items(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    slice_by: Column,
+    totals: dict[str, Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """A list per group as two tables: one header per group, one row per item.
+
+    Headers hold ``items``, the number of items, and the given totals; item rows have their
+    ``position`` from 1. What a row means does not depend on how long a list is.
+    """
+    summed = {"items": F.count(F.lit(1)), **(totals or {})}
+    header = df.groupBy(*keys).agg(*[v.alias(n) for n, v in summed.items()])
+    return header, ordinal_in_group(df, keys, order, slice_by, "position")
+
+
 def chunked_lists(
     df: DataFrame,
     keys: list[str],

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.protect import merge_headers
 from .events import last_event, page
-from .slices import chunked_lists
+from .slices import chunked_lists, header_and_items
 
 
 def keys_with_organization(keys: DataFrame, organizations: DataFrame) -> DataFrame:
@@ -48,6 +48,14 @@ def organization_with_keys(organizations: DataFrame, keys: DataFrame,
     )
 
 
+def organization_key_items(organizations: DataFrame, keys: DataFrame, slice_by: Column) -> tuple[DataFrame, DataFrame]:
+    """Every organization with the number of its keys, and one row per key in order of id."""
+    owned = keys.filter(F.col("organization_id").isNotNull()).select("organization_id", "id", "prefix", "status")
+    counted, items = header_and_items(owned, ["organization_id"], [F.col("id")], slice_by)
+    header = organizations.join(counted.withColumnRenamed("organization_id", "__org"), organizations["id"] == F.col("__org"), "left")
+    return header.drop("__org").withColumn("items", F.coalesce("items", F.lit(0))), items
+
+
 def active_key_by_prefix(keys: DataFrame, prefix: str | None = None) -> DataFrame:
     found = keys.filter(F.col("status") == K.KEY_STATUSES[0])
     return found if prefix is None else found.filter(F.col("prefix") == prefix)

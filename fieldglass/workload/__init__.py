@@ -1,6 +1,7 @@
 """Registered queries over the driver tables, each with its SQL twin where one exists."""
 
 from . import (  # noqa: F401 - importing registers the queries
+    all_types,
     evaluation,
     event_log,
     experiments,

@@ -153,3 +153,12 @@ def records_to_map(v: Inputs) -> DataFrame:
                              F.col("l_partkey").alias("value"), F.struct("l_linenumber", "l_partkey").alias("pos"))
     out = P.records_to_map(rows, "key")
     return out.select("key", F.explode("fields").alias("name", "value"))
+
+
+@query("last_records", sql="""
+SELECT key, name, value FROM (SELECT l_suppkey AS key, l_returnflag || '-' || l_linestatus AS name, l_partkey AS value,
+  row_number() OVER (PARTITION BY l_suppkey, l_returnflag || '-' || l_linestatus ORDER BY l_orderkey DESC, l_linenumber DESC) AS rn FROM lineitem) WHERE rn = 1""")
+def last_records(v: Inputs) -> DataFrame:
+    rows = v.lineitem.select(F.col("l_suppkey").alias("key"), F.concat_ws("-", "l_returnflag", "l_linestatus").alias("name"),
+                             F.col("l_partkey").alias("value"), F.struct("l_orderkey", "l_linenumber").alias("pos"))
+    return P.last_records(rows, "key")

@@ -9,6 +9,7 @@ from .. import constants as K
 from ..operators import logs as L
 from ..operators import pages as P
 from ..operators import prompts as R
+from ..operators.slices import header_and_items
 from .registry import query
 from .views import Inputs, at, r6, sql_at
 
@@ -261,3 +262,73 @@ def completed_results(v: Inputs) -> DataFrame:
     )
     return out.select("execution_id", "document_type", "properties", "barcodes",
                       "total_processing_time_ms", "steps_completed")
+
+
+_PARTS = """
+WITH p AS (SELECT execution_id, page_number, {0} AS part FROM ocr_pages)
+SELECT execution_id, count(*) OVER w AS items, CAST(sum(length(part)) OVER w AS BIGINT) AS chars, page_number, part,
+  row_number() OVER (PARTITION BY execution_id ORDER BY page_number, part) AS position
+FROM p WINDOW w AS (PARTITION BY execution_id)"""
+
+
+@query("user_prompt_parts", sql=_PARTS.format("coalesce(text, 'None') || chr(10) || chr(10)"))
+def user_prompt_parts(v: Inputs) -> DataFrame:
+    header, items = P.prompt_parts(v.ocr_pages)
+    return items.join(header, "execution_id")
+
+
+@query("page_concat_parts", sql=_PARTS.format("'Page : ' || page_number || ' ' || chr(10) || ' ' || coalesce(text, 'None') || ' ' || chr(10)"))
+def page_concat_parts(v: Inputs) -> DataFrame:
+    header, items = P.page_concat_parts(v.ocr_pages)
+    return items.join(header, "execution_id")
+
+
+@query("barcode_items", sql="""
+SELECT doc_id, count(*) OVER w AS items, max(page_number) OVER w AS last_page, page_number, pass, pos, type, raw_data,
+  row_number() OVER (PARTITION BY doc_id ORDER BY page_number, pass, pos, type, raw_data) AS position
+FROM barcodes WINDOW w AS (PARTITION BY doc_id)""")
+def barcode_items(v: Inputs) -> DataFrame:
+    header, items = P.barcode_items(v.barcodes)
+    return items.join(header, "doc_id")
+
+
+@query("step_items", sql="""
+SELECT execution_id || '-' || id AS execution_id, CAST(2 AS BIGINT) AS items, round(1.0 + execution_time_ms / 1000.0, 6)::DOUBLE AS execution_time,
+  p.position, CASE p.position WHEN 1 THEN 'ocr' ELSE step_name END AS step_name
+FROM event_store JOIN (SELECT CAST(1 AS BIGINT) AS position UNION ALL SELECT 2) p ON event_type = 'WorkflowExecutionCompleted'""")
+def step_items(v: Inputs) -> DataFrame:
+    header, items = L.step_items(L.step_facts(_completed(v)), F.floor(F.col("step") / 1000))
+    return items.select("execution_id", "position", "step_name").join(header, "execution_id").withColumn("execution_time", r6("execution_time"))
+
+
+_OF = "SELECT execution_id, id, {0}, row_number() OVER (PARTITION BY execution_id ORDER BY created_at, id) AS position FROM event_store WHERE event_type = '{1}'"
+
+
+@query("result_lists", sql=f"""
+WITH c AS ({_OF.format("error_type || '/' || retry_count AS t", K.FAILED)}), s AS ({_OF.format("step_name || '/' || execution_time_ms AS t", K.STEP_COMPLETED)}),
+b AS (SELECT execution_id, string_agg(t, ',' ORDER BY position) AS barcodes, count(*) AS n FROM c GROUP BY 1),
+m AS (SELECT execution_id, string_agg(t, ',' ORDER BY position) AS workflow_metadata, count(*) AS n FROM s GROUP BY 1)
+SELECT x.execution_id, b.barcodes, m.workflow_metadata, coalesce(m.n, 0) + 1 AS steps_completed,
+  CAST(floor((epoch_us(x.f) - epoch_us(x.s)) / 1000) AS BIGINT) AS total_processing_time_ms
+FROM (SELECT execution_id, min(created_at) AS s, max(created_at) AS f FROM event_store GROUP BY 1) x
+LEFT JOIN b ON b.execution_id = x.execution_id LEFT JOIN m ON m.execution_id = x.execution_id""")
+def result_lists(v: Inputs) -> DataFrame:
+    """Final records with their lists of codes (here: failures) and steps."""
+    e = v.event_store
+
+    def of(kind: str, *columns: str) -> DataFrame:
+        rows = e.filter(F.col("event_type") == kind)
+        _, items = header_and_items(rows, ["execution_id"], [F.col("created_at"), F.col("id")], F.date_trunc("hour", "created_at"))
+        return items.select("execution_id", "position", *columns)
+
+    lists = L.result_lists(of(K.FAILED, "error_type", "retry_count"), of(K.STEP_COMPLETED, "step_name", "execution_time_ms"))
+    counted = lists.withColumn("steps_executed", F.coalesce(F.size("workflow_metadata"), F.lit(0)))
+    spans = e.groupBy("execution_id").agg(F.min("created_at").alias("started_at"), F.max("created_at").alias("finished_at"))
+    none = lists.select("execution_id")
+    out = L.completed_results(spans, none, none, none, counted)
+    text = lambda name, *members: F.array_join(F.transform(name, lambda x: F.concat_ws("/", *[x[m].cast("string") for m in members])), ",")
+    return out.select(
+        "execution_id", text("barcodes", "error_type", "retry_count").alias("barcodes"),
+        text("workflow_metadata", "step_name", "execution_time_ms").alias("workflow_metadata"),
+        F.col("steps_completed").cast("bigint").alias("steps_completed"), "total_processing_time_ms",
+    )

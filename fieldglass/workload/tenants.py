@@ -176,3 +176,13 @@ def first_workflow_definition(v: Inputs) -> DataFrame:
     defined = v.event_store.select(F.col("workflow_id").alias("id"), F.col("step_name").alias("first_step"),
                                    F.col("id").alias("position"))
     return W.first_by_position(defined)
+
+
+@query("organization_key_items", sql="""
+SELECT o.id, o.name, coalesce(count(k.id) OVER (PARTITION BY o.id), 0) AS items, k.prefix, k.status,
+  CASE WHEN k.id IS NOT NULL THEN row_number() OVER (PARTITION BY o.id ORDER BY k.id) END AS position
+FROM organizations o LEFT JOIN api_keys k ON k.organization_id = o.id""")
+def organization_key_items(v: Inputs) -> DataFrame:
+    header, items = T.organization_key_items(v.organizations, v.api_keys, F.floor(F.col("id") / 4))
+    keys = items.select(F.col("organization_id").alias("org"), "prefix", "status", "position")
+    return header.join(keys, header["id"] == keys["org"], "left").select("id", "name", "items", "prefix", "status", "position")
