@@ -56,8 +56,8 @@ WAIT_CAP_SECONDS = 60
 # --- fixed values: message delivery ----------------------------------------
 MAX_DELIVERIES = 3
 IDLE_MS = 300_000
-#: Event time without events after which an execution leaves the streaming state.
-STATUS_IDLE_SECONDS = 86_400
+#: Length of a band of event time in the streaming status.
+STATUS_BAND_SECONDS = 86_400
 STREAM_MAXLEN = 1000
 WEBHOOK_RETRIES = 3
 BACKOFF_SECONDS = 5.0

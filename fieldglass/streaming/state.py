@@ -32,114 +32,72 @@ def _timed(events: DataFrame, late_s: int, *columns: str) -> DataFrame:
     return stamped.withWatermark("at", f"{late_s} seconds").select("us", *columns)
 
 
-def execution_state(events: DataFrame, idle_s: int = K.STATUS_IDLE_SECONDS, *, late_s: int) -> DataFrame:
-    """Newest event and number of events per execution, with state that ends.
-
-    Run in update mode. An execution without events for ``idle_s`` seconds of event time is
-    emitted once more with ``closed`` set and leaves the state; if it goes on later, counting
-    starts again from there. ``status_batch`` keeps the rows as a table and ``status_table``
-    reads it. Late rows count like all others. Late and repeated closings do no harm, as the
-    table adds up counts and takes the newest event.
+def execution_state(events: DataFrame, band_s: int = K.STATUS_BAND_SECONDS, *, late_s: int) -> DataFrame:
+    """Newest event and number of events per execution and band of event time.
+
+    An aggregation with partial results map-side, to be run in update mode. A band leaves the
+    state when the watermark has passed its end, so the state holds what happened in the last
+    ``band_s`` + ``late_s`` seconds, not every execution there ever was, and a long execution
+    is as many pieces as it has bands. ``status_batch`` keeps the rows as a table,
+    ``status_table`` puts the bands together. Rows later than ``late_s`` seconds are dropped
+    when their band has ended.
     """
-    idle_us = idle_s * 1_000_000
-    fields = [
-        T.StructField("us", T.LongType()), T.StructField("id", T.LongType()), T.StructField("event_type", T.StringType()),
-        T.StructField("workflow_id", T.StringType()), T.StructField("organization_id", T.LongType()),
-        T.StructField("events", T.LongType()),
-    ]
-    names = [f.name for f in fields]
-
-    class Newest(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.newest = handle.getValueState("newest", T.StructType(fields))
-            self.handle = handle
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            known = tuple(self.newest.get()) if self.newest.exists() else None
-            best, count = known, known[5] if known else 0
-            for batch in rows:
-                count += len(batch)
-                r = batch.sort_values(["us", "id"]).iloc[-1]
-                if best is None or (r.us, r.id) > best[:2]:
-                    org = None if pd.isna(r.organization_id) else int(r.organization_id)
-                    best = (int(r.us), int(r.id), r.event_type, r.workflow_id, org, 0)
-            best = (*best[:5], count)
-            due = (best[0] + idle_us) // 1000 + 1
-            if known is None or known[0] != best[0]:
-                if known is not None:
-                    self.handle.deleteTimer((known[0] + idle_us) // 1000 + 1)
-                self.handle.registerTimer(due)
-            self.newest.update(best)
-            yield self.row(key, best, False)
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            last = tuple(self.newest.get())
-            self.newest.clear()
-            yield self.row(key, last, True)
-
-        def row(self, key, state, closed: bool) -> pd.DataFrame:
-            frame = pd.DataFrame([(key[0], *state, closed)], columns=["execution_id", *names, "closed"])
-            return frame.astype({"organization_id": "Int64"})
-
-        def close(self) -> None:
-            pass
-
-    rows = _timed(
-        events, late_s, "execution_id", F.col("id").cast("bigint").alias("id"), "event_type", "workflow_id",
+    at = F.col("created_at").cast("timestamp")
+    timed = events.withColumn("at", at).withWatermark("at", f"{late_s} seconds")
+    newest = F.max(F.struct(
+        F.unix_micros("at").alias("us"), F.col("id").cast("bigint").alias("id"), "event_type", "workflow_id",
         F.col("organization_id").cast("bigint").alias("organization_id"),
+    ))
+    per = timed.groupBy(F.window("at", f"{band_s} seconds").alias("w"), "execution_id").agg(
+        newest.alias("e"), F.count(F.lit(1)).alias("events")
     )
-    return rows.groupBy("execution_id").transformWithStateInPandas(
-        statefulProcessor=Newest(),
-        outputStructType="execution_id string, us bigint, id bigint, event_type string, workflow_id string,"
-        " organization_id bigint, events bigint, closed boolean",
-        outputMode="Update",
-        timeMode="EventTime",
-    )
+    return per.select("execution_id", F.unix_micros("w.end").alias("band_end"), "e.*", "events")
 
 
-def _newest_rows(rows: DataFrame, events: Column) -> DataFrame:
-    """One row per execution: its newest event, with the given count."""
-    newest = F.max(F.struct("us", "id", "event_type", "workflow_id", "organization_id"))
-    return rows.groupBy("execution_id").agg(newest.alias("e"), events.alias("events")).select("execution_id", "e.*", "events")
+_BANDS = ("execution_id string, band_end bigint, us bigint, id bigint, event_type string, workflow_id string,"
+          " organization_id bigint, events bigint, batch_id int, ended boolean")
+
 
+def _bands(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_BANDS).parquet(f"{path}/bands")
 
-def status_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` sink of ``execution_state``: a status table in two parts.
 
-    ``closed`` gets the executions that left the state, one folder per batch, and never
-    changes. ``open`` holds one version of the executions still in the state, built from the
-    version before and the batch; it is as small as the state. A repeated batch writes the
-    same folders again, and versions that no repeat can need are removed.
+def status_batch(path: str, late_s: int) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink of ``execution_state``: a status table in versions.
+
+    Version n holds the bands of the batch and those that were open in version n-1. Bands that
+    ended before the watermark, as far as version n-1 tells it, are put apart in it and never
+    touched again, so what is carried on is no larger than the state. A repeated batch writes
+    the same version again; open parts that no repeat needs are removed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/batch/batch_id={batch_id}")
-        rows = spark.read.parquet(f"{path}/batch/batch_id={batch_id}")
-        ended, changed = rows.filter("closed").drop("closed"), rows.filter("not closed").drop("closed")
-        ended.write.mode("overwrite").parquet(f"{path}/closed/batch_id={batch_id}")
-        # an execution that ends in this batch and goes on in it has its later count in the state only
-        now = _newest_rows(changed, F.max("events"))
-        gone = rows.groupBy("execution_id").agg(F.bool_or("closed").alias("ended")).filter("ended").select("execution_id")
-        now = now.join(gone, "execution_id", "left_anti")
+        rows, passed = batch, None
         if batch_id > 0:
-            before = spark.read.parquet(f"{path}/open/batch_id={batch_id - 1}")
-            now = before.join(rows.select("execution_id").distinct(), "execution_id", "left_anti").unionByName(now)
-        now.write.mode("overwrite").parquet(f"{path}/open/batch_id={batch_id}")
-        drop_folder(spark, f"{path}/open/batch_id={batch_id - 2}")
-        drop_folder(spark, f"{path}/batch/batch_id={batch_id - 1}")
+            before = _bands(spark, path).filter((F.col("batch_id") == batch_id - 1) & ~F.col("ended"))
+            newest = before.agg(F.max("us").alias("us")).first()["us"]
+            passed = None if newest is None else newest - late_s * 1_000_000
+            rows = batch.unionByName(before.drop("batch_id", "ended"))
+        # a band comes out whole each time it grows, so its longest count is its state
+        members = F.struct("events", "us", "id", "event_type", "workflow_id", "organization_id")
+        latest = rows.groupBy("execution_id", "band_end").agg(F.max(members).alias("e")).select("execution_id", "band_end", "e.*")
+        ended = F.lit(False) if passed is None else F.col("band_end") <= passed
+        latest.withColumn("ended", ended).write.mode("overwrite").partitionBy("ended").parquet(f"{path}/bands/batch_id={batch_id}")
+        drop_folder(spark, f"{path}/bands/batch_id={batch_id - 2}/ended=false")
 
     return write
 
 
 def status_table(spark: SparkSession, path: str) -> DataFrame:
     """Current status of every execution that ``status_batch`` has seen."""
-    open_rows = spark.read.parquet(f"{path}/open")
-    newest = open_rows.agg(F.max("batch_id")).scalar()
-    rows = open_rows.filter(F.col("batch_id") == newest).unionByName(spark.read.parquet(f"{path}/closed")).drop("batch_id")
-    return _newest_rows(rows, F.sum("events")).select(
-        "execution_id", F.timestamp_micros("us").alias("updated_at"), F.col("id").alias("event_id"), "workflow_id",
-        "organization_id", status_of(F.col("event_type")).alias("status"), "events",
+    rows = _bands(spark, path)
+    version = rows.agg(F.max("batch_id").alias("n")).first()["n"]
+    rows = rows.filter(F.col("ended") | (F.col("batch_id") == F.lit(version)))
+    newest = F.max(F.struct("us", "id", "event_type", "workflow_id", "organization_id"))
+    return rows.groupBy("execution_id").agg(newest.alias("e"), F.sum("events").alias("events")).select(
+        "execution_id", F.timestamp_micros("e.us").alias("updated_at"), F.col("e.id").alias("event_id"), "e.workflow_id",
+        "e.organization_id", status_of(F.col("e.event_type")).alias("status"), "events",
     )
 
 

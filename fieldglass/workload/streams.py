@@ -111,7 +111,7 @@ FROM event_store GROUP BY 1""")
 def stream_status(v: Inputs) -> DataFrame:
     out = scratch_dir(v.spark, "status")
     states = SS.execution_state(feed_stream(v, "event_store", "created_at", "id"), late_s=DELAY)
-    replay(v, states, mode="update", each=SS.status_batch(out), settings=SS.ROCKSDB)
+    replay(v, states, mode="update", each=SS.status_batch(out, DELAY))
     return SS.status_table(v.spark, out).select(
         "execution_id", "event_id", at("updated_at").alias("updated_at"), "status", "events")
 
