@@ -91,7 +91,8 @@ def execution_pipeline(
 
     One row per execution: success with its result list, or the classified error.
     Executions of unknown workflows and workflows without a runnable step fail
-    before the function is called.
+    before the function is called. What is to run is written to scratch first, so the log
+    is reduced once for both kinds.
     """
     todo = events.resumable_executions(log)
     flows = workflows.runnable_workflows(catalog).withColumnRenamed("id", "workflow_id")
@@ -99,7 +100,9 @@ def execution_pipeline(
     blocked = F.when(F.col("steps").isNull(), "WorkflowNotFoundException").when(
         F.col("error").isNotNull(), "Exception"
     )
-    ready = planned.withColumn("blocked", blocked)
+    path = scratch_dir(log.sparkSession, "to-run")
+    planned.withColumn("blocked", blocked).write.parquet(path)
+    ready = log.sparkSession.read.parquet(path)
     ran = custom.predict(
         ready.filter(F.col("blocked").isNull()).drop("blocked", "error"),
         run_steps, key="execution_id", n_partitions=n_partitions,
