@@ -222,7 +222,7 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_repeated_passages")
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return substring_dedup.passages(table(spark, sf_dir, "documents", "doc_id", "text")).drop("version")
 
 
 CHAT_SQL = r"""

@@ -24,9 +24,11 @@ places with the document itself as its origin; a later place may overlap the fir
 compared after lower-casing A-Z.
 
 Defined results for odd input: null, empty and short texts share nothing; rows without an id
-are left out; rows that repeat an id are not compared with each other; an empty table
-gives no passages. Other columns are not read by ``passages`` and stay as they are in
-``without_repeats``.
+are left out. Rows that repeat an id with the same text are one document. Of rows that repeat
+an id with other texts each text is a document of its own, all but one of them later than
+every other document; ``version``, the hash of the text, says which one a passage lies in, and
+is null where an id has one text. An empty table gives no passages. Other columns are not
+read by ``passages`` and stay as they are in ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -465,11 +467,58 @@ def _missed(texts: DataFrame, seeds: DataFrame, many: DataFrame, found: DataFram
     return kept_table(lists.mapInPandas(_running(k, width), CHAINS), "chains")
 
 
+#: Keys of the further texts of repeated ids begin here.
+FURTHER = 1 << 62
+
+
+def _versions(texts: DataFrame) -> DataFrame | None:
+    """(doc_id, version, key) of the texts of ids that have several; None where no id has."""
+    twice = kept_table(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
+    if not twice.take(1):
+        return None
+    few, _ = join_some(texts, twice, "doc_id", lambda some: some.join(twice, "doc_id", "left_semi"))
+    kinds = few.select("doc_id", F.xxhash64("text").alias("version")).distinct()
+    least = kinds.groupBy("doc_id").agg(F.min("version").alias("least"), F.count(F.lit(1)).alias("n"))
+    several = kinds.join(least.filter("n > 1"), "doc_id")
+    key = F.when(F.col("version") == F.col("least"), F.col("doc_id")).otherwise(F.lit(FURTHER) + F.monotonically_increasing_id())
+    return kept_table(several.select("doc_id", "version", key.alias("key")), "versions")
+
+
+def _by_version(texts: DataFrame, versions: DataFrame) -> DataFrame:
+    """The texts with one row for each document, under the key of its version."""
+
+    def keyed(some: DataFrame) -> DataFrame:
+        with_key = some.withColumn("version", F.xxhash64("text")).join(versions, ["doc_id", "version"], "left")
+        return with_key.select(F.coalesce("key", "doc_id").alias("doc_id"), "text", F.col("key").isNotNull().alias("known"))
+
+    some, rest = join_some(texts, versions, "doc_id", keyed)
+    once = some.filter("known").dropDuplicates(["doc_id"])
+    return once.unionByName(some.filter("not known")).drop("known").unionByName(rest)
+
+
+def _with_ids(found: DataFrame, versions: DataFrame) -> DataFrame:
+    """Passages of keyed documents under their ids, with the version of the later document."""
+    names = versions.select(F.col("key").alias("__key"), F.col("doc_id").alias("__id"), F.col("version").alias("version"))
+    later = found.join(names, found["doc_id"] == names["__key"], "left")
+    later = later.withColumn("doc_id", F.coalesce("__id", "doc_id")).drop("__key", "__id")
+    origins = names.select(F.col("__key").alias("__key2"), F.col("__id").alias("__id2"))
+    both = later.join(origins, F.col("origin_id") == F.col("__key2"), "left")
+    return both.withColumn("origin_id", F.coalesce("__id2", "origin_id")).drop("__key2", "__id2")
+
+
 def passages(
     docs: DataFrame, k: int = K, spread: int = SPREAD, least: int = LEAST, identity: float = IDENTITY, text: str = "text",
 ) -> DataFrame:
     """Passages that a document shares with an earlier one (by id), as word ranges."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
+    versions = _versions(texts)
+    if versions is None:
+        return _passages(texts, k, spread, least, identity).withColumn("version", F.lit(None).cast("long"))
+    return _with_ids(_passages(_by_version(texts, versions), k, spread, least, identity), versions)
+
+
+def _passages(texts: DataFrame, k: int, spread: int, least: int, identity: float) -> DataFrame:
+    """Passages of documents that have an id each."""
     seeds = kept_table(
         texts.mapInArrow(_seeding(k, spread), "doc_id bigint, key bigint, pos int, back int, lead boolean"), "seeds"
     )
@@ -558,11 +607,12 @@ def _cutting(columns: list[str], text: str):
 def without_repeats(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """The documents with every later copy of a passage cut out; the first copy stays."""
     spans = kept_table(
-        found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("__cut")), "cuts"
-    ).withColumnRenamed("doc_id", "__id")
+        found.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "end")).alias("__cut")), "cuts"
+    ).withColumnsRenamed({"doc_id": "__id", "version": "__version"})
 
     def cut(few: DataFrame) -> DataFrame:
-        joined = few.join(spans, few["doc_id"] == spans["__id"], "left").drop("__id")
+        same = spans["__version"].isNull() | (spans["__version"] == F.xxhash64(few[text]))
+        joined = few.join(spans, (few["doc_id"] == spans["__id"]) & same, "left").drop("__id", "__version")
         return joined.mapInArrow(_cutting(docs.columns, text), docs.schema)
 
     some, rest = join_some(docs, spans.select(F.col("__id").alias("doc_id")), "doc_id", cut)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldglass.llm import divergence, embedding_dedup, mixing, periodic_runs, queries, tokens, warc
+from fieldglass.llm import divergence, embedding_dedup, mixing, periodic_runs, queries, substring_dedup, tokens, warc
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, runs string, collapsed string, term string, n string"
@@ -247,3 +247,22 @@ def test_long_query_strings_count(spark):
     urls = [(f"https://a.org/p?q={tail}{k}",) for k in "ab"]
     found = [r.u for r in spark.createDataFrame(urls, "url string").select(warc.canonical_url(F.col("url")).alias("u")).collect()]
     assert found == [f"a.org/p?q={tail}{k}" for k in "ab"]
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_passages_of_repeated_ids_stay_with_their_text(spark, swap):
+    """Rows (1, A), (2, A), (2, B), where B has no word of A: only the copy of A goes."""
+    rng = random.Random(11)
+    a = " ".join(f"a{rng.randrange(10**6)}" for _ in range(80))
+    b = " ".join(f"b{rng.randrange(10**6)}" for _ in range(90))
+    c = " ".join(f"c{rng.randrange(10**6)}" for _ in range(60))
+    rows = [(1, a), (2, b if swap else a), (2, a if swap else b), (2, a), (3, f"{c} {b}"), (4, c), (4, c)]
+    docs = spark.createDataFrame([(i, t, "v") for i, t in rows], "doc_id long, text string, version string")
+    found = substring_dedup.passages(docs.drop("version")).collect()
+    assert {(r.doc_id, r.start, r.end, r.origin_id) for r in found} in (
+        {(2, 0, 80, 1), (4, 0, 60, 3), (3, 60, 150, 2)}, {(2, 0, 80, 1), (4, 0, 60, 3), (2, 0, 90, 3)})
+    kept = substring_dedup.without_repeats(docs, substring_dedup.passages(docs))
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+    left = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert left[1, a] == 1 and left[2, ""] >= 2 and left[4, ""] == 2
+    assert left[2, b] + left[3, f"{c} {b}"] == 1
