@@ -124,6 +124,10 @@ def retention(spark: SparkSession, path: str, now: Column, days: int = K.RETENTI
     Days after the cutoff are not read, days without a due event are not rewritten.
     The new version of the due days goes to scratch first, so the log is never
     read and overwritten in the same job. Returns the scratch folder.
+
+    Events of due days must not be appended while this runs: what comes between the two
+    writes would be lost. Events are dated when they are written, so with the retention of
+    whole days only a writer that back-dates events has to be held off.
     """
     cutoff = now - F.expr(f"INTERVAL {days} DAYS")
     old_days = scan_event_store(spark, path).filter(F.col("event_date") <= cutoff.cast("date"))

@@ -249,6 +249,23 @@ def build_events(v: Inputs) -> DataFrame:
     )
 
 
+@query("started_events", sql="""
+SELECT execution_id, event_type, s3_file_info AS filename, CASE WHEN id % 3 = 0 THEN '{}' ELSE metadata END AS metadata,
+  CASE WHEN id % 2 = 0 THEN 'albert-large' END AS extraction_model, '1' AS version, 'PENDING' AS anonymization_status
+FROM event_store WHERE event_type = 'WorkflowExecutionStarted'""")
+def started_events(v: Inputs) -> DataFrame:
+    """Started events with and without metadata and parameters, and the defaults of those without."""
+    model = F.struct(F.lit("albert-large").alias("llm_model"), F.lit("cni").alias("document_type"))
+    made = sinks.started_events(v.event_store.filter(F.col("event_type") == K.STARTED).withColumns({
+        "metadata": F.when(F.col("id") % 3 != 0, F.col("metadata")), "extraction_parameters": F.when(F.col("id") % 2 == 0, model),
+    }))
+    member = lambda path: F.get_json_object("event", path)
+    return made.select(
+        "execution_id", "event_type", member("$.s3_file_info").alias("filename"), member("$.metadata").alias("metadata"),
+        member("$.extraction_parameters.llm_model").alias("extraction_model"), member("$.version").alias("version"), "anonymization_status",
+    )
+
+
 _ORDINALS = """
 SELECT id, api_key, row_number() OVER (PARTITION BY api_key, date_trunc('minute', ts) ORDER BY ts, id) AS minute_count,
   row_number() OVER (PARTITION BY api_key, date_trunc('day', ts) ORDER BY ts, id) AS day_count FROM requests"""

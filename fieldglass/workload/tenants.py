@@ -38,9 +38,9 @@ def active_keys(v: Inputs) -> DataFrame:
     return T.active_key_by_prefix(v.api_keys).select("id", "prefix", "organization_id")
 
 
-@query("active_key_lookup", sql="SELECT id, prefix FROM api_keys WHERE status = 'Active' AND prefix = 'FRANCE'")
+@query("active_key_lookup", sql="SELECT id, prefix FROM api_keys WHERE status = 'Active' AND prefix = 'NATION_6'")
 def active_key_lookup(v: Inputs) -> DataFrame:
-    return T.active_key_by_prefix(v.api_keys, "FRANCE").select("id", "prefix")
+    return T.active_key_by_prefix(v.api_keys, "NATION_6").select("id", "prefix")
 
 
 @query("organization_webhooks", sql="SELECT id, url FROM webhooks WHERE organization_id = 3")
