@@ -110,10 +110,9 @@ WITH low AS (
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
   FROM benchmark),
 strings AS (
-  SELECT DISTINCT id AS item_id, least(10, len(ws)) AS m,
-         array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS string
-  FROM low, range(1, 100000) AS r(i)
-  WHERE side = 'b' AND len(ws) > 0 AND i <= len(ws) - least(10, len(ws)) + 1),
+  SELECT DISTINCT id AS item_id, m, array_to_string(ws[i : i + m - 1], ' ') AS string
+  FROM (SELECT id, ws, least(10, len(ws)) AS m, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i
+        FROM low WHERE side = 'b' AND len(ws) > 0)),
 lengths AS (SELECT DISTINCT m FROM strings),
 spots AS (
   SELECT id AS doc_id, m, unnest(range(1, len(ws) - m + 2)) AS i, ws FROM low, lengths

@@ -49,7 +49,7 @@ K, SPREAD, LEAST, IDENTITY = 8, 16, 40, 0.8
 #: Words beyond a chain in which its ends are extended.
 MARGIN = 64
 GAP_COST = 0.15
-#: Longest stretch between matches that is aligned by dynamic programming.
+#: Score of a differing word and loss of score that ends an extension.
 MISMATCH, DROP = -2, 8
 
 _U = np.uint64
