@@ -183,6 +183,25 @@ def test_reclaim_acknowledged_in_a_later_batch(spark):
     assert got == {"1": ("requeue", 1), "3": ("dlq", None)}
 
 
+def test_reclaim_keeps_state_per_bucket_of_messages(spark):
+    schema = "msg_id int, at timestamp, kind string, retries int, data string"
+    rows = [[(i, t(i % 50), "delivered", i % 5, f"m{i}") for i in range(4000)] + [(5000, t(200), "delivered", 2, "new")],
+            # an older delivery that comes later does not count, an acknowledgement does
+            [(5000, t(150), "delivered", 1, "old")] + [(i, t(60), "acked", 0, None) for i in range(0, 4000, 2)],
+            [(9000, t(2000), "acked", 0, None)]]
+    path, out = folder(), folder()
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = read_message_stream(spark, path, schema, "parquet", slots=1)
+    query = run_available(SS.reclaim_stream(stream, late_s=100), path=out, settings=SS.ROCKSDB, partitions=4)
+    got = {(r.msg_id, r.data, r.route, r.reason, r.next_retries) for r in spark.read.parquet(out).collect()}
+    want = {(str(i), f"m{i}", "requeue", None, i % 5 + 1) if i % 5 < 3 else (str(i), f"m{i}", "dlq", "max_retries_exceeded", None)
+            for i in range(1, 4000, 2)}
+    assert got == want | {("5000", "new", "requeue", None, 3)}
+    # some rows of state per bucket, not some per message
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < 2000
+
+
 LOGGED = "id int, execution_id string, workflow_id string, organization_id int, created_at timestamp, event_type string"
 
 
