@@ -58,7 +58,8 @@ MAX_DELIVERIES = 3
 IDLE_MS = 300_000
 #: Length of a band of event time in the streaming status.
 STATUS_BAND_SECONDS = 86_400
-# Parts that the timer-driven stream of deliveries deals its state to, fixed for the life of a checkpoint.
+# Parts that the timer-driven streams deal their state to, fixed for the life of a checkpoint.
+AWAIT_BUCKETS = 64
 RECLAIM_BUCKETS = 256
 STREAM_MAXLEN = 1000
 WEBHOOK_RETRIES = 3

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import events as E
-from ..session import scratch_dir
+from ..session import drop_folder, scratch_dir
 from ..sources.streams import read_message_stream
 from ..streaming import pipeline as SP
 from ..streaming import quota as SQ
@@ -51,11 +51,15 @@ def feed(v: Inputs, view: str, time: str, number: str, delay: int = DELAY) -> st
     """
     path = scratch_dir(v.spark, "feed")
     rows = v.__getattr__(view)
+    staged = scratch_dir(v.spark, "staged")
     arrival = F.unix_micros(F.col(time).cast("timestamp")) + F.pmod(F.col(number) * 7919, F.lit(delay or 1)) * 1_000_000
     ends = rows.agg(F.min(arrival).alias("lo"), F.max(arrival).alias("hi")).first()
     part = F.floor((arrival - F.lit(ends["lo"])) * PARTS / F.lit(ends["hi"] - ends["lo"] + 1))
+    # the view is derived by all tasks at once, only the copy into one file per part is not
+    rows.withColumn("part", part).write.partitionBy("part").parquet(staged)
     for n in range(PARTS):
-        rows.filter(part == n).coalesce(1).write.mode("append").parquet(path)
+        v.spark.read.parquet(staged).filter(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(path)
+    drop_folder(v.spark, staged)
     return path
 
 
@@ -122,7 +126,8 @@ _WAIT = 6 * 3600
 @query("stream_await", sql=event_log._await_sql(_WAIT))
 def stream_await(v: Inputs) -> DataFrame:
     out = scratch_dir(v.spark, "await")
-    waits = SS.await_with_timeout(feed_stream(v, "event_store", "created_at", "id"), _WAIT, _WAIT, late_s=DELAY)
+    waits = SS.await_with_timeout(feed_stream(v, "event_store", "created_at", "id"), _WAIT, _WAIT, late_s=DELAY,
+                                  buckets=2 * v.spark.sparkContext.defaultParallelism)
     ended = replay(v, waits, path=out, settings=SS.ROCKSDB)
     answers, behind = SS.split_late(v.spark.read.parquet(out))
     # the waits that are open when the stream ends, and no others, are answered by the batch operator

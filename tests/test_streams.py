@@ -171,6 +171,19 @@ def test_await_rows_behind_the_watermark(spark):
     assert {r.event_id for r in behind.collect()} == {5, 6, 8}
 
 
+def test_await_keeps_state_per_bucket_of_executions(spark):
+    rows = [(i, f"x{i // 2}", t(i % 2 * (i % 40)), K.STARTED if i % 2 == 0 else K.COMPLETED) for i in range(12_000)]
+    rows += [(20_000, None, t(0), K.STARTED), (20_001, None, t(3), None), (20_002, "other", t(500), K.FAILED)]
+    out = folder()
+    stream = read_message_stream(spark, files(spark, rows, AWAITED, 2), AWAITED, "parquet", slots=1)
+    query = run_available(SS.await_with_timeout(stream, 20, late_s=40), path=out, settings=SS.ROCKSDB, partitions=4)
+    got = {r.start_id: (r.status, r.result_id) for r in SS.split_late(spark.read.parquet(out))[0].collect()}
+    want = {i: ("SUCCESS", i + 1) if (i + 1) % 40 <= 20 else ("TIMEOUT", None) for i in range(0, 12_000, 2)}
+    assert got == want | {20_000: ("UNSUPPORTED", 20_001)}
+    # some rows of state per bucket and band, not some per execution
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < 6000
+
+
 def test_reclaim_acknowledged_in_a_later_batch(spark):
     schema = "msg_id int, at timestamp, kind string, retries int, data string"
     rows = [(1, t(0), "delivered", 0, "a"), (2, t(0), "delivered", 0, "b"), (3, t(1), "delivered", 3, "c"),
