@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -224,7 +226,8 @@ class Inputs:
     @property
     def label_tasks(self) -> DataFrame:
         """Nested labelling tasks, one per customer, built inside the row."""
-        return self.spark.sql(self._spark_sql(_label_tasks_sql()))
+        sql = _label_tasks_sql().replace("{", "{{").replace("}", "}}").replace("FROM customer", "FROM {customer}")
+        return self.spark.sql(sql, customer=spread(self.customer, "c_custkey"))
 
     @property
     def workflows(self) -> DataFrame:
