@@ -9,6 +9,7 @@ from .. import constants as K
 from ..catalog import FIELDS
 from ..operators import evaluation as E
 from ..operators import reports as R
+from ..sources.tables import spread
 from .registry import query
 from .scalars import _tokens
 from .views import Inputs, r6, sql_date, sql_distance_text, sql_number, sql_similarity
@@ -78,7 +79,7 @@ def typed_pairs(v: Inputs) -> DataFrame:
         for made, side in zip((truths, predictions), sides):
             made.append(f"{when}map_from_entries(filter(array({', '.join(side)}), e -> e.v IS NOT NULL))")
     chosen = lambda whens: F.expr(f"CASE c_custkey % {len(_TYPES)} {' '.join(whens)} END")
-    return v.customer.select(
+    return spread(v.customer, "c_custkey").select(
         F.col("c_custkey").alias("task_id"), F.concat(F.lit("model-"), (F.col("c_custkey") % 3).cast("string")).alias("model_version"),
         F.col("c_custkey").alias("prediction_id"), chosen(kinds).alias("document_type"), chosen(truths).alias("truth"),
         chosen(predictions).alias("prediction"), F.lit(None).cast("double").alias("processing_time_ms"),

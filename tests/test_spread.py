@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fieldglass.workload import all_types
 from fieldglass.workload.views import Inputs
 
 DATA = "/root/testdata/sf0.01"
@@ -12,7 +13,7 @@ def tasks_of(df):
     return df.groupBy(F.spark_partition_id().alias("p")).count().count()
 
 
-@pytest.mark.parametrize("rows", [lambda v: v.label_tasks], ids=["label_tasks"])
+@pytest.mark.parametrize("rows", [lambda v: v.label_tasks, all_types.typed_pairs], ids=["label_tasks", "typed_pairs"])
 def test_customers_are_dealt_to_all_cores(spark, rows):
     made = rows(Inputs(spark, DATA))
     assert tasks_of(made) >= spark.sparkContext.defaultParallelism
