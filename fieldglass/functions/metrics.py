@@ -65,10 +65,14 @@ def compare_deep_typed(expected: Column, predicted: Column, dtype: T.DataType) -
 JSON_LEVELS = 12
 
 
+def json_brackets(text: ColumnOrName) -> Column:
+    """The brackets of a JSON text; those inside strings do not count."""
+    return F.regexp_replace(_c(text), r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\[\]{}"]++|"', "")
+
+
 def json_depth(text: ColumnOrName) -> Column:
     """How deep brackets nest in a JSON text; brackets inside strings do not count."""
-    outside = F.regexp_replace(_c(text), r'"(?:[^"\\]|\\.)*"', "")
-    steps = F.split(F.regexp_replace(outside, r"[^\[\]{}]", ""), "")
+    steps = F.split(json_brackets(text), "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def walk(at: Column, ch: Column) -> Column:
@@ -80,8 +84,7 @@ def json_depth(text: ColumnOrName) -> Column:
 
 def _leaf(value: Column) -> Column:
     """A scalar as text; whole numbers and fractions stay apart, as they do in a deep comparison."""
-    kind = F.schema_of_variant(value)
-    fraction = kind.startswith("DECIMAL") | (kind == "DOUBLE")
+    fraction = F.schema_of_variant(value).rlike("^(DECIMAL|DOUBLE$)")
     number = F.try_variant_get(value, "$", "double") + F.lit(0.0)
     return F.when(fraction, F.concat(F.lit("f"), number.cast("string"))).otherwise(F.to_json(value))
 
@@ -90,23 +93,30 @@ def _canonical(value: Column, levels: int) -> Column:
     """Digest of a VARIANT that is equal for equal values whatever the order of list items.
 
     A container's digest is made of the sorted digests of its members, so each level of the
-    value is one level of this expression, and what a level hands up has a fixed size.
+    value is one level of this expression, and what a level hands up has a fixed size. The
+    kind of container is its first member, so a value is opened once: what is neither a list
+    nor a map has no members, thus no digest, and is a scalar.
     """
     if not levels:
         return F.to_json(value)
-    listed = F.try_variant_get(value, "$", "array<variant>")
+
+    def member(key: Column, of: Column) -> Column:
+        return F.struct(key.alias("key"), of.alias("value"))
+
+    def kind(bracket: str) -> Column:
+        return F.array(member(F.lit(bracket), F.lit(None).cast("variant")))
+
     members = F.coalesce(
-        F.transform(listed, lambda x: F.struct(F.lit("").alias("key"), x.alias("value"))),
-        F.transform(
+        F.concat(kind("["), F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: member(F.lit(""), x))),
+        F.concat(kind("{"), F.transform(
             F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")),
-            lambda e: F.struct(F.concat(F.to_json(F.struct(e["key"].alias("k"))), F.lit(":")).alias("key"), e["value"].alias("value")),
-        ),
+            lambda e: member(F.concat(F.to_json(F.struct(e["key"].alias("k"))), F.lit(":")), e["value"]),
+        )),
     )
-    digests = F.array_sort(F.array_distinct(
+    digests = F.sort_array(F.array_distinct(
         F.transform(members, lambda m: F.concat(m["key"], F.coalesce(_canonical(m["value"], levels - 1), F.lit("null"))))
     ))
-    whole = F.md5(F.array_join(digests, ",").cast("binary"))
-    return F.when(members.isNull(), _leaf(value)).otherwise(F.concat(F.when(listed.isNull(), "{").otherwise("["), whole))
+    return F.coalesce(F.concat(F.lit("#"), F.md5(F.array_join(digests, ",").cast("binary"))), _leaf(value))
 
 
 def canonical_json(value: ColumnOrName, levels: int = JSON_LEVELS) -> Column:

@@ -107,8 +107,10 @@ def deep_json_scores(pairs: DataFrame, expected: str = "expected", predicted: st
     spark, setting = pairs.sparkSession, "spark.sql.analyzer.maxIterations"
     if levels is None:
         differ = pairs.filter(~F.col(expected).eqNullSafe(F.col(predicted)))
-        depth = F.max(F.greatest(metrics.json_depth(expected), metrics.json_depth(predicted)))
-        levels = differ.agg(depth.alias("depth")).first()["depth"] or 0
+        # texts of one shape have the same brackets, which are walked through once
+        sides = F.explode(F.array(metrics.json_brackets(expected), metrics.json_brackets(predicted)))
+        shapes = differ.select(sides.alias("shape")).distinct()
+        levels = shapes.agg(F.max(metrics.json_depth("shape")).alias("depth")).first()["depth"] or 0
     # names of a level are resolved after those of the level around it
     before = spark.conf.get(setting)
     spark.conf.set(setting, max(int(before), 8 * levels + 50))

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fieldglass.workload import all_types
+from fieldglass.operators import evaluation as E
+from fieldglass.workload import all_types, scalars
 from fieldglass.workload.views import Inputs
 
 DATA = "/root/testdata/sf0.01"
@@ -18,3 +19,17 @@ def test_customers_are_dealt_to_all_cores(spark, rows):
     made = rows(Inputs(spark, DATA))
     assert tasks_of(made) >= spark.sparkContext.defaultParallelism
     assert made.count() == Inputs(spark, DATA).customer.count()
+
+
+@pytest.mark.parametrize("name", ["deep_compare_nested"])
+def test_deep_comparisons_are_dealt_to_all_cores(spark, name):
+    compared = getattr(scalars, name)(Inputs(spark, DATA))
+    assert tasks_of(compared) >= spark.sparkContext.defaultParallelism
+
+
+def test_empty_containers_and_scalars_stay_apart(spark):
+    rows = [("[]", "{}", 0.0), ("[[]]", "[{}]", 0.0), ("[null]", "[]", 0.0), ('["[null"]', "[]", 0.0), ('{"a":[]}', '{"a": []}', 1.0),
+            ('["[", 1]', '[1, "["]', 1.0), ('"]"', '"["', 0.0)]
+    df = spark.createDataFrame([(i, e, p) for i, (e, p, _) in enumerate(rows)], "id int, expected string, predicted string")
+    got = [r.score for r in E.deep_json_scores(df).orderBy("id").collect()]
+    assert got == [want for _, _, want in rows]
