@@ -95,8 +95,11 @@ def experiment_with_observations(experiments: DataFrame, observations: DataFrame
 
 def export_experiments(experiments: DataFrame, observations: DataFrame,
                        results: Column) -> DataFrame:
-    """Experiment columns plus the observation rebuilt as JSON text, one row each."""
-    rebuilt = observations.select(
+    """Experiment columns plus the observation rebuilt as JSON text, one row each.
+
+    The text is built after the join, so that only the values are dealt and sorted.
+    """
+    values = observations.select(
         "experiment_id",
         F.struct(
             "task_id",
@@ -105,9 +108,10 @@ def export_experiments(experiments: DataFrame, observations: DataFrame,
             "score",
             "processing_time_ms",
             F.coalesce(results, F.lit("{}")).alias("observation"),
-        ).alias("o"),
-    ).select("experiment_id", F.to_json("o").alias("observation"))
-    return experiment_with_observations(experiments, rebuilt)
+        ).alias("observation"),
+    )
+    joined = experiment_with_observations(experiments, values)
+    return joined.withColumn("observation", F.to_json("observation"))
 
 
 def delete_cascade(

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldglass.operators import evaluation as E
+from fieldglass.operators import experiments as X
 from fieldglass.workload import all_types, scalars
 from fieldglass.workload.views import Inputs
 
@@ -33,3 +34,51 @@ def test_empty_containers_and_scalars_stay_apart(spark):
     df = spark.createDataFrame([(i, e, p) for i, (e, p, _) in enumerate(rows)], "id int, expected string, predicted string")
     got = [r.score for r in E.deep_json_scores(df).orderBy("id").collect()]
     assert got == [want for _, _, want in rows]
+
+
+@pytest.fixture
+def sorted_joins(spark):
+    """Joins by sorting, as on large tables, and small limits of what counts as a busy key."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield spark
+    for name in settings:
+        spark.conf.unset(name)
+
+
+@pytest.fixture
+def busy(sorted_joins):
+    """One experiment with half of all observations."""
+    runs = sorted_joins.range(2000).select("id", F.lit("m").alias("metric_name"))
+    made = sorted_joins.range(40000).select(
+        F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 1000).alias("experiment_id"), F.col("id").alias("task_id"),
+        F.col("id").alias("prediction_id"), F.lit("v").alias("model_version"), F.rand(1).alias("score"),
+        F.rand(2).alias("processing_time_ms"),
+    )
+    return runs, made
+
+
+def _busiest(df):
+    return df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+
+
+def test_experiment_export_joins_in_many_small_parts(spark, sorted_joins):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    v = Inputs(spark, DATA)
+    joined = X.experiment_with_observations(v.experiment_runs, v.observations)
+    assert tasks_of(joined) >= 4 * spark.sparkContext.defaultParallelism
+    plan = X.export_experiments(v.experiment_runs, v.observations, F.lit("{}"))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join "):]
+    assert "Json" in plan and "Json" not in below[:below.index("Relation")]  # built of joined rows
+
+
+def test_experiment_export_splits_a_busy_experiment(busy):
+    runs, made = busy
+    out = X.export_experiments(runs, made, F.lit("{}"))
+    assert out.count() == 40000 + 1500
+    assert _busiest(out) < 20000
