@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.protect import observation_without_values
 from .events import page
-from .slices import join_children
+from .slices import finely, join_children
 
 
 def filter_experiments(experiments: DataFrame, project_id=None, metric_name=None) -> DataFrame:
@@ -119,7 +119,7 @@ def delete_cascade(
     parent_key: str = "id", child_key: str = "experiment_id",
 ) -> tuple[DataFrame, DataFrame]:
     """Parents and children that remain after deleting ``ids`` (column ``id``)."""
-    gone = ids.select(F.col("id").alias("__gone")).distinct()
+    gone = finely(ids.select(F.col("id").alias("__gone")).distinct(), "__gone")
     return (
         parents.join(gone, parents[parent_key] == gone["__gone"], "left_anti"),
         children.join(gone, children[child_key] == gone["__gone"], "left_anti"),

@@ -82,3 +82,18 @@ def test_experiment_export_splits_a_busy_experiment(busy):
     out = X.export_experiments(runs, made, F.lit("{}"))
     assert out.count() == 40000 + 1500
     assert _busiest(out) < 20000
+
+
+def test_experiment_delete_joins_in_many_small_parts(spark, sorted_joins):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    v = Inputs(spark, DATA)
+    gone = v.experiment_runs.filter("status = 'failed'").select("id")
+    for left in X.delete_cascade(v.experiment_runs, v.observations, gone):
+        assert tasks_of(left) >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_experiment_delete_splits_a_busy_experiment(busy):
+    runs, made = busy
+    _, left = X.delete_cascade(runs, made, runs.filter("id > 500"))
+    assert left.count() == 20000 + 10000
+    assert _busiest(left) < 20000
