@@ -167,29 +167,18 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     return ranked.groupBy(*keys).agg(((low + high) / 2).alias(name))
 
 
-def finely(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows dealt by ``keys`` to four tasks per core, or to as many as shuffles have if that is more.
-
-    For the side of a join that is never dealt otherwise, parents or keys: Spark deals the other
-    side alike, leaves it where it is when this one is broadcast, and does not put
-    the parts together again into a few large ones, whose sort would fill a task's memory.
-    """
-    spark = rows.sparkSession
-    return rows.repartition(
-        max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys
-    )
-
-
 def join_children(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str) -> DataFrame:
     """Left outer join of parents with many children each.
 
     The plan of an outer join cannot split a busy key on its null-supplying side,
     that of an inner join can. So matching rows come from an inner join, and parents
     without children are added from an anti join against the distinct child keys.
+    The narrow sides, parents and distinct keys, are hashed, so no task sorts its children:
+    its memory follows the parents in a partition, and busy keys can still be split.
     """
-    parents = finely(parents, parent_key)
     keyed = children.withColumnRenamed(child_key, "__child")
-    matched = parents.join(keyed, parents[parent_key] == keyed["__child"]).drop("__child")
-    seen = keyed.select("__child").distinct()
+    hashed = parents.hint("shuffle_hash")
+    matched = hashed.join(keyed, parents[parent_key] == keyed["__child"]).drop("__child")
+    seen = keyed.select("__child").distinct().hint("shuffle_hash")
     alone = parents.join(seen, parents[parent_key] == seen["__child"], "left_anti")
     return matched.unionByName(alone, allowMissingColumns=True)

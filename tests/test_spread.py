@@ -37,12 +37,12 @@ def test_empty_containers_and_scalars_stay_apart(spark):
 
 
 @pytest.fixture
-def sorted_joins(spark):
-    """Joins by sorting, as on large tables, and small limits of what counts as a busy key."""
+def large(spark):
+    """Settings under which small tables are joined like large ones."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k",
     }
     for name, value in settings.items():
         spark.conf.set(name, value)
@@ -52,10 +52,10 @@ def sorted_joins(spark):
 
 
 @pytest.fixture
-def busy(sorted_joins):
-    """One experiment with half of all observations."""
-    runs = sorted_joins.range(2000).select("id", F.lit("m").alias("metric_name"))
-    made = sorted_joins.range(40000).select(
+def busy(large):
+    """Experiments and observations; one experiment has half of all observations."""
+    runs = large.range(2000).select("id", F.lit("m").alias("metric_name"))
+    made = large.range(0, 1000000, 1, 8).select(
         F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 1000).alias("experiment_id"), F.col("id").alias("task_id"),
         F.col("id").alias("prediction_id"), F.lit("v").alias("model_version"), F.rand(1).alias("score"),
         F.rand(2).alias("processing_time_ms"),
@@ -63,37 +63,30 @@ def busy(sorted_joins):
     return runs, made
 
 
-def _busiest(df):
-    return df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
-
-
-def test_experiment_export_joins_in_many_small_parts(spark, sorted_joins):
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
-    v = Inputs(spark, DATA)
-    joined = X.experiment_with_observations(v.experiment_runs, v.observations)
-    assert tasks_of(joined) >= 4 * spark.sparkContext.defaultParallelism
-    plan = X.export_experiments(v.experiment_runs, v.observations, F.lit("{}"))._jdf.queryExecution().optimizedPlan().toString()
-    below = plan[plan.index("Join "):]
-    assert "Json" in plan and "Json" not in below[:below.index("Relation")]  # built of joined rows
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_experiment_export_splits_a_busy_experiment(busy):
-    runs, made = busy
-    out = X.export_experiments(runs, made, F.lit("{}"))
-    assert out.count() == 40000 + 1500
-    assert _busiest(out) < 20000
+def _busiest(df):
+    """Rows of the largest task; all columns are read, since their bytes decide the tasks."""
+    rows = df.withColumn("p", F.spark_partition_id())
+    counts = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.max(F.xxhash64(*rows.columns)))
+    return counts.agg(F.max("n")).first()[0]
 
 
-def test_experiment_delete_joins_in_many_small_parts(spark, sorted_joins):
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
-    v = Inputs(spark, DATA)
-    gone = v.experiment_runs.filter("status = 'failed'").select("id")
-    for left in X.delete_cascade(v.experiment_runs, v.observations, gone):
-        assert tasks_of(left) >= 4 * spark.sparkContext.defaultParallelism
+def test_experiment_export_sorts_no_observations(busy):
+    out = X.export_experiments(*busy, F.lit("{}"))
+    assert "Sort" not in _plan(out)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join "):]
+    assert "Json" in plan and "Json" not in below[:below.index("Range")]  # built of joined rows
+    assert out.count() == 1000000 + 1500
+    assert _busiest(out) < 200000
 
 
-def test_experiment_delete_splits_a_busy_experiment(busy):
+def test_experiment_delete_sorts_no_observations(busy):
     runs, made = busy
-    _, left = X.delete_cascade(runs, made, runs.filter("id > 500"))
-    assert left.count() == 20000 + 10000
-    assert _busiest(left) < 20000
+    kept, left = X.delete_cascade(runs, made, runs.filter("id > 500").unionByName(runs.filter("id > 900")))
+    assert "Sort" not in _plan(kept) + _plan(left)
+    assert (kept.count(), left.count()) == (501, 500000 + 250000)
+    assert _busiest(left) < 200000
