@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.protect import observation_without_values
 from .events import page
-from .slices import finely, join_children
+from .slices import join_children
 
 
 def filter_experiments(experiments: DataFrame, project_id=None, metric_name=None) -> DataFrame:
@@ -118,8 +118,11 @@ def delete_cascade(
     parents: DataFrame, children: DataFrame, ids: DataFrame,
     parent_key: str = "id", child_key: str = "experiment_id",
 ) -> tuple[DataFrame, DataFrame]:
-    """Parents and children that remain after deleting ``ids`` (column ``id``)."""
-    gone = finely(ids.select(F.col("id").alias("__gone")).distinct(), "__gone")
+    """Parents and children that remain after deleting ``ids`` (column ``id``).
+
+    The ids are hashed, so that no task sorts the rows they are held against.
+    """
+    gone = ids.select(F.col("id").alias("__gone")).distinct().hint("shuffle_hash")
     return (
         parents.join(gone, parents[parent_key] == gone["__gone"], "left_anti"),
         children.join(gone, children[child_key] == gone["__gone"], "left_anti"),
