@@ -120,9 +120,10 @@ def delete_cascade(
 ) -> tuple[DataFrame, DataFrame]:
     """Parents and children that remain after deleting ``ids`` (column ``id``).
 
-    The ids are hashed, so that no task sorts the rows they are held against.
+    The ids are hashed, so that no task sorts the rows they are held against. Repeated ids
+    are left in: an aggregate of them would keep Spark from splitting a busy key.
     """
-    gone = ids.select(F.col("id").alias("__gone")).distinct().hint("shuffle_hash")
+    gone = ids.select(F.col("id").alias("__gone")).hint("shuffle_hash")
     return (
         parents.join(gone, parents[parent_key] == gone["__gone"], "left_anti"),
         children.join(gone, children[child_key] == gone["__gone"], "left_anti"),
