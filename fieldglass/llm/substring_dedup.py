@@ -17,6 +17,10 @@
    places, every window of ``least`` words meets the first place with the same words. Windows
    that hold a word not reported yet are chained and aligned like the rest. So every word of
    an exact passage of ``least`` words that lies somewhere before is reported.
+6. Edited copies that met no other holder in step 2: two seeds that lie close enough to begin a
+   chain, one of them with a word not reported yet, meet every earlier place of the same two
+   seeds, in all documents that hold them. What is reported is left out, so the many copies of
+   a passage are not compared with each other.
 
 A passage is reported for the later document, with the earlier one as its origin, once for
 each of its places there. A passage that recurs inside one document is reported at its later
@@ -467,6 +471,61 @@ def _missed(texts: DataFrame, seeds: DataFrame, many: DataFrame, found: DataFram
     return kept_table(lists.mapInPandas(_running(k, width), CHAINS), "chains")
 
 
+def _close_seeds(k: int):
+    """Per document: pairs of its seeds that may follow each other at the start of a chain; open are those with a word not reported yet."""
+    limit = k / GAP_COST
+
+    def run(frames) -> Iterator:
+        import pandas as pd
+
+        for frame in frames:
+            out = []
+            for doc, pos, keys, spans in zip(frame["doc_id"], frame["pos"], frame["keys"], frame["spans"]):
+                order = np.argsort(pos, kind="stable")
+                at, key = np.asarray(pos, np.int64)[order], np.asarray(keys, np.int64)[order]
+                covered = np.zeros(int(at[-1]) + k + 1, np.int32)
+                for x in [] if spans is None else spans:
+                    covered[min(x["start"], len(covered) - 1)] += 1
+                    covered[min(x["end"], len(covered) - 1)] -= 1
+                bare = np.concatenate(([0], np.cumsum(np.cumsum(covered)[:-1] <= 0)))
+                free = bare[at + k] > bare[at]
+                for step in range(1, len(at)):
+                    gap = at[step:] - at[:-step]
+                    near = np.flatnonzero(gap + 1 < limit)
+                    if not len(near):
+                        break
+                    out.append(pd.DataFrame({
+                        "doc_id": doc, "k1": key[near], "k2": key[near + step], "pos": at[near].astype(np.int32),
+                        "gap": gap[near].astype(np.int32), "open": free[near] | free[near + step],
+                    }))
+            if out:
+                yield pd.concat(out)
+
+    return run
+
+
+def _between(hits: DataFrame, found: DataFrame, k: int, spread: int) -> DataFrame:
+    """Chains of what is not reported yet with every earlier document that holds two close seeds of it.
+
+    Keys of two documents are left out: these have met already.
+    """
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    places = hits.filter("lead and docs > 2").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "key")).alias("m"))
+    listed = places.join(spans, "doc_id", "left").select("doc_id", F.col("m.pos").alias("pos"), F.col("m.key").alias("keys"), "spans")
+    close = kept_table(
+        listed.mapInPandas(_close_seeds(k), "doc_id bigint, k1 bigint, k2 bigint, pos int, gap int, open boolean"), "close-seeds"
+    )
+    mine = close.filter("open").select(F.col("doc_id").alias("a"), "k1", "k2", F.col("pos").alias("i"), F.col("gap").alias("di"))
+    theirs = close.select(F.col("doc_id").alias("b"), "k1", "k2", F.col("pos").alias("j"), F.col("gap").alias("dj"))
+    met = mine.join(theirs, ["k1", "k2"]).filter((F.col("a") > F.col("b")) & (F.col("di") + F.col("dj") < k / GAP_COST))
+    second = F.struct((F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"))
+    matches = met.select("a", "b", F.explode(F.array(F.struct("i", "j"), second)).alias("m"))
+    pairs = matches.groupBy("a", "b").agg(F.collect_set("m").alias("m")).select(
+        "a", "b", F.col("m.i").alias("i"), F.col("m.j").alias("j")
+    )
+    return kept_table(pairs.mapInPandas(_chaining(k, spread), CHAINS), "chains")
+
+
 #: Keys of the further texts of repeated ids begin here.
 FURTHER = 1 << 62
 
@@ -523,7 +582,8 @@ def _passages(texts: DataFrame, k: int, spread: int, least: int, identity: float
         texts.mapInArrow(_seeding(k, spread), "doc_id bigint, key bigint, pos int, back int, lead boolean"), "seeds"
     )
     ends = kept_table(seeds.groupBy("key").agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("back") == 0).alias("docs"),
     ).filter("n > 1"), "ends")
     hits = kept_table(seeds.join(ends.filter("lo <> hi").drop("n"), "key"), "hits")
     # every place in the later document against the first place in the earlier one; the last
@@ -551,7 +611,8 @@ def _passages(texts: DataFrame, k: int, spread: int, least: int, identity: float
 
     found = kept_table(_aligned(texts, chains, k, least, identity), "passages")
     rest = _missed(texts, seeds, ends.select("key"), found, k, spread, least)
-    return found.unionByName(_aligned(texts, rest, k, least, identity))
+    found = kept_table(found.unionByName(_aligned(texts, rest, k, least, identity)), "passages")
+    return found.unionByName(_aligned(texts, _between(hits, found, k, spread), k, least, identity))
 
 
 def _aligned(texts: DataFrame, chains: DataFrame, k: int, least: int, identity: float) -> DataFrame:

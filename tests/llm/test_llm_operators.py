@@ -258,6 +258,26 @@ def test_every_place_of_a_passage_is_cut(spark):
     assert got[3] == " ".join([own, texts[3][1], texts[3][3]]).split() and len(got[4]) < 40
 
 
+def test_edited_copies_meet_holders_between(spark):
+    """The first and the last holder of every seed are others, and no 40 words in a row are equal."""
+    rng = np.random.default_rng(11)
+
+    def words(n):
+        return [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+
+    passage = words(120)
+    edited = [f"x{n}" if n % 30 == 15 else w for n, w in enumerate(passage)]
+    rows = []
+    for n in range(7):  # every seed lies in a part of 39 words, too short to be reported
+        part = passage[15 * n : 15 * n + 39]
+        rows += [(n, words(60) + part + words(60)), (100 + n, words(60) + part + words(60))]
+    rows += [(50, words(80) + passage + words(80)), (51, words(80) + edited + words(80))]
+    data = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = [r for r in substring_dedup.passages(data).collect() if r["doc_id"] == 51 and r["origin_id"] == 50]
+    assert max(r["end"] - r["start"] for r in found) >= 100
+    assert all(80 <= r["start"] + 3 and r["end"] <= 203 for r in found)
+
+
 def test_cut_passages(spark, docs):
     out = substring_dedup.without_repeats(docs, substring_dedup.passages(docs))
     assert out.schema == docs.schema and out.count() == docs.count()
