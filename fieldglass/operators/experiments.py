@@ -97,7 +97,7 @@ def export_experiments(experiments: DataFrame, observations: DataFrame,
                        results: Column) -> DataFrame:
     """Experiment columns plus the observation rebuilt as JSON text, one row each.
 
-    The text is built after the join, so that only the values are dealt and sorted.
+    The text is built after the join, so that only the values are shuffled.
     """
     values = observations.select(
         "experiment_id",
