@@ -20,7 +20,8 @@
 6. Edited copies that met no other holder in step 2: two seeds that lie close enough to begin a
    chain, one of them with a word not reported yet, meet every earlier place of the same two
    seeds, in all documents that hold them. What is reported is left out, so the many copies of
-   a passage are not compared with each other.
+   a passage are not compared with each other. Of two seeds with many places, as in a line too
+   short to be a passage, only those meet that agree again around it (``_promising``).
 
 A passage is reported for the later document, with the earlier one as its origin, once for
 each of its places there. A passage that recurs inside one document is reported at its later
@@ -47,7 +48,7 @@ from pyspark.sql import types as T
 
 from .filters import bitmap_of, hit, join_some, slot_of
 from .graph import kept_table
-from .tokens import NOT_SPACE, chunks, tokenize, window_hashes
+from .tokens import NOT_SPACE, chunks, join_hash, tokenize, window_hashes
 
 K, SPREAD, LEAST, IDENTITY = 8, 16, 40, 0.8
 #: Words beyond a chain in which its ends are extended.
@@ -471,59 +472,235 @@ def _missed(texts: DataFrame, seeds: DataFrame, many: DataFrame, found: DataFram
     return kept_table(lists.mapInPandas(_running(k, width), CHAINS), "chains")
 
 
-def _close_seeds(k: int):
-    """Per document: pairs of its seeds that may follow each other at the start of a chain; open are those with a word not reported yet."""
-    limit = k / GAP_COST
+#: Rows that a Python task gathers before it hands them on.
+ROWS_AT_A_TIME = 100_000
 
-    def run(frames) -> Iterator:
-        import pandas as pd
 
+def _gathered(parts: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator:
+    """Frames of about ROWS_AT_A_TIME rows from tuples of columns of equal length."""
+    import pandas as pd
+
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= ROWS_AT_A_TIME:
+            yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(names, zip(*held))})
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(names, zip(*held))})
+
+
+def _free_seeds(k: int):
+    """The seeds of a document one by one; free are those with a word not reported yet, late those of which an earlier document holds the key."""
+
+    def parts(frames) -> Iterator:
         for frame in frames:
-            out = []
-            for doc, pos, keys, spans in zip(frame["doc_id"], frame["pos"], frame["keys"], frame["spans"]):
-                order = np.argsort(pos, kind="stable")
-                at, key = np.asarray(pos, np.int64)[order], np.asarray(keys, np.int64)[order]
-                covered = np.zeros(int(at[-1]) + k + 1, np.int32)
+            for doc, pos, keys, los, spans in zip(*(frame[c] for c in ("doc_id", "pos", "keys", "los", "spans"))):
+                at = np.asarray(pos, np.int64)
+                covered = np.zeros(int(at.max()) + k + 1, np.int32)
                 for x in [] if spans is None else spans:
                     covered[min(x["start"], len(covered) - 1)] += 1
                     covered[min(x["end"], len(covered) - 1)] -= 1
                 bare = np.concatenate(([0], np.cumsum(np.cumsum(covered)[:-1] <= 0)))
-                free = bare[at + k] > bare[at]
+                yield np.full(len(at), doc), np.asarray(keys), at.astype(np.int32), bare[at + k] > bare[at], np.asarray(los) < doc
+
+    return lambda frames: _gathered(parts(frames), ["doc_id", "key", "pos", "free", "late"])
+
+
+def _close_seeds(k: int):
+    """Per document: pairs of its seeds that may follow each other at the start of a chain, one of them live; open are those with a word not reported yet."""
+    limit = k / GAP_COST
+
+    def parts(frames) -> Iterator:
+        for frame in frames:
+            for doc, pos, keys, free, live in zip(*(frame[c] for c in ("doc_id", "pos", "keys", "free", "live"))):
+                order = np.argsort(pos, kind="stable")
+                at, key = np.asarray(pos, np.int64)[order], np.asarray(keys, np.int64)[order]
+                free, live = np.asarray(free, bool)[order], np.asarray(live, bool)[order]
                 for step in range(1, len(at)):
                     gap = at[step:] - at[:-step]
-                    near = np.flatnonzero(gap + 1 < limit)
-                    if not len(near):
+                    close = gap + 1 < limit
+                    if not close.any():
                         break
-                    out.append(pd.DataFrame({
-                        "doc_id": doc, "k1": key[near], "k2": key[near + step], "pos": at[near].astype(np.int32),
-                        "gap": gap[near].astype(np.int32), "open": free[near] | free[near + step],
-                    }))
-            if out:
-                yield pd.concat(out)
+                    near = np.flatnonzero(close & (live[step:] | live[:-step]))
+                    yield (
+                        np.full(len(near), doc), key[near], key[near + step], at[near].astype(np.int32),
+                        gap[near].astype(np.int32), free[near] | free[near + step],
+                    )
+
+    return lambda frames: _gathered(parts(frames), ["doc_id", "k1", "k2", "pos", "gap", "open"])
+
+
+def _around(k: int):
+    """The words of a pair of seeds with what lies between them, and up to MARGIN words before and after."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        types = [pa.int64()] * 3 + [pa.bool_()] + [pa.list_(pa.int32())] * 3
+        for batch in batches:
+            pairs = batch.column("m")
+            for part, texts in chunks(batch.column("text")):
+                found = tokenize(texts)
+                words = (found.hashes >> _U(32)).astype(np.uint32).view(np.int32)
+                for n, t in enumerate(range(part.start, part.stop)):
+                    rows = []
+                    doc, own = batch.column("doc_id")[t].as_py(), words[found.first[n] : found.first[n + 1]]
+                    for x in pairs[t].as_py():
+                        i, e = x["pos"], x["pos"] + x["gap"] + k
+                        rows.append({
+                            "doc_id": doc, "k1": x["k1"], "k2": x["k2"], "open": x["open"], "core": own[i:e],
+                            "before": own[max(i - MARGIN, 0) : i], "after": own[e : e + MARGIN],
+                        })
+                    if rows:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([r[c] for r in rows], kind) for c, kind in zip(rows[0], types)], names=list(rows[0])
+                        )
+
+    return run
+
+
+def _marks(k: int):
+    """What two places of a pair of seeds have in common where they agree again before or after the seeds.
+
+    Equal marks with different ``other`` are equal words behind a word that differs: three at
+    the same distance, or ``k`` at any that a chain can skip. An extension without gaps has
+    the first (it gains by one word and loses by two), a further match of a chain the second.
+    """
+    reach = int(np.ceil(k / GAP_COST)) - 2 * k
+
+    def parts(frames) -> Iterator:
+        for frame in frames:
+            for doc, k1, k2, mine, before, after in zip(*(frame[c] for c in ("doc_id", "k1", "k2", "mine", "before", "after"))):
+                pair = join_hash(np.array([k1], np.int64).view(_U), np.array([k2], np.int64).view(_U))
+                for side, words in enumerate((np.asarray(before)[::-1], np.asarray(after))):
+                    hashes = words.astype(np.int32).view(np.uint32).astype(_U)
+                    three, many = window_hashes(hashes, 3)[1:], window_hashes(hashes[: reach + k], k)
+                    at = np.arange(1, len(three) + 1)
+                    many, first = np.unique(many, return_index=True)
+                    before_it = np.concatenate(([0], words))[first]  # beside the seeds the same for all
+                    marks = np.concatenate((join_hash(three, at.astype(_U) * _U(4) + _U(side)), join_hash(many, np.full(len(many), 2 + side, _U))))
+                    others = np.concatenate((words[: len(three)], before_it)).astype(np.int32)
+                    yield join_hash(marks, np.full(len(marks), pair[0], _U)).view(np.int64), others, np.full(len(marks), doc), np.full(len(marks), mine)
+
+    return lambda frames: _gathered(parts(frames), ["mark", "other", "doc_id", "mine"])
+
+
+def _lacking(least: int, identity: float):
+    """Equal words that two different stretches between the same seeds need around them to be a passage."""
+
+    def run(frames) -> Iterator:
+        import pandas as pd
+
+        for frame in frames:
+            out = []
+            for k1, k2, c1, c2, x, y in zip(*(frame[c] for c in ("k1", "k2", "c1", "c2", "core", "core2"))):
+                columns = max(len(x), len(y))
+                total = int(np.ceil((columns - _agreeing(np.asarray(x), np.asarray(y))) / (1 - identity) - 1e-9))
+                more = max(least, total) - columns
+                if more <= MARGIN:
+                    out.append((k1, k2, c1, c2, max(more, 0)))
+            yield pd.DataFrame(out, columns=["k1", "k2", "c1", "c2", "more"])
 
     return run
 
 
-def _between(hits: DataFrame, found: DataFrame, k: int, spread: int) -> DataFrame:
-    """Chains of what is not reported yet with every earlier document that holds two close seeds of it.
+#: Places of a pair of seeds up to which all of them meet.
+FEW = 64
+
+
+def _promising(texts: DataFrame, pairs: DataFrame, k: int, least: int, identity: float) -> DataFrame:
+    """(a, b) of the documents that can share an edited passage around a pair of seeds that many places have.
+
+    A place with the same words around it as an earlier one is left to that. With the same
+    words between the seeds (an exact passage is known already) a passage has to go on behind
+    words that differ, see ``_marks``. With other words between them it does that too, or the
+    words beside the seeds are equal far enough; then the first such place is met.
+    """
+    lists = pairs.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2", "pos", "gap", "open")).alias("m"))
+    some, _ = join_some(texts, lists.select("doc_id"), "doc_id", lambda few: few.join(lists, "doc_id"))
+    around = kept_table(some.mapInArrow(
+        _around(k), "doc_id bigint, k1 bigint, k2 bigint, open boolean, core array<int>, before array<int>, after array<int>"
+    ), "surroundings").withColumn("c", F.xxhash64("core"))
+    same = ["k1", "k2", "c", "core", "before", "after"]
+    mine = around.filter("open").select(*same, "doc_id").distinct().withColumn("mine", F.lit(True))
+    theirs = around.groupBy(*same).agg(F.min("doc_id").alias("doc_id")).withColumn("mine", F.lit(False))
+
+    marks = kept_table(mine.unionByName(theirs).select("doc_id", "k1", "k2", "mine", "before", "after").mapInPandas(
+        _marks(k), "mark bigint, other int, doc_id bigint, mine boolean"
+    ), "marks")
+    later = marks.filter("mine").select("mark", F.col("other").alias("x"), F.col("doc_id").alias("a")).distinct()
+    asked = later.groupBy("mark").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.max("a").alias("last"))
+    earlier = marks.filter("not mine").join(asked, "mark").filter("doc_id < last and (other <> low or other <> high)")
+    earlier = kept_table(earlier.select("mark", F.col("other").alias("y"), F.col("doc_id").alias("b")).distinct(), "shared-marks")
+    going_on = later.join(earlier, "mark").filter("x <> y and a > b").select("a", "b")
+
+    cores = around.groupBy("k1", "k2", "c", "core").agg(
+        F.max(F.when(F.col("open"), F.col("doc_id"))).alias("hi"), F.min("doc_id").alias("lo")
+    )
+    one = cores.filter("hi is not null").select("k1", "k2", F.col("c").alias("c1"), "core", "hi")
+    two = cores.select("k1", "k2", F.col("c").alias("c2"), F.col("core").alias("core2"), "lo")
+    gaps = F.size("core") + F.size("core2") - 2 * k
+    need = kept_table(one.join(two, ["k1", "k2"]).filter((F.col("c1") != F.col("c2")) & (F.col("hi") > F.col("lo")) & (gaps < k / GAP_COST)).mapInPandas(
+        _lacking(least, identity), "k1 bigint, k2 bigint, c1 bigint, c2 bigint, more int"
+    ), "lacking")
+    key = ["k1", "k2", "c1", "c2", "left", "beside"]
+
+    def beside(places: DataFrame, c: str) -> DataFrame:
+        cut = places.withColumnRenamed("c", c).join(need, ["k1", "k2", c]).withColumn("left", F.explode(F.sequence(F.lit(0), "more")))
+        right = F.col("more") - F.col("left")
+        cut = cut.filter((F.size("before") >= F.col("left")) & (F.size("after") >= right))
+        begin = F.size("before") - F.col("left") + 1
+        return cut.withColumn("beside", F.xxhash64(F.slice("before", begin, F.col("left")), F.slice("after", F.lit(1), right)))
+
+    first = beside(theirs, "c2").groupBy(*key).agg(F.min("doc_id").alias("b"))
+    equal = beside(mine, "c1").select(*key, F.col("doc_id").alias("a")).join(first, key).filter("a > b").select("a", "b")
+    return going_on.unionByName(equal).distinct()
+
+
+def _between(texts: DataFrame, hits: DataFrame, found: DataFrame, k: int, spread: int, least: int, identity: float) -> DataFrame:
+    """Chains of what is not reported yet with every earlier document that can share an edited passage there.
 
     Keys of two documents are left out: these have met already.
     """
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    places = hits.filter("lead and docs > 2").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "key")).alias("m"))
-    listed = places.join(spans, "doc_id", "left").select("doc_id", F.col("m.pos").alias("pos"), F.col("m.key").alias("keys"), "spans")
+    places = hits.filter("lead and docs > 2").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "key", "lo")).alias("m"))
+    listed = places.join(spans, "doc_id", "left").select(
+        "doc_id", F.col("m.pos").alias("pos"), F.col("m.key").alias("keys"), F.col("m.lo").alias("los"), "spans"
+    )
+    seeds = kept_table(listed.mapInPandas(_free_seeds(k), "doc_id bigint, key bigint, pos int, free boolean, late boolean"), "free-seeds")
+    live = seeds.filter("free and late").select("key").distinct().withColumn("live", F.lit(True))
+    marked = seeds.join(live, "key", "left").select("doc_id", "pos", "key", "free", F.coalesce("live", F.lit(False)).alias("live"))
+    again = marked.groupBy("doc_id").agg(F.max("live").alias("some"), F.collect_set(F.struct("pos", "key", "free", "live")).alias("m")).filter("some")
+    again = again.select("doc_id", F.col("m.pos").alias("pos"), F.col("m.key").alias("keys"), F.col("m.free").alias("free"), F.col("m.live").alias("live"))
     close = kept_table(
-        listed.mapInPandas(_close_seeds(k), "doc_id bigint, k1 bigint, k2 bigint, pos int, gap int, open boolean"), "close-seeds"
+        again.mapInPandas(_close_seeds(k), "doc_id bigint, k1 bigint, k2 bigint, pos int, gap int, open boolean"), "close-seeds"
     )
-    mine = close.filter("open").select(F.col("doc_id").alias("a"), "k1", "k2", F.col("pos").alias("i"), F.col("gap").alias("di"))
-    theirs = close.select(F.col("doc_id").alias("b"), "k1", "k2", F.col("pos").alias("j"), F.col("gap").alias("dj"))
-    met = mine.join(theirs, ["k1", "k2"]).filter((F.col("a") > F.col("b")) & (F.col("di") + F.col("dj") < k / GAP_COST))
+    ends = close.groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("lo"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("hi"), F.count(F.lit(1)).alias("n")
+    ).filter("hi > lo")
+    pairs = kept_table(close.join(ends, ["k1", "k2"]).filter("doc_id < hi or (open and doc_id > lo)"), "pairs")
+
+    def sides(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        mine = some.filter("open").select(F.col("doc_id").alias("a"), "k1", "k2", F.col("pos").alias("i"), F.col("gap").alias("di"))
+        return mine, some.select(F.col("doc_id").alias("b"), "k1", "k2", F.col("pos").alias("j"), F.col("gap").alias("dj"))
+
+    near = (F.col("a") > F.col("b")) & (F.col("di") + F.col("dj") < k / GAP_COST)
+    mine, theirs = sides(pairs.filter(F.col("n") <= FEW))
+    met = kept_table(mine.join(theirs, ["k1", "k2"]).filter(near).select("a", "b", "i", "di", "j", "dj"), "met")
+    many = pairs.filter(F.col("n") > FEW)
+    if many.take(1):
+        docs = met.select("a", "b").unionByName(_promising(texts, many, k, least, identity)).distinct()
+        mine, theirs = sides(many)
+        more = docs.join(mine, "a").join(theirs, ["b", "k1", "k2"]).filter(near)
+        met = met.unionByName(more.select("a", "b", "i", "di", "j", "dj"))
     second = F.struct((F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"))
     matches = met.select("a", "b", F.explode(F.array(F.struct("i", "j"), second)).alias("m"))
-    pairs = matches.groupBy("a", "b").agg(F.collect_set("m").alias("m")).select(
+    lists = matches.groupBy("a", "b").agg(F.collect_set("m").alias("m")).select(
         "a", "b", F.col("m.i").alias("i"), F.col("m.j").alias("j")
     )
-    return kept_table(pairs.mapInPandas(_chaining(k, spread), CHAINS), "chains")
+    return kept_table(lists.mapInPandas(_chaining(k, spread), CHAINS), "chains")
 
 
 #: Keys of the further texts of repeated ids begin here.
@@ -612,7 +789,7 @@ def _passages(texts: DataFrame, k: int, spread: int, least: int, identity: float
     found = kept_table(_aligned(texts, chains, k, least, identity), "passages")
     rest = _missed(texts, seeds, ends.select("key"), found, k, spread, least)
     found = kept_table(found.unionByName(_aligned(texts, rest, k, least, identity)), "passages")
-    return found.unionByName(_aligned(texts, _between(hits, found, k, spread), k, least, identity))
+    return found.unionByName(_aligned(texts, _between(texts, hits, found, k, spread, least, identity), k, least, identity))
 
 
 def _aligned(texts: DataFrame, chains: DataFrame, k: int, least: int, identity: float) -> DataFrame:

@@ -278,6 +278,43 @@ def test_edited_copies_meet_holders_between(spark):
     assert all(80 <= r["start"] + 3 and r["end"] <= 203 for r in found)
 
 
+def test_holders_of_a_short_line_meet_only_where_more_agrees(spark, monkeypatch):
+    """30 words that many documents share are no passage; the edited copies around them are still found."""
+    rng = np.random.default_rng(12)
+
+    def words(n):
+        return [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+
+    line = words(30)
+    rows = [(n, words(50) + line + words(50)) for n in range(100)]
+    want = set()
+    for n, how in enumerate(("substituted", "inserted", "left")):
+        left, right = words(24), words(24)
+        whole = left + line + right
+        if how == "substituted":
+            other = left + line + ["x"] + right[1:]
+        elif how == "inserted":
+            other = words(1) + line + ["x", "y"] + right
+            rows[80] = (80, words(40) + right + words(40))  # seeds of two holders have met before
+        else:
+            other = left[:-1] + ["x"] + line + words(1)
+        rows[40 + n] = (40 + n, words(40) + whole + words(40))
+        rows[60 + n] = (60 + n, words(40) + other + words(40))
+        want.add((60 + n, 40 + n))
+    data = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    met = []
+    kept = substring_dedup.kept_table
+    monkeypatch.setattr(substring_dedup, "kept_table", lambda df, name: met.append((name, kept(df, name))) or met[-1][1])
+    for few in (substring_dedup.FEW, 2):
+        met.clear()
+        monkeypatch.setattr(substring_dedup, "FEW", few)
+        found = {(r["doc_id"], r["origin_id"]) for r in substring_dedup.passages(data).collect()}
+        assert found == want
+        chains = [df for name, df in met if name == "chains"][-1]
+        pairs = chains.select("a", "b").distinct().count()
+    assert pairs < 200  # of 4,950
+
+
 def test_cut_passages(spark, docs):
     out = substring_dedup.without_repeats(docs, substring_dedup.passages(docs))
     assert out.schema == docs.schema and out.count() == docs.count()
