@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..constants import DEFAULT_METRIC, METRICS, SKIP_SCORE
 from . import dates, numbers, text
-from .binding import let
+from .binding import let, on_both
 from .numbers import ColumnOrName, _c
 
 
@@ -139,10 +139,50 @@ def compare_deep_json(expected: ColumnOrName, predicted: ColumnOrName, levels: i
     """
     e, p = _c(expected), _c(predicted)
     return F.when(e.eqNullSafe(p), 1.0).when(
-        F.coalesce(canonical_json(e, levels) == canonical_json(p, levels), F.lit(False)), 1.0
+        on_both(e, p, lambda text: canonical_json(text, levels), lambda one, other: one == other), 1.0
     ).otherwise(0.0)
 
 
+#: Longer texts have no pattern: theirs seldom recur, and finding one grows with the square of its scalars.
+PATTERN_CHARS = 500
+#: Stands between the two texts of a pattern; no JSON text holds this character.
+PATTERN_BREAK = "\x02"
+
+_CHAR = r'[^"\\\x00-\x1f]'
+_COLON = r"[ \t\r\n]*+:"
+_NUMBER = r"(?<![0-9.eE+-])-?[1-9][0-9]"
+# what keeps its text: all but scalars, short scalars, keys, quotes that nothing closes, other numbers
+_KEPT = "|".join([
+    r'[^"0-9-]++', f'"{_CHAR}?"', r"[0-9](?![0-9])", f'"{_CHAR}*+"(?={_COLON})', f'"(?!{_CHAR}*+")',
+    rf"{_NUMBER}*+(?=[0-9.eE+-]|{_COLON})", rf"{_NUMBER}{{18,}}+", rf"(?!{_NUMBER})[0-9-]",
+])
+_RENAMED = rf'\G((?:{_KEPT})*+)("{_CHAR}{{2,}}+"|-?[1-9][0-9]{{1,17}}+)'
+
+
+def json_pattern(expected: ColumnOrName, predicted: ColumnOrName) -> Column:
+    """Two JSON texts, ``PATTERN_BREAK`` between them, with numbered names for their scalars.
+
+    Equal scalars of the two get one name, others different ones, so all pairs of a pattern
+    compare like the pattern itself. Numbers of 2 to 18 digits and strings of two characters or
+    more are renamed to strings; one-character scalars, fractions and keys stay, as a text that
+    cannot be read stays one. Null for equal texts, long ones, backslashes (an escape spells a
+    character in another way) and what is neither a list nor a map.
+    """
+    e, p = _c(expected), _c(predicted)
+    both = F.concat(e, F.lit(PATTERN_BREAK), p)
+    fit = (e != p) & (F.length(e) <= PATTERN_CHARS) & (F.length(p) <= PATTERN_CHARS)
+    for side in (e, p):
+        fit = fit & (side.startswith("[") | side.startswith("{"))
+        for sign in ("\\", "\x01", PATTERN_BREAK):
+            fit = fit & ~side.contains(sign)
+    renamed = let(
+        F.split(F.regexp_replace(both, _RENAMED, "$1\x01$2\x01"), "\x01"),  # every second part is a scalar
+        lambda parts: F.array_join(F.transform(parts, lambda part, i: F.when(i % 2 == 0, part).otherwise(
+            F.concat(F.lit('"n'), F.array_position(parts, part).cast("string"), F.lit('"')))), ""),
+    )
+    return F.when(fit, renamed)
+
+
 SCORERS = {
     "equality": compare_equality,
     "levenshtein_distance": text.compare_levenshtein,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import checks_by_type, default_checks
 from ..constants import SKIP_SCORE
 from ..functions import labels, metrics, text
+from ..session import scratch_dir
 
 UNKNOWN_MODEL = "Unknown"
 
@@ -102,20 +105,44 @@ def deep_json_scores(pairs: DataFrame, expected: str = "expected", predicted: st
     """Adds ``score``: deep equality of two JSON columns of any depth, list order ignored.
 
     Unless ``levels`` is given, one pass over the pairs that differ finds how deep they nest,
-    so that the comparison opens every level there is.
+    so that the comparison opens every level there is. The same pass counts the patterns of
+    short pairs. Where they recur, each is compared once and its pairs look the score up; all
+    other pairs are compared in their row.
     """
-    spark, setting = pairs.sparkSession, "spark.sql.analyzer.maxIterations"
-    if levels is None:
-        differ = pairs.filter(~F.col(expected).eqNullSafe(F.col(predicted)))
-        # texts of one shape have the same brackets, which are walked through once
-        sides = F.explode(F.array(metrics.json_brackets(expected), metrics.json_brackets(predicted)))
-        shapes = differ.select(sides.alias("shape")).distinct()
-        levels = shapes.agg(F.max(metrics.json_depth("shape")).alias("depth")).first()["depth"] or 0
+    e, p = F.col(expected), F.col(predicted)
+    if levels is not None:
+        return _deep_compared(pairs, levels, lambda compare: compare(e, p))
+    path = scratch_dir(pairs.sparkSession, "json-patterns")
+    patterns = pairs.select(e.alias("e"), p.alias("p")).select("e", "p", metrics.json_pattern("e", "p").alias("pattern"))
+    # texts of one shape have the same brackets, which are walked through once
+    brackets = F.concat_ws(metrics.PATTERN_BREAK, metrics.json_brackets("e"), metrics.json_brackets("p"))
+    alone = F.when(F.col("pattern").isNull() & ~F.col("e").eqNullSafe(F.col("p")), brackets)
+    patterns.groupBy("pattern", alone.alias("brackets")).agg(F.count(F.lit(1)).alias("pairs")).write.parquet(path)
+    found = pairs.sparkSession.read.schema("pattern string, brackets string, pairs long").parquet(path)
+    sides = F.explode(F.split(F.coalesce("pattern", "brackets"), metrics.PATTERN_BREAK))
+    shapes = found.select(sides.alias("text")).select(metrics.json_brackets("text").alias("shape")).distinct()
+    levels = shapes.agg(F.max(metrics.json_depth("shape")).alias("depth")).first()["depth"] or 0
+    recurring = found.filter(F.col("pattern").isNotNull())
+    seen = recurring.agg(F.count(F.lit(1)).alias("patterns"), F.sum("pairs").alias("pairs")).first()
+    if not seen["patterns"] or seen["patterns"] * 4 > seen["pairs"]:
+        return _deep_compared(pairs, levels, lambda compare: compare(e, p))
+    texts = recurring.select("pattern", F.split("pattern", metrics.PATTERN_BREAK).alias("texts"))
+    known = _deep_compared(texts, levels, lambda compare: compare(F.col("texts")[0], F.col("texts")[1]))
+    known = known.select(F.col("pattern").alias("_known_pattern"), F.col("score").alias("_known_score"))
+    named = pairs.withColumn("_pattern", metrics.json_pattern(expected, predicted))
+    joined = named.join(known, named["_pattern"] == known["_known_pattern"], "left")
+    scored = _deep_compared(joined, levels, lambda compare: F.coalesce("_known_score", compare(e, p)))
+    return scored.drop("_pattern", "_known_pattern", "_known_score")
+
+
+def _deep_compared(table: DataFrame, levels: int, score: Callable[[Callable], Column]) -> DataFrame:
+    """Adds ``score``, made with a deep comparison that opens so many levels of nesting."""
+    spark, setting = table.sparkSession, "spark.sql.analyzer.maxIterations"
     # names of a level are resolved after those of the level around it
     before = spark.conf.get(setting)
     spark.conf.set(setting, max(int(before), 8 * levels + 50))
     try:
-        return pairs.withColumn("score", metrics.compare_deep_json(expected, predicted, levels + 1))
+        return table.withColumn("score", score(lambda e, p: metrics.compare_deep_json(e, p, levels + 1)))
     finally:
         spark.conf.set(setting, before)
 
