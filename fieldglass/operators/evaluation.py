@@ -101,38 +101,51 @@ def field_scores(pairs: DataFrame, catalog: DataFrame | None = None) -> DataFram
 
 
 def deep_json_scores(pairs: DataFrame, expected: str = "expected", predicted: str = "predicted",
-                     levels: int | None = None) -> DataFrame:
+                     levels: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """Adds ``score``: deep equality of two JSON columns of any depth, list order ignored.
 
     Unless ``levels`` is given, one pass over the pairs that differ finds how deep they nest,
     so that the comparison opens every level there is. The same pass counts the patterns of
     short pairs. Where they recur, each is compared once and its pairs look the score up; all
-    other pairs are compared in their row.
+    other pairs are compared in their row. ``keep`` names the columns wanted beside the score:
+    few ones are written with the patterns, so that no pattern is made twice. Without it all
+    columns are returned and only the counts are written.
     """
     e, p = F.col(expected), F.col(predicted)
+    kept = pairs.columns if keep is None else keep
     if levels is not None:
-        return _deep_compared(pairs, levels, lambda compare: compare(e, p))
-    path = scratch_dir(pairs.sparkSession, "json-patterns")
-    patterns = pairs.select(e.alias("e"), p.alias("p")).select("e", "p", metrics.json_pattern("e", "p").alias("pattern"))
+        return _deep_compared(pairs, levels, lambda compare: compare(e, p)).select(*kept, "score")
+    spark, path = pairs.sparkSession, scratch_dir(pairs.sparkSession, "json-patterns")
+    named = pairs.withColumn("_pattern", metrics.json_pattern(e, p))
     # texts of one shape have the same brackets, which are walked through once
-    brackets = F.concat_ws(metrics.PATTERN_BREAK, metrics.json_brackets("e"), metrics.json_brackets("p"))
-    alone = F.when(F.col("pattern").isNull() & ~F.col("e").eqNullSafe(F.col("p")), brackets)
-    patterns.groupBy("pattern", alone.alias("brackets")).agg(F.count(F.lit(1)).alias("pairs")).write.parquet(path)
-    found = pairs.sparkSession.read.schema("pattern string, brackets string, pairs long").parquet(path)
-    sides = F.explode(F.split(F.coalesce("pattern", "brackets"), metrics.PATTERN_BREAK))
+    brackets = F.concat_ws(metrics.PATTERN_BREAK, metrics.json_brackets(e), metrics.json_brackets(p))
+    alone = F.when(F.col("_pattern").isNull() & ~e.eqNullSafe(p), brackets)
+    rows = named.select(*kept, "_pattern", alone.alias("_brackets"))
+    if keep is not None:
+        rows.write.parquet(f"{path}/rows")
+        rows = spark.read.schema(rows.schema).parquet(f"{path}/rows")
+    counts = rows.groupBy("_pattern", "_brackets").agg(F.count(F.lit(1)).alias("pairs"))
+    counts.filter(F.coalesce("_pattern", "_brackets").isNotNull()).write.parquet(f"{path}/counts")
+    found = spark.read.schema("_pattern string, _brackets string, pairs long").parquet(f"{path}/counts")
+    sides = F.explode(F.split(F.coalesce("_pattern", "_brackets"), metrics.PATTERN_BREAK))
     shapes = found.select(sides.alias("text")).select(metrics.json_brackets("text").alias("shape")).distinct()
     levels = shapes.agg(F.max(metrics.json_depth("shape")).alias("depth")).first()["depth"] or 0
-    recurring = found.filter(F.col("pattern").isNotNull())
-    seen = recurring.agg(F.count(F.lit(1)).alias("patterns"), F.sum("pairs").alias("pairs")).first()
+    seen = found.agg(
+        F.count("_pattern").alias("patterns"), F.count("_brackets").alias("alone"),
+        F.sum(F.when(F.col("_pattern").isNotNull(), F.col("pairs"))).alias("pairs"),
+    ).first()
     if not seen["patterns"] or seen["patterns"] * 4 > seen["pairs"]:
-        return _deep_compared(pairs, levels, lambda compare: compare(e, p))
-    texts = recurring.select("pattern", F.split("pattern", metrics.PATTERN_BREAK).alias("texts"))
-    known = _deep_compared(texts, levels, lambda compare: compare(F.col("texts")[0], F.col("texts")[1]))
-    known = known.select(F.col("pattern").alias("_known_pattern"), F.col("score").alias("_known_score"))
-    named = pairs.withColumn("_pattern", metrics.json_pattern(expected, predicted))
-    joined = named.join(known, named["_pattern"] == known["_known_pattern"], "left")
+        return _deep_compared(pairs, levels, lambda compare: compare(e, p)).select(*kept, "score")
+    texts = F.split("_pattern", metrics.PATTERN_BREAK)
+    recurring = found.filter(F.col("_pattern").isNotNull()).select("_pattern", texts.alias("texts"))
+    known = _deep_compared(recurring, levels, lambda compare: compare(F.col("texts")[0], F.col("texts")[1]))
+    known = known.select(F.col("_pattern").alias("_known"), F.col("score").alias("_known_score"))
+    if keep is not None and not seen["alone"]:  # a pair without a pattern is one of equal texts
+        scored = rows.join(known, rows["_pattern"] == known["_known"], "left")
+        return scored.select(*kept, F.coalesce("_known_score", F.lit(1.0)).alias("score"))
+    joined = named.join(known, named["_pattern"] == known["_known"], "left")
     scored = _deep_compared(joined, levels, lambda compare: F.coalesce("_known_score", compare(e, p)))
-    return scored.drop("_pattern", "_known_pattern", "_known_score")
+    return scored.select(*kept, "score")
 
 
 def _deep_compared(table: DataFrame, levels: int, score: Callable[[Callable], Column]) -> DataFrame:

@@ -89,7 +89,9 @@ def test_pairs_of_one_pattern_are_compared_once(spark):
         "id", F.format_string('{"k":[%d,%d]}', F.col("id") + 100, F.col("id") + 200).alias("e"),
         F.format_string('{"k":[%d,%d]}', F.col("id") + 200, F.when(F.col("id") % 2 == 0, F.col("id") + 100).otherwise(7)).alias("p"))
     assert pairs.select(metrics.json_pattern("e", "p")).distinct().count() == 2
-    scored = E.deep_json_scores(pairs, "e", "p")
+    scored = E.deep_json_scores(pairs, "e", "p", keep=["id"])
+    assert scored.columns == ["id", "score"]
+    assert "regexp" not in scored._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
     assert "Join LeftOuter" in scored._jdf.queryExecution().optimizedPlan().toString()
     assert scored.filter((F.col("id") % 2 == 0) != (F.col("score") == 1.0)).count() == 0
 
@@ -104,3 +106,17 @@ def test_pairs_that_all_differ_are_compared_in_their_row(spark):
 def test_query_looks_scores_up(spark):
     plan = scalars.deep_compare_nested(Inputs(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftOuter" in plan
+
+
+def test_no_pairs(spark):
+    none = spark.createDataFrame([], "id int, e string, p string")
+    assert E.deep_json_scores(none, "e", "p", keep=["id"]).collect() == E.deep_json_scores(none, "e", "p").collect() == []
+
+
+def test_kept_columns_with_and_without_odd_pairs(spark):
+    rows = [(i, f"[{i},{i + 50}]", f"[{i + 50},{i},{i}]") for i in range(10, 40)] + [(1, "[12]", "[12]"), (2, None, None)]
+    for odd in ([], [(3, '["\\u0061"]', '["a","a"]')]):
+        df = spark.createDataFrame(rows + odd, "id int, e string, p string")
+        scored = E.deep_json_scores(df, "e", "p", keep=["id"])
+        assert "Join LeftOuter" in scored._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(tuple(r) for r in scored.collect()) == sorted((r[0], 1.0) for r in rows + odd)
